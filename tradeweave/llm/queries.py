@@ -6,9 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .packing import op1_packing
 from .quality import op9_quality_rules
+from .tokenfile import op6_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_packing": op1_packing,
+    "op6_token_files": op6_token_files,
     "op9_quality_rules": op9_quality_rules,
 }
 
