@@ -9,11 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .packing import op1_packing
 from .quality import op9_quality_rules
 from .tokenfile import op6_token_files
+from .urls import OP8_SQL, op8_url_filter
+from .warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op4_warc": op4_warc,
     "op6_token_files": op6_token_files,
+    "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_warc": OP4_SQL,
+    "op8_url_filter": OP8_SQL,
+}
