@@ -7,15 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .packing import op1_packing
+from .pii import op7_personal_data
 from .quality import op9_quality_rules
+from .secrets import op3_secret_scan
 from .tokenfile import op6_token_files
 from .urls import OP8_SQL, op8_url_filter
 from .warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
     "op6_token_files": op6_token_files,
+    "op7_personal_data": op7_personal_data,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
 }
