@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op10_decontamination
+from .neardup import op2_near_duplicates
 from .packing import op1_packing
 from .pii import op7_personal_data
 from .quality import op9_quality_rules
@@ -16,12 +18,14 @@ from .warc import OP4_SQL, op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
+    "op2_near_duplicates": op2_near_duplicates,
     "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
     "op6_token_files": op6_token_files,
     "op7_personal_data": op7_personal_data,
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
+    "op10_decontamination": op10_decontamination,
 }
 
 ORACLES: dict[str, str] = {
