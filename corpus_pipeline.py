@@ -1 +1,82 @@
-"""The corpus pipeline over documents."""
+"""A corpus pipeline over documents, each stage written as Parquet and read again by the next.
+
+1. quality_rules drops documents that the repetition rules reject.
+2. near_duplicates keeps one document of each class.
+3. decontamination drops documents that hold a benchmark passage.
+4. secret_scans masks secrets in the texts (n_chars follows).
+5. packing gives the pieces and sequences of what is left.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tradeweave.llm import decontaminate, neardup, packing, quality, secrets
+from tradeweave.llm.common import Scratch, table
+from tradeweave.llm.tokens import vocabulary
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+_written: list[Scratch] = []
+
+
+def _stage(fn: Stage) -> Stage:
+    """A stage reads nothing of the tables that stages before it wrote for themselves: they go when it begins."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        while _written:
+            _written.pop().drop()
+        known = len(Scratch.made)
+        out = fn(spark, docs, sf_dir)
+        _written.extend(Scratch.made[known:])
+        return out
+
+    return run
+
+
+@_stage
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.kept(docs)
+
+
+@_stage
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return neardup.one_of_each(docs)
+
+
+@_stage
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+@_stage
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return secrets.redact(docs)
+
+
+@_stage
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("secret_scans", secret_scans),
+    ("packing", packing_stage),
+]
+
+#: SQL can't express most stages; tests hold them against brute-force versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    work = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, fn) in enumerate(STAGES):
+        docs = fn(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = work.keep(docs, name)
+    return docs

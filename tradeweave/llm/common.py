@@ -35,8 +35,11 @@ def ship(spark: SparkSession) -> None:
 class Scratch:
     """A folder of written tables below the shared one. A written table cuts lineage and outlives lost executors."""
 
+    made: list[Scratch] = []
+
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        Scratch.made.append(self)
         self.path = f"{shared_dir(spark)}/tradeweave/{name}-{uuid.uuid4().hex[:12]}"
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
@@ -67,6 +70,19 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     return df.mapInArrow(run, schema)
 
 
+def filter_rows(df: DataFrame, fn: Callable[[list], list[bool]], column: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose value in column fn keeps. fn gets the values of a batch."""
+    ship(df.sparkSession)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield batch.filter(pa.array(fn(batch.column(at).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def own(df: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra ones, whatever their names, never reach an operator."""
     return df.select(*[F.col(f"`{n}`") for n in names])

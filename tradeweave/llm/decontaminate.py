@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import own, ship, table
+from .common import filter_rows, own, ship, table
 
 Q, SEGMENT, STEP, EDITS = 12, 96, 48, 0.055
 BLOCK_BYTES = 2_000_000
@@ -133,57 +133,85 @@ class Index:
         return out
 
 
+def rows_with(index: Index, texts: list[str | None]) -> dict[tuple[int, int], tuple[int, int, int]]:
+    """By (row, item): fewest edits, number of the item's segments, first place in plain form."""
+    pairs: dict[tuple, list] = {}
+    data: list[bytes] = []
+    rows: list[int] = []
+    starts = [0]
+
+    def search() -> None:
+        begins = np.array(starts[:-1])
+        for seg, at, edits in index.search(b"\0".join(data)):
+            k = int(np.searchsorted(begins, at, "right")) - 1
+            for item in index.items[seg]:
+                got = pairs.setdefault((rows[k], item), [edits, set(), at - starts[k]])
+                got[0], got[2] = min(got[0], edits), min(got[2], at - starts[k])
+                got[1].add(seg)
+        data.clear()
+        rows.clear()
+        starts[1:] = []
+
+    for row, text in enumerate(texts):
+        if p := plain(text):
+            data.append(p)
+            rows.append(row)
+            starts.append(starts[-1] + len(p) + 1)
+            if starts[-1] > AT_ONCE:
+                search()
+    if data:
+        search()
+    return {k: (e, len(s), a) for k, (e, s, a) in pairs.items()}
+
+
+def blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
+    """The items in blocks of about BLOCK_BYTES."""
+    items = own(benchmark, "item_id", "text").where(F.length("text") > 0)
+    n = int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES + 1
+    for k in range(n):
+        yield [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).collect()]
+
+
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, edits (fewest), segments (how many of the item's), plain_start (byte in plain form) of each matching pair."""
     spark = docs.sparkSession
     ship(spark)
-    texts, items = own(docs, "doc_id", "text"), own(benchmark, "item_id", "text").where(F.length("text") > 0)
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(size) // BLOCK_BYTES + 1
     schema = StructType([docs.schema["doc_id"], benchmark.schema["item_id"], *(StructField(n, LongType()) for n in ("edits", "segments", "plain_start"))])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
     found = None
-    for k in range(blocks):
-        block = [(r[0], r[1]) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]  # about BLOCK_BYTES
+    for block in blocks(benchmark):
         shared = spark.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = Index(shared.value)
             for batch in batches:
-                ids, rows = batch.column(0).to_pylist(), []
-                data, starts, docs_at = [], [0], []
-
-                def search() -> None:
-                    pairs: dict[tuple, list] = {}
-                    begins = np.array(starts[:-1])
-                    for seg, at, edits in index.search(b"\0".join(data)):
-                        row = int(np.searchsorted(begins, at, "right")) - 1
-                        for item in index.items[seg]:
-                            got = pairs.setdefault((docs_at[row], item), [edits, set(), at - starts[row]])
-                            got[0] = min(got[0], edits)
-                            got[1].add(seg)
-                            got[2] = min(got[2], at - starts[row])
-                    rows.extend((ids[r], item, e, len(s), a) for (r, item), (e, s, a) in pairs.items())
-
-                for row, text in enumerate(batch.column(1).to_pylist()):
-                    if p := plain(text):
-                        data.append(p)
-                        docs_at.append(row)
-                        starts.append(starts[-1] + len(p) + 1)
-                        if starts[-1] > AT_ONCE:
-                            search()
-                            data, starts, docs_at = [], [0], []
-                if data:
-                    search()
-                if rows:
+                ids = batch.column(0)
+                if got := rows_with(index, batch.column(1).to_pylist()):
+                    rows = [(ids[r].as_py(), item, *x) for (r, item), x in got.items()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow, strict=True)], schema=arrow)
 
-        part = texts.mapInArrow(run, schema)
+        part = own(docs, "doc_id", "text").mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)
     return found
 
 
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows, with all their columns, whose text matches no item. No shuffle."""
+    spark = docs.sparkSession
+    for block in blocks(benchmark):
+        shared, held = spark.sparkContext.broadcast(block), {}
+
+        def keep(texts: list, shared=shared, held=held) -> list[bool]:
+            if "index" not in held:  # once in a task
+                held["index"] = Index(shared.value)
+            bad = {r for r, _ in rows_with(held["index"], texts)}
+            return [r not in bad for r in range(len(texts))]
+
+        docs = filter_rows(docs, keep)
+    return docs
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

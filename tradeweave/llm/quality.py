@@ -16,7 +16,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import map_rows, own, table
+from .common import filter_rows, map_rows, own, table
 
 #: Fixed values of the base rule.
 MIN_WORDS, WINDOW, REPEAT_PERCENT, SYMBOLS = 10, 5, 20, "#*$%&|<>"
@@ -139,5 +139,10 @@ def quality(docs: DataFrame, *keep: str) -> DataFrame:
     return map_rows(own(docs, *dict.fromkeys([*keep, "text"])), run, schema)
 
 
+def kept(docs: DataFrame) -> DataFrame:
+    """The rows, with all their columns, that the rules keep. No shuffle."""
+    return filter_rows(docs, lambda texts: [verdict(measure(t))[1] for t in texts])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), "doc_id")

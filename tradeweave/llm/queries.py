@@ -11,6 +11,7 @@ from .neardup import op2_near_duplicates
 from .packing import op1_packing
 from .pii import op7_personal_data
 from .quality import op9_quality_rules
+from .quotes import op5_quotation_links
 from .secrets import op3_secret_scan
 from .tokenfile import op6_token_files
 from .urls import OP8_SQL, op8_url_filter
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_duplicates": op2_near_duplicates,
     "op3_secret_scan": op3_secret_scan,
     "op4_warc": op4_warc,
+    "op5_quotation_links": op5_quotation_links,
     "op6_token_files": op6_token_files,
     "op7_personal_data": op7_personal_data,
     "op8_url_filter": op8_url_filter,
