@@ -16,6 +16,10 @@ import numpy as np
 
 KNOWN = 1_000_000
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: Stands before the first chunk of a text, which follows no space (a text that has it is encoded directly).
+MARK = "\x00"
+#: A text with none of these, and no white space at its ends, has one white space character between its runs.
+IRREGULAR = ("  ", " \n", "\n ", "\n\n", "\t", "\x0b", "\x0c", "\r")
 #: White space to a tokenizer or to Python beyond the six characters of CHUNK, and characters that normalisers treat alike.
 RARE = re.compile("[\x00\x1c-\x1f\x85\xa0 ᠎ -‏ -  -⁯　﻿]")
 
@@ -35,13 +39,16 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # by chunk
+        self.spaced: dict[str, bytes] = {}  # by chunk without its leading space; the first of a text has MARK instead
         self.ends = "</w>" if any(t.endswith("</w>") for t in self.model.get_vocab(with_added_tokens=False)) else ""
         vocab = self.model.get_vocab(with_added_tokens=True)
         self.width = np.zeros(max(vocab.values()) + 1, np.int64)  # in bytes: a byte-level token has a character for each
         for token, i in vocab.items():
             self.width[i] = len(token.removesuffix(self.ends) if self.ends else token)
 
+        self.ends_of = {c: self.direct(c) for c in ".,"}
+
     def direct(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -62,21 +69,54 @@ class Encoder:
         for c in new:
             self.known[c] = self.direct(c)
 
+    def _learn(self, new: list[str]) -> None:
+        """A letter and a full stop or comma after it are never in one token: such chunks are made of their stems. A
+        vocabulary that drops white space and case has one stem for all of these, where lower case is that of ASCII."""
+        stems = {c: c[:-1] if c[-1] in ".," and c[-2:-1].isalpha() else c for c in new}
+        if self.ends:
+            stems = {c: x.strip(" \n").lower() if x.isascii() else x for c, x in stems.items()}
+        fresh = list(dict.fromkeys(x for x in stems.values() if x not in self.known))
+        if fresh:
+            self._apart(fresh)
+        for c, stem in stems.items():
+            if c is not stem:
+                self.known[c] = self.known[stem] + (self.ends_of[c[-1]] if c[-1] in ".," and c[-2:-1].isalpha() else b"")
+
     def ids(self, text: str | None) -> bytes:
         if not text:
             return b""
-        chunks = CHUNK.findall(text)
+        if MARK in text:
+            return self.direct(text)
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in IRREGULAR):
+            return self._ids(text)
+        chunks = (MARK + text.replace("\n", " \n")).split(" ")
         try:
-            return b"".join(map(self.known.__getitem__, chunks))
+            return b"".join(map(self.spaced.__getitem__, chunks))
         except KeyError:
             pass
+        new = [c for c in dict.fromkeys(chunks) if c not in self.spaced]
+        real = [c[1:] if c[:1] == MARK else c if c[:1] == "\n" else " " + c for c in new]
+        if RARE.search("".join(real)):
+            return self.direct(text)
+        if len(self.spaced) + len(new) > KNOWN:
+            self.spaced.clear()
+            self.known.clear()
+            return self.ids(text)
+        self._learn([c for c in real if c not in self.known])
+        self.spaced.update(zip(new, map(self.known.__getitem__, real), strict=True))
+        return b"".join(map(self.spaced.__getitem__, chunks))
+
+    def _ids(self, text: str) -> bytes:
+        chunks = CHUNK.findall(text)
         new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if any(map(RARE.search, new)):
+        if RARE.search("".join(new)):
             return self.direct(text)
         if len(self.known) + len(new) > KNOWN:
+            self.spaced.clear()
             self.known.clear()
             new = list(dict.fromkeys(chunks))
-        self._apart(new)
+        if new:
+            self._learn(new)
         return b"".join(map(self.known.__getitem__, chunks))
 
 
