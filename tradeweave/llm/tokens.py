@@ -39,7 +39,7 @@ class Encoder:
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}  # by chunk
+        self.known: dict[str, bytes] = {}  # by chunk, of texts with irregular white space
         self.spaced: dict[str, bytes] = {}  # by chunk without its leading space; the first of a text has MARK instead
         self.ends = "</w>" if any(t.endswith("</w>") for t in self.model.get_vocab(with_added_tokens=False)) else ""
         vocab = self.model.get_vocab(with_added_tokens=True)
@@ -47,13 +47,13 @@ class Encoder:
         for token, i in vocab.items():
             self.width[i] = len(token.removesuffix(self.ends) if self.ends else token)
 
-        self.ends_of = {c: self.direct(c) for c in ".,"}
+        self.ends_of = {"": b""} | {c: self.direct(c) for c in ".,"}
 
     def direct(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _apart(self, new: list[str]) -> None:
-        """Encodes the chunks in one call and cuts the ids apart."""
+    def _apart(self, new: list[str]) -> list[bytes]:
+        """The ids of each chunk, encoded in one call and cut apart."""
         bare = [c.strip(" \t\n\x0b\x0c\r") for c in new] if self.ends else new
         text = (" " if self.ends else "").join(bare)
         ids = np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
@@ -64,23 +64,18 @@ class Encoder:
             cut = np.searchsorted(at, to)
             if len(ids) and at[-1] == to[-1] and (at[np.minimum(cut, len(at) - 1)] == to).all():
                 raw, cut = ids.astype("<u4").tobytes(), cut.tolist()
-                self.known.update(zip(new, (raw[4 * a : 4 * b] for a, b in zip([0, *cut[:-1]], cut)), strict=True))
-                return
-        for c in new:
-            self.known[c] = self.direct(c)
-
-    def _learn(self, new: list[str]) -> None:
-        """A letter and a full stop or comma after it are never in one token: such chunks are made of their stems. A
-        vocabulary that drops white space and case has one stem for all of these, where lower case is that of ASCII."""
-        stems = {c: c[:-1] if c[-1] in ".," and c[-2:-1].isalpha() else c for c in new}
-        if self.ends:
-            stems = {c: x.strip(" \n").lower() if x.isascii() else x for c, x in stems.items()}
-        fresh = list(dict.fromkeys(x for x in stems.values() if x not in self.known))
-        if fresh:
-            self._apart(fresh)
-        for c, stem in stems.items():
-            if c is not stem:
-                self.known[c] = self.known[stem] + (self.ends_of[c[-1]] if c[-1] in ".," and c[-2:-1].isalpha() else b"")
+                return [raw[4 * a : 4 * b] for a, b in zip([0, *cut[:-1]], cut)]
+        return [self.direct(c) for c in new]
+
+    def _stem(self, c: str) -> tuple[str, str]:
+        """(stem, end): a letter and a full stop or comma after it are never in one token. A vocabulary that drops white
+        space and case has one stem for all of these, where lower case is that of ASCII."""
+        end = c[-1] if c[-1] in ".," and c[-2:-1].isalpha() else ""
+        if end:
+            c = c[:-1]
+        if self.ends and c.isascii() and (bare := c.lstrip("\x00\n").lower()):
+            c = bare
+        return c, end
 
     def ids(self, text: str | None) -> bytes:
         if not text:
@@ -95,28 +90,29 @@ class Encoder:
         except KeyError:
             pass
         new = [c for c in dict.fromkeys(chunks) if c not in self.spaced]
-        real = [c[1:] if c[:1] == MARK else c if c[:1] == "\n" else " " + c for c in new]
-        if RARE.search("".join(real)):
+        if RARE.search(text):
             return self.direct(text)
-        if len(self.spaced) + len(new) > KNOWN:
+        if self.spaced and len(self.spaced) + len(new) > KNOWN:
             self.spaced.clear()
-            self.known.clear()
             return self.ids(text)
-        self._learn([c for c in real if c not in self.known])
-        self.spaced.update(zip(new, map(self.known.__getitem__, real), strict=True))
+        stems = list(map(self._stem, new))
+        fresh = list(dict.fromkeys(s for s, _ in stems if s not in self.spaced))
+        if fresh:  # a chunk follows a space unless it begins the text or a line
+            real = [s[1:] if s[0] == MARK else s if s[0] == "\n" else " " + s for s in fresh]
+            self.spaced.update(zip(fresh, self._apart(real), strict=True))
+        self.spaced.update((c, self.spaced[s] + self.ends_of[end]) for c, (s, end) in zip(new, stems, strict=True) if c != s)
         return b"".join(map(self.spaced.__getitem__, chunks))
 
     def _ids(self, text: str) -> bytes:
+        if RARE.search(text):
+            return self.direct(text)
         chunks = CHUNK.findall(text)
         new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if RARE.search("".join(new)):
-            return self.direct(text)
-        if len(self.known) + len(new) > KNOWN:
-            self.spaced.clear()
+        if len(self.known) + len(new) > KNOWN // 10:
             self.known.clear()
             new = list(dict.fromkeys(chunks))
         if new:
-            self._learn(new)
+            self.known.update(zip(new, self._apart(new), strict=True))
         return b"".join(map(self.known.__getitem__, chunks))
 
 
