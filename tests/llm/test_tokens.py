@@ -19,7 +19,7 @@ def plain(path, text):
     global _cache
     if path not in _cache:
         _cache[path] = Tokenizer.from_file(path)
-        _cache[path].encode_special_tokens = False
+        _cache[path].encode_special_tokens = True  # as in the vocabularies' own guide: their strings in a text are ordinary text
     return _cache[path].encode(text or "", add_special_tokens=False).ids
 
 
