@@ -73,7 +73,7 @@ class Index:
             h.append(g)
             seg.append(np.full(len(g), i))
             pos.append(np.arange(len(g)))
-        self.h, self.seg, self.pos = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, seg, pos))
+        self.h, self.seg, self.pos = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((h, np.uint64), (seg, np.int64), (pos, np.int64)))
         order = np.argsort(self.h, kind="stable")
         self.h, self.seg, self.pos = self.h[order], self.seg[order], self.pos[order]
         self.bits = max(16, int(len(self.h) * 16).bit_length())
