@@ -2,7 +2,8 @@
 
 No pre-tokenizer of the two vocabularies lets a token span the place before a run of white space, so the ids of a text are
 the ids of its chunks (a run of white space and the run after it) in order. A worker keeps the ids of the chunks it has
-met, up to KNOWN of them; new ones are encoded together, in one call, and cut apart by the bytes each token stands for.
+met, up to KNOWN of them in two halves, of which the older is let go; new words of plain letters go to the vocabulary's
+model alone, other new chunks are encoded together, in one call, and cut apart by the bytes each token stands for.
 Where that can't be shown to be exact (rare white space, a cut that falls inside a token), the library gets the text itself.
 """
 
@@ -14,8 +15,10 @@ from functools import lru_cache
 
 import numpy as np
 
-KNOWN = 1_000_000
+KNOWN = 1_400_000
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
+#: The characters that byte-level vocabularies write for bytes which don't print.
+BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 #: Stands before the first chunk of a text, which follows no space (a text that has it is encoded directly).
 MARK = "\x00"
 #: A text with none of these, and no white space at its ends, has one white space character between its runs.
@@ -47,6 +50,8 @@ class Encoder:
         for token, i in vocab.items():
             self.width[i] = len(token.removesuffix(self.ends) if self.ends else token)
 
+        self.older: dict[str, bytes] = {}
+        self.raw = [i.to_bytes(4, "little") for i in range(len(self.width))]
         self.ends_of = {"": b""} | {c: self.direct(c) for c in ".,"}
 
     def direct(self, text: str) -> bytes:
@@ -85,24 +90,42 @@ class Encoder:
         if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in IRREGULAR):
             return self._ids(text)
         chunks = (MARK + text.replace("\n", " \n")).split(" ")
-        try:
+        new = set(chunks).difference(self.spaced)
+        if not new:
             return b"".join(map(self.spaced.__getitem__, chunks))
-        except KeyError:
-            pass
-        new = [c for c in dict.fromkeys(chunks) if c not in self.spaced]
         if RARE.search(text):
             return self.direct(text)
-        if self.spaced and len(self.spaced) + len(new) > KNOWN:
-            self.spaced.clear()
-            return self.ids(text)
+        if len(self.spaced) + len(new) > KNOWN // 2:  # what is met again of the older half comes back from it
+            self.older, self.spaced = self.spaced, {}
+            new = set(chunks)
+        if self.older:
+            again = new.intersection(self.older)
+            self.spaced.update((c, self.older[c]) for c in again)
+            new -= again
         stems = list(map(self._stem, new))
-        fresh = list(dict.fromkeys(s for s, _ in stems if s not in self.spaced))
-        if fresh:  # a chunk follows a space unless it begins the text or a line
-            real = [s[1:] if s[0] == MARK else s if s[0] == "\n" else " " + s for s in fresh]
-            self.spaced.update(zip(fresh, self._apart(real), strict=True))
+        fresh = {s for s, _ in stems if s not in self.spaced}
+        if fresh:
+            self._learn(fresh)
         self.spaced.update((c, self.spaced[s] + self.ends_of[end]) for c, (s, end) in zip(new, stems, strict=True) if c != s)
         return b"".join(map(self.spaced.__getitem__, chunks))
 
+    def _learn(self, fresh: set[str]) -> None:
+        """A stem of Latin-1 letters is one word to either pre-tokenizer and normal but for its case: the model alone gives its
+        ids. All others go through the whole library."""
+        tokenize, lead, odd = self.model.model.tokenize, "" if self.ends else "\u0120", []
+        for s in fresh:
+            if s.isascii() and s.isalpha():
+                word = s
+            elif s.isalpha() and max(s) <= "\xff":
+                word = (s.lower() if self.ends else s).encode().decode("latin-1").translate(BYTES)
+            else:
+                odd.append(s)
+                continue
+            self.spaced[s] = b"".join([self.raw[t.id] for t in tokenize(lead + (word.lower() if self.ends and s.isascii() else word))])
+        if odd:  # a chunk follows a space unless it begins the text or a line
+            real = [s[1:] if s[0:1] == MARK else s if s[0:1] == "\n" else " " + s for s in odd]
+            self.spaced.update(zip(odd, self._apart(real), strict=True))
+
     def _ids(self, text: str) -> bytes:
         if RARE.search(text):
             return self.direct(text)
