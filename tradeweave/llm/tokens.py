@@ -99,9 +99,9 @@ class Encoder:
             self.older, self.spaced = self.spaced, {}
             new = set(chunks)
         if self.older:
-            again = new.intersection(self.older)
+            again = [c for c in new if c in self.older]
             self.spaced.update((c, self.older[c]) for c in again)
-            new -= again
+            new.difference_update(again)
         stems = list(map(self._stem, new))
         fresh = {s for s, _ in stems if s not in self.spaced}
         if fresh:
