@@ -81,3 +81,5 @@ prog = "other as (select id from entity where kind = 'program' and id <> '" + RO
 add("neighbourhood_program", lambda g: T.neighbourhood(g, ROOT, 1, program=ROOT, risk_hops=1)[0], """select id, min(hops) hops from (select id, hops from inn union all select unnest([src, dst]), null from (
       select src, dst, row_number() over (partition by src order by dst) k from both_ where src in (from flagged) and dst not in (from other) and dst in (select id from inn) and src <> dst) where k = 1) group by id""",
     prog + ", " + near.split("nd1 as")[0].rstrip().rstrip(","))
+
+from . import profile_queries  # noqa: E402, F401  (it adds its queries)
