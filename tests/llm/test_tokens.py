@@ -108,3 +108,15 @@ def test_patterns_hold_every_piece():
             for x in p:
                 total[x] += n
         assert dict(total) == counts
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_ids_hold_when_known_chunks_are_let_go(monkeypatch, name):
+    from tradeweave.llm import tokens
+
+    monkeypatch.setattr(tokens, "KNOWN", 400)
+    small = tokens.Encoder(vocabulary(name))
+    for i in range(300):
+        t = words(i % 40, 60) + ". Über déjà-vu " + noise(i)
+        assert np.frombuffer(small.ids(t), "<u4").tolist() == plain(vocabulary(name), t)
+    assert small.older
