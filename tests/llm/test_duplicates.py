@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from tradeweave.llm import decontaminate, neardup
@@ -87,6 +88,22 @@ def test_classes_are_those_of_brute_force(spark, rows):
     assert len(wrong) <= 0.01 * len(rows), wrong[:5]  # weights of idf below 1 may move a pair at the threshold
 
 
+def test_samples_of_very_long_texts_differ():
+    r = np.random.default_rng(1)
+    a, b = (np.sort(r.integers(0, 2**64, 1_000_000, dtype=np.uint64)) for _ in range(2))
+    assert (neardup.samples(a, np.ones(len(a))) == neardup.samples(b, np.ones(len(b)))).mean() < 0.05
+
+
+def test_samples_agree_as_weights_do():
+    r, same, want = np.random.default_rng(2), [], []
+    for _ in range(100):
+        h, a = np.sort(r.integers(0, 2**64, 300, dtype=np.uint64)), r.choice([1, 1, 0.8, 2, 3], 300)
+        b = np.where(r.random(300) < 0.6, a, r.choice([1, 0.8, 2, 3], 300))
+        same.append((neardup.samples(h, a) == neardup.samples(h, b)).mean())
+        want.append(np.minimum(a, b).sum() / np.maximum(a, b).sum())
+    assert abs(np.mean(same) - np.mean(want)) < 0.02
+
+
 def test_odd_rows(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id, r.n_links) for r in neardup.near_duplicates(docs_of(spark, ODD)).collect())
     assert len(got) == len(ODD)

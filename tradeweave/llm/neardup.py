@@ -4,10 +4,11 @@
    batches give every shingle found in THETA of all documents or more, short by at most an eighth of that or one a batch.
    Only these need a number: idf is ln(N / df) / ln(1 / THETA), at most 1. There are fewer than (mean words of a text) / THETA
    of them at any size of corpus, so they can be broadcast.
-2. Sketches. A shingle of weight w gets for each of BANDS * ROWS samples, from its hash, r, c ~ Gamma(2, 1) and b ~ U(0, 1);
-   t = floor(ln w / r + b); ln a = ln c - r (t - b) - r; the least ln a is the sample (Ioffe 2010). Two texts agree in a
-   sample with the probability of their weighted Jaccard similarity. For the weight of most shingles (rare, once in its
-   text) ln a is looked up in a table by folded hash, else it is computed.
+2. Sketches. A shingle of weight w gets for each of BANDS * ROWS samples, from its whole 64-bit hash, r, c ~ Gamma(2, 1) and
+   b ~ U(0, 1); t = floor(ln w / r + b); ln a = ln c - r (t - b) - r; the least ln a is the sample (Ioffe 2010). Two texts
+   agree in a sample with the probability of their weighted Jaccard similarity. With weight 1 (rare, once in its text: most
+   shingles) t is 0 and a is Exp(1). So a of weight 1 is drawn first, and c, r and b in their law given it: c = a + Exp(1),
+   r = ln(c / a) + g and b = g / r with g ~ Exp(1), whence ln a = ln a(1) - r t. Weight 1 then needs one product a sample.
 3. Bands. Equal texts are one node. Nodes that agree in all ROWS samples of a band share a bucket. In a bucket, nodes are not
    paired with each other but with its leader: the node whose buckets are largest, as that is the one from which the
    others were copied. Buckets with nodes that the check refuses are dealt out once more, finer: by the samples of a second
@@ -43,12 +44,11 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
 #: Share of documents from which on a shingle's idf falls below 1; how much of a weight is idf.
 THETA, IDF = 0.01, 0.25
-FOLD = 17
 #: Second bands that a bucket with refused nodes is divided by.
 FINER = 6
 KNOWN_WORDS = 500_000
 #: Shingles sampled at once: bounds memory for very long texts.
-AT_ONCE = 1 << 16
+AT_ONCE = 1 << 12
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -112,36 +112,44 @@ def weights(h: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray, np.ndarray]
     return tf * (1 - IDF + IDF * idf)
 
 
-def variates(rows: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """r, ln c, b of each folded hash and sample."""
-    base = mix(rows.astype(np.uint64))[:, None] + np.arange(k, dtype=np.uint64) * np.uint64(8)
-    u = [((mix(base + np.uint64(i)) >> np.uint64(11)).astype(float) + 1) * 2.0**-53 for i in range(5)]
-    return -np.log(u[0] * u[1]), np.log(-np.log(u[2] * u[3])), u[4] * (1 - 2**-30)
+@lru_cache(maxsize=1)
+def _odd(k: int) -> np.ndarray:
+    """An odd factor for each sample."""
+    return mix(np.arange(k, dtype=np.uint64) * np.uint64(8)) | np.uint64(1)
 
 
-@lru_cache(maxsize=1)
-def _table(k: int) -> np.ndarray:
-    """ln a by folded hash and sample, for weight 1."""
-    out = np.empty((1 << FOLD, k), np.float32)
-    for lo in range(0, 1 << FOLD, 1 << 14):
-        r, c, b = variates(np.arange(lo, lo + (1 << 14)), k)
-        out[lo : lo + (1 << 14)] = c + r * b - r
-    return out
+def unit(x: np.ndarray) -> np.ndarray:
+    """Uniform in (0, 1), with all bits of small x."""
+    return np.minimum((x.astype(float) + 0.5) * 2.0**-64, 1 - 2.0**-53)
+
+
+def ln_unit_weight(x: np.ndarray) -> np.ndarray:
+    """ln a of weight 1: rises with x."""
+    return np.log(-np.log1p(-unit(x)))
+
+
+def ln_a(h: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """ln a of each hash and sample."""
+    x = h[:, None] * _odd(k)
+    one = ln_unit_weight(x)
+    e, g = (-np.log(unit(mix(x ^ np.uint64(c)))) for c in (0x51ED270B7A3F2C95, 0xD6E8FEB86659FD93))
+    r = np.log1p(e * np.exp(-one)) + g
+    return one - r * np.floor(np.log(w)[:, None] / r + g / r * (1 - 2**-30))
 
 
 def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     k = BANDS * ROWS
     least = np.full(k, np.inf, np.float32)
-    rows = (h >> np.uint64(64 - FOLD)).astype(np.int64)
     plain_ = w == 1
-    one = rows[plain_]
-    for lo in range(0, len(one), AT_ONCE):
-        np.minimum(least, _table(k)[one[lo : lo + AT_ONCE]].min(axis=0), out=least)
-    other, w = rows[~plain_], w[~plain_]
-    for lo in range(0, len(other), AT_ONCE // 8):
-        r, c, b = variates(other[lo : lo + AT_ONCE // 8], k)
-        t = np.floor(np.log(w[lo : lo + AT_ONCE // 8])[:, None] / r + b)
-        np.minimum(least, (c - r * (t - b) - r).astype(np.float32).min(axis=0), out=least)
+    one, factor = h[plain_], _odd(k)
+    if len(one):
+        low = np.full(k, np.iinfo(np.uint64).max)
+        for lo in range(0, len(one), AT_ONCE):
+            np.minimum(low, (one[lo : lo + AT_ONCE, None] * factor).min(axis=0), out=low)
+        least = ln_unit_weight(low).astype(np.float32)
+    other, w = h[~plain_], w[~plain_]
+    for lo in range(0, len(other), AT_ONCE):
+        np.minimum(least, ln_a(other[lo : lo + AT_ONCE], w[lo : lo + AT_ONCE], k).min(axis=0).astype(np.float32), out=least)
     return least
 
 
