@@ -104,6 +104,19 @@ def test_samples_agree_as_weights_do():
     assert abs(np.mean(same) - np.mean(want)) < 0.02
 
 
+def test_pairs_among_refused_nodes_are_found(spark):
+    """Forms just under the similarity, some of which have a twin above it."""
+    form, rows = words(9, 350), []
+    for g in range(300):
+        own = [f"own{g}x{i}" for i in range(12)]
+        for c in range(1 + (g % 3 == 0)):
+            rows.append((2 * g + c, " ".join([form, *own, *(f"rest{g}x{c}x{i}" for i in range(24))])))
+    got = {r.doc_id: r.class_id for r in neardup.near_duplicates(docs_of(spark, rows)).collect()}
+    twins = [i for i in got if i % 2]
+    assert len(twins) == 100 and sum(got[i] == got[i - 1] for i in twins) >= 99
+    assert all(got[i] == i for i in got if i % 6 in (2, 4))
+
+
 def test_odd_rows(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id, r.n_links) for r in neardup.near_duplicates(docs_of(spark, ODD)).collect())
     assert len(got) == len(ODD)

@@ -13,7 +13,9 @@
    paired with each other but with its leader: the node whose buckets are largest, as that is the one from which the
    others were copied. Buckets with nodes that the check refuses are dealt out once more, finer: by the samples of a second
    band, FINER times, each led by its most central refused node, which is paired with all others there. Both rounds make as
-   many pairs as there are nodes in buckets, whatever the size of a bucket.
+   many pairs as there are nodes in buckets, whatever the size of a bucket. Then the refused nodes of each bucket are dealt
+   among themselves until none is open: the leaders of some slots are paired with all open nodes of their bucket, and
+   leaders and nodes linked to one of them are closed there. Slots grow with the rounds: k unlike groups take about log k.
 4. Check. Pairs are verified on whole texts: weighted Jaccard similarity, over all shingles, of SIMILARITY or more.
 5. Classes. Connected components of verified links, by alternating large and small stars; class_id is the least doc_id.
 
@@ -46,6 +48,8 @@ BANDS, ROWS = 14, 4
 THETA, IDF = 0.01, 0.25
 #: Second bands that a bucket with refused nodes is divided by.
 FINER = 6
+#: Leaders at once in the first round among refused nodes; how many times more in each round after.
+SLOTS, MORE = 4, 4
 KNOWN_WORDS = 500_000
 #: Shingles sampled at once: bounds memory for very long texts.
 AT_ONCE = 1 << 12
@@ -221,8 +225,29 @@ def components(links: DataFrame, work: Scratch) -> DataFrame:
         before, k = now, k + 1
 
 
+def dealt_again(open_: DataFrame, texts: DataFrame, common, asked: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
+    """links and those found among the open nodes (bucket, node, rank) of each bucket; asked: pairs that need no check."""
+    k, slots = 0, SLOTS
+    while True:
+        crowded = open_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
+        open_ = work.keep(open_.join(crowded, "bucket", "left_semi"), f"open{k}")
+        if not open_.take(1):
+            return links
+        slot = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(slots))
+        leaders = open_.groupBy("bucket", slot.alias("slot")).agg(F.max("rank").alias("top")).select("bucket", F.col("top.node").alias("leader"))
+        pairs = work.keep(open_.join(leaders, "bucket").where("node <> leader").select("bucket", "node", "leader"), f"pairs{k}")
+        fresh = work.keep(pairs.select("node", "leader").distinct().join(asked, ["node", "leader"], "left_anti"), f"fresh{k}")
+        links = links.unionByName(work.keep(verified(fresh, texts, common), f"found{k}"))
+        asked = asked.unionByName(fresh)
+        closed = pairs.join(links.distinct(), ["node", "leader"]).select("bucket", "node").unionByName(leaders.select("bucket", F.col("leader").alias("node"))).distinct()
+        open_ = work.keep(open_.join(closed, ["bucket", "node"], "left_anti"), f"left{k}")
+        work.drop(f"pairs{k}")
+        k, slots = k + 1, slots * MORE
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and n_links (verified links of its text to other texts) of each row."""
+    """doc_id, class_id and n_links of each row: links of its text to other texts that the check verified, to leaders or from
+    nodes led; two texts of a class that both hang from a leader are not paired, so it is no count of all similar texts."""
     spark = docs.sparkSession
     work = Scratch(spark, "neardup")
     docs = own(docs, "doc_id", "text")
@@ -246,14 +271,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     led = work.keep(members.join(leaders, "bucket").where("node <> leader"), "led")
     links = work.keep(verified(led.select("node", "leader").distinct(), texts, common), "links")
 
-    open_ = work.keep(led.join(links, ["node", "leader"], "left_anti").select("bucket", "node"), "open")
-    again = members.join(open_.select("bucket").distinct(), "bucket", "left_semi").join(open_.withColumn("open", F.lit(True)), ["bucket", "node"], "left").join(nodes.select("node", "bands"), "node")
+    refused = work.keep(led.join(links, ["node", "leader"], "left_anti").select("bucket", "node"), "refused")
+    again = members.join(refused.select("bucket").distinct(), "bucket", "left_semi").join(refused.withColumn("open", F.lit(True)), ["bucket", "node"], "left").join(nodes.select("node", "bands"), "node")
     more = F.explode(F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda i: F.xxhash64("bucket", F.get("bands", (F.col("band") + i) % BANDS)))).alias("bucket")
     finer = work.keep(again.select(more, "node", "rank", "open"), "finer")
     leaders = finer.groupBy("bucket").agg(F.max(F.when(F.col("open"), F.col("rank"))).alias("top"), F.count("*").alias("n")).where("top is not null and n > 1").select("bucket", F.col("top.node").alias("leader"))
     asked = finer.join(leaders, "bucket").where("node <> leader").select("node", "leader").distinct()
-    asked = asked.join(led.select("node", "leader").distinct(), ["node", "leader"], "left_anti")
+    known = led.select("node", "leader").distinct()
+    asked = work.keep(asked.join(known, ["node", "leader"], "left_anti"), "asked")
     links = links.unionByName(work.keep(verified(asked, texts, common), "more"))
+    open_ = refused.join(members, ["bucket", "node"]).select("bucket", "node", "rank")
+    links = dealt_again(open_, texts, common, asked.unionByName(known), links, work)
     links = links.select(F.col("node").alias("a"), F.col("leader").alias("b"))
     roots = work.keep(components(links, work), "roots")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
