@@ -132,6 +132,14 @@ def test_one_of_each(spark):
     assert sorted(r.doc_id or 0 for r in out.collect()) == [0, 1, 3]
 
 
+def test_one_of_each_keeps_classes_that_share_an_id(spark):
+    rows = [(None, words(1, 40)), (None, words(2, 40)), (None, words(2, 40)), (5, words(3, 40)), (5, words(4, 40)), (5, words(4, 40)), (6, words(4, 40)), (7, edited(words(5, 400), 1, 0.008)), (None, words(5, 400))]
+    out = neardup.one_of_each(docs_of(spark, rows))
+    assert out.columns == docs_of(spark, rows).columns
+    want = [(None, words(1, 40)), (None, words(2, 40)), (5, words(3, 40)), (5, words(4, 40)), (7, rows[7][1])]
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == sorted((i or 0, t) for i, t in want)
+
+
 def benchmark_of(spark, rows):
     return spark.createDataFrame(rows, "item_id long, text string")
 

@@ -34,7 +34,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
@@ -245,14 +245,18 @@ def dealt_again(open_: DataFrame, texts: DataFrame, common, asked: DataFrame, li
         k, slots = k + 1, slots * MORE
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, class_id and n_links of each row: links of its text to other texts that the check verified, to leaders or from
-    nodes led; two texts of a class that both hang from a leader are not paired, so it is no count of all similar texts."""
+def node_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id and node of each row; node, first, root, class and n_links of each node): first is the least doc_id of its text,
+    class of its component. A node without links is its own root."""
     spark = docs.sparkSession
     work = Scratch(spark, "neardup")
     docs = own(docs, "doc_id", "text")
     common = spark.sparkContext.broadcast(frequent(docs, max(1, docs.count())))
-    keyed = docs.withColumn("node", F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))))
+    keyed = docs.withColumn("node", node_of(F.col("text")))
     schema = StructType([docs.schema["doc_id"], keyed.schema["node"], StructField("bands", ArrayType(LongType()))])
     sketched = map_rows(keyed, lambda c, common=common: {"doc_id": c["doc_id"], "node": c["node"], "bands": [bands(t, common.value) for t in c["text"]]}, schema)
     sketched = work.keep(sketched, "sketches")
@@ -288,15 +292,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     number = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     placed = roots.join(nodes.select("node", "first"), "node")
     classes = placed.groupBy("root").agg(F.min("first").alias("class"))
-    of = work.keep(placed.join(classes, "root").join(number, "node", "left").select("node", "class", "n_links"), "classes")
+    of = work.keep(placed.join(classes, "root").join(number, "node", "left").select("node", "root", "class", "n_links"), "classes")
     known = nodes.select("node", "first").join(of, "node", "left")
-    return sketched.select("doc_id", "node").join(known, "node").select("doc_id", F.coalesce("class", "first").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    known = known.select("node", "first", F.coalesce("root", "node").alias("root"), F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sketched.select("doc_id", "node"), known
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, class_id and n_links of each row: links of its text to other texts that the check verified, to leaders or from
+    nodes led; two texts of a class that both hang from a leader are not paired, so it is no count of all similar texts."""
+    rows, known = classed(docs)
+    return rows.join(known, "node").select("doc_id", F.col("class").alias("class_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """One row, with all its columns, of each class: one whose doc_id is the class_id."""
-    first = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(first, docs["doc_id"].eqNullSafe(first["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """One row, with all its columns, of each class: one whose doc_id is the class_id. Rows of one doc_id, or of none, that are
+    of different classes all stay."""
+    order = F.struct(F.col("first").isNull().alias("none"), "first", "node")
+    kept = classed(docs)[1].groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.first").alias("kept_id"), F.col("k.node").alias("kept_node"))
+    at = next(n for n in (f"node{i}" for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
+    rows = docs.withColumn(at, node_of(F.col("text")))
+    return rows.join(kept, (rows[at] == F.col("kept_node")) & rows["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([at]).drop(at)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
