@@ -43,6 +43,20 @@ def test_links_threads_and_order(spark):
     assert sorted(r.position for r in four) == [0, 1, 2] and [r.reply_to for r in four if r.turn == 1] == [0]
 
 
+def test_own_attributions_and_cut_quotes(spark):
+    rows = [
+        (1, 0, "a", "My grandmother once wrote:\nbe kind to all."),
+        (1, 1, "b", "> My grandmother once wrote:\nWho?"),
+        (2, 0, "a", "One paragraph that\nis long.\n\nTwo is\nlonger.\n\nThree."),
+        (2, 1, "b", "On Monday A wrote:\n\n> One paragraph\n> that is long.\n>\n> Two\n> is longer.\nYes."),
+        (2, 2, "a", "> On Monday A wrote:\n>> One paragraph that is long.\n> Yes.\nGood."),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(messages_of(spark, rows)).collect()}
+    assert got[1, 0].own_text == rows[0][3] and got[1, 1].own_text == "Who?"
+    assert got[2, 1].own_text == "Yes." and got[2, 1].n_quoted == 5 and got[2, 2].n_quoted == 2
+    assert {k: r.reply_to for k, r in got.items()} == {(1, 0): None, (1, 1): 0, (2, 0): None, (2, 1): 0, (2, 2): 1}
+
+
 def test_empty(spark):
     assert quotes.conversations(messages_of(spark, [])).collect() == []
 

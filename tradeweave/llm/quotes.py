@@ -2,8 +2,8 @@
 
 Each line of a message has a quote level (the marks before it) and a body; runs of lines of one level are passages. A message
 offers hashes of its own passages (level 0): each line, each paragraph and the whole, normalised in case and white space.
-A quoted passage links to the earliest earlier message of its conversation that offers its hash, or line by line where the
-passage was cut. A message replies to the latest message that its outermost quotes (level 1) link to, else to the
+A quoted passage links to the earliest earlier message of its conversation that offers its hash, or by its paragraphs or lines
+where the passage was cut. A message replies to the latest message that its outermost quotes (level 1) link to, else to the
 latest that deeper ones do. Threads hang from messages that reply to none; within a conversation threads come in the order
 they begin, and messages of a thread in turn.
 
@@ -42,10 +42,11 @@ def normal(text: Column) -> Column:
 
 
 def lines_of(text: Column) -> Column:
-    """array<struct<level, body>>; attributions above a quote count as level -1."""
+    """array<struct<level, body>>; attributions above a quote (the next line that isn't blank is of a deeper level) count as level -1."""
     lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", ""), "\n")
-    level = lambda x: F.when(F.trim(x).rlike(ATTRIBUTION), -1).otherwise(level_of(x))
-    return F.transform(lines, lambda x: F.struct(level(x).alias("level"), body_of(x).alias("body")))
+    next_ = lambda i: F.get(F.filter(F.slice(lines, i + 2, F.size(lines)), lambda y: F.trim(F.regexp_replace(y, r"\s", " ")) != ""), F.lit(0))
+    level = lambda x, i: F.when(F.trim(x).rlike(ATTRIBUTION) & (F.coalesce(level_of(next_(i)), F.lit(-1)) > level_of(x)), -1).otherwise(level_of(x))
+    return F.transform(lines, lambda x, i: F.struct(level(x, i).alias("level"), body_of(x).alias("body")))
 
 
 def passages(lines: Column) -> Column:
@@ -76,7 +77,8 @@ def link(messages: DataFrame) -> DataFrame:
     first = lined.select("conv_id", "turn", F.explode(offers).alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("source"))
     quoted = lined.where(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("passage", "p"))
     whole = F.array_join("p.lines", " ")
-    keys = F.array_union(hashes(F.array(whole)), hashes(F.col("p.lines")))
+    paragraphs = F.split(F.array_join("p.lines", "\n"), r"\n\s*\n")
+    keys = F.array_union(F.array_union(hashes(F.array(whole)), hashes(paragraphs)), hashes(F.col("p.lines")))
     asked = quoted.select("conv_id", "turn", "passage", F.col("p.level").alias("level"), F.explode(keys).alias("h"))
     met = asked.join(first, ["conv_id", "h"]).where(F.col("source") < F.col("turn"))
     outer, any_ = F.max(F.when(F.col("level") == 1, F.col("source"))), F.max("source")
