@@ -112,6 +112,21 @@ def test_personal_adds_supported_candidates(spark):
     assert all("ssn:" in got[i] for i in range(200)) and not any("ssn:" in got[1000 + i] for i in range(50))
 
 
+def test_votes_of_words_and_unknown_names():
+    def says(text):
+        return {k: dict(zip(pii.LABELERS, p.split("|")[1], strict=True)) for k, _, _, p in pii.scan(text)[1]}
+
+    assert says("Name: Zoltan Kovacs")["person"] == {"form": "0", "gazetteer": "0", "context": "+", "against": "0", "nearby": "0"}
+    assert says("I prefer 415-555-2671 please")["local"]["against"] == "0" and says("ref 415-555-2671")["local"]["against"] == "-"
+    assert says("recall 415-555-2671")["local"]["context"] == "0" and says("calls 415-555-2671")["local"]["context"] == "+"
+
+
+def test_the_classifier_alone_decides():
+    """A mute pattern of a kind that is personal data whenever a labeler speaks is added."""
+    got = pii.train({"person|00+0+|1": 900, "person|0++0+|1": 900, "person|0++00|1": 300, "person|00000|1": 40, "local|-00-0|1": 900, "ssn|-00-0|1": 900})
+    assert {"person|00+0+|1", "person|00000|1"} <= got and not {"local|-00-0|1", "ssn|-00-0|1"} & got
+
+
 @pytest.mark.parametrize("run", [secrets.secrets, pii.personal])
 def test_empty_table(spark, run):
     assert run(docs_of(spark, [])).collect() == []

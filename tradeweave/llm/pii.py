@@ -51,13 +51,21 @@ STREETS = frozenset("street st avenue ave road rd lane ln drive dr boulevard blv
 CONTEXT = {
     "ssn": ("ssn", "social security", "tax id"),
     "iban": ("iban", "account", "bank", "transfer"),
-    "local": ("phone", "tel", "call", "mobile", "fax", "cell"),
+    "local": ("phone", "telephone", "tel", "call", "mobile", "fax", "cell", "cellphone"),
     "person": ("contact", "name", "dear", "signed", "by"),
-    "street": ("address", "lives", "resid", "ship to", "home"),
-    "birth": ("born", "birth", "dob"),
+    "street": ("address", "addresses", "lives", "reside", "resident", "residence", "residing", "residential", "ship to", "home"),
+    "birth": ("born", "birth", "birthday", "birthdate", "dob"),
 }
-AGAINST = ("version", "isbn", "order", "ref", "item", "invoice", "#", "$", "page", "figure", "table")
+AGAINST = ("version", "isbn", "order", "ref", "reference", "item", "invoice", "#", "$", "page", "figure", "table")
 BEFORE, NEAR = 32, 120
+
+
+def _words(of: tuple[str, ...]) -> re.Pattern:
+    """Any of these as whole words, or a plural; signs anywhere."""
+    return re.compile("|".join(rf"(?<![a-z0-9]){w}s?(?![a-z0-9])" if w[0].isalpha() else re.escape(w) for w in of), re.IGNORECASE | re.ASCII)
+
+
+_CONTEXT, _AGAINST = {k: _words(v) for k, v in CONTEXT.items()}, _words(AGAINST)
 LABELERS = ("form", "gazetteer", "context", "against", "nearby")
 #: A pattern adds its spans when the classifier gives it at least this probability.
 DECIDE = 0.5
@@ -132,11 +140,11 @@ def form(kind: str, s: str) -> int:
 def votes(kind: str, text: str, a: int, b: int, base: np.ndarray) -> str:
     """A letter for each labeler: + for, - against, 0 none."""
     s = text[a:b]
-    before, after = text[max(0, a - BEFORE) : a].lower(), text[b : b + 2]
+    since, after = max(0, a - BEFORE), text[b : b + 2]
     words = set(re.findall(r"[a-z]+", s.lower()))
-    known = 1 if words & (FIRST_NAMES if kind == "person" else STREETS if kind == "street" else frozenset()) else (-1 if kind == "person" else 0)
+    known = 1 if words & (FIRST_NAMES if kind == "person" else STREETS if kind == "street" else frozenset()) else 0  # a name that the gazetteer lacks says nothing
     near = len(base) and np.searchsorted(base, b + NEAR) > np.searchsorted(base, a - NEAR)
-    says = (form(kind, s), known, int(any(w in before or w in s.lower()[:8] for w in CONTEXT[kind])), -int(any(w in before for w in AGAINST) or after[:1] in ("%", "€", "$")), int(bool(near)))
+    says = (form(kind, s), known, int(bool(_CONTEXT[kind].search(text, since, a) or _CONTEXT[kind].search(text, a, min(b, a + 8)))), -int(bool(_AGAINST.search(text, since, a)) or after[:1] in ("%", "€", "$")), int(bool(near)))
     return "".join("0+-"[v] for v in says)
 
 
@@ -201,7 +209,7 @@ def train(patterns: dict[str, int]) -> set[str]:
     kinds, sizes = sorted(CANDIDATES), range(4)
     x = np.array([[1.0, *v, *(k == kind for k in kinds), *(int(size) == s for s in sizes)] for v, (kind, _, size) in zip(says, split, strict=True)])
     q = 1 / (1 + np.exp(-np.clip(x @ classifier(x, p, n), -30, 30)))
-    return {name for name, a, b in zip(names, q, says, strict=True) if a >= DECIDE and b.sum() > 0}
+    return {name for name, a in zip(names, q, strict=True) if a >= DECIDE}
 
 
 def personal(docs: DataFrame) -> DataFrame:
