@@ -16,9 +16,11 @@ ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset a local one (tests)."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or where it is unset in local mode (tests) one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that the driver and all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), f"tradeweave-{os.getuid()}")
         spark.conf.set("spark.checkpoint.dir", found) if spark.conf.isModifiable("spark.checkpoint.dir") else None
     return found.rstrip("/")
@@ -53,6 +55,31 @@ class Scratch:
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of a batch that are Python objects at once.
+ROWS_AT_ONCE = 1024
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ROWS_AT_ONCE rows, none of them empty; memory goes back to the system at the end of the task."""
+    try:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                yield batch.slice(at, ROWS_AT_ONCE)
+    finally:
+        give_back()
+
+
+def give_back() -> None:
+    """A reused Python worker keeps no freed memory for itself."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: StructType) -> DataFrame:
     """fn gets the columns of a batch as Python lists and returns the columns of schema. Rows stay in their tasks."""
     ship(df.sparkSession)
@@ -61,9 +88,7 @@ def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], sc
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in parts(batches):
             out = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in arrow], schema=arrow)
 
@@ -76,9 +101,8 @@ def filter_rows(df: DataFrame, fn: Callable[[list], list[bool]], column: str = "
     at = df.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield batch.filter(pa.array(fn(batch.column(at).to_pylist()), pa.bool_()))
+        for batch in parts(batches):
+            yield batch.filter(pa.array(fn(batch.column(at).to_pylist()), pa.bool_()))
 
     return df.mapInArrow(run, df.schema)
 
@@ -90,3 +114,16 @@ def own(df: DataFrame, *names: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: A key is hot that has more than one in HOT of all rows: there are fewer than HOT such keys, whatever the data.
+HOT = 1000
+
+
+def meet(rows: DataFrame, keys: DataFrame, on: str) -> DataFrame:
+    """rows joined with keys (a written table: one row for each value of `on`, and n, how many of rows have it), whatever their skew.
+
+    Rows of hot keys stay where they are, as the fewer than HOT hot keys are broadcast; the others meet in a join that Catalyst plans."""
+    total = keys.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(keys.where(F.col("n") > total / HOT))
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(keys.where(F.col("n") <= total / HOT), on))

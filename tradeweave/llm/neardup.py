@@ -1,26 +1,29 @@
 """Near-duplicates by improved consistent weighted sampling over TF-IDF shingles.
 
-1. Document frequencies. Each batch of texts counts its shingles and passes on those that are not rare in it; sums over
-   batches give every shingle found in THETA of all documents or more, short by at most an eighth of that or one a batch.
-   Only these need a number: idf is ln(N / df) / ln(1 / THETA), at most 1. There are fewer than (mean words of a text) / THETA
-   of them at any size of corpus, so they can be broadcast.
+1. Document frequencies. Two rows of counters, whose width depends on the mean length of a text alone, are added up over all
+   documents: each distinct shingle of a text adds one to its counter in each row. The sums are whole numbers, so they are the
+   same however the rows are dealt out. A shingle's frequency is the lesser of its two counters: never too low, too high
+   by at most about a quarter of THETA. idf is ln(N / df) / ln(1 / THETA), at most 1; weight is tf (1 - IDF + IDF idf). IDF is a
+   quarter, not 1, as a large group of near copies makes its own shingles frequent: with the whole of idf their few edits would
+   outweigh all that they share.
 2. Sketches. A shingle of weight w gets for each of BANDS * ROWS samples, from its whole 64-bit hash, r, c ~ Gamma(2, 1) and
    b ~ U(0, 1); t = floor(ln w / r + b); ln a = ln c - r (t - b) - r; the least ln a is the sample (Ioffe 2010). Two texts
    agree in a sample with the probability of their weighted Jaccard similarity. With weight 1 (rare, once in its text: most
    shingles) t is 0 and a is Exp(1). So a of weight 1 is drawn first, and c, r and b in their law given it: c = a + Exp(1),
    r = ln(c / a) + g and b = g / r with g ~ Exp(1), whence ln a = ln a(1) - r t. Weight 1 then needs one product a sample.
-3. Bands. Equal texts are one node. Nodes that agree in all ROWS samples of a band share a bucket. In a bucket, nodes are not
-   paired with each other but with its leader: the node whose buckets are largest, as that is the one from which the
-   others were copied. Buckets with nodes that the check refuses are dealt out once more, finer: by the samples of a second
-   band, FINER times, each led by its most central refused node, which is paired with all others there. Both rounds make as
-   many pairs as there are nodes in buckets, whatever the size of a bucket. Then the refused nodes of each bucket are dealt
-   among themselves until none is open: the leaders of some slots are paired with all open nodes of their bucket, and
-   leaders and nodes linked to one of them are closed there. Slots grow with the rounds: k unlike groups take about log k.
-4. Check. Pairs are verified on whole texts: weighted Jaccard similarity, over all shingles, of SIMILARITY or more.
-5. Classes. Connected components of verified links, by alternating large and small stars; class_id is the least doc_id.
-
-Large buckets and large groups meet only in sums and in sort-merge joins, whose hot partitions Spark splits. No link,
-component or sketch goes to the driver; every step is a written table, so lost executors cost only their tasks.
+3. Bands. Equal texts are one node. Nodes that agree in all ROWS samples of a band share a bucket. Each node of a bucket is
+   compared with the bucket's leader: the node whose buckets are largest, as that is the one from which the others were copied.
+4. Rest. Buckets that hold more than one class after that are divided by second bands, and in each part leaders of unlike classes
+   are compared with all nodes of other classes, round by round with four times as many leaders, until each part holds one
+   class or all its nodes have led. So every pair of texts that shares two bands is checked, unless it is in one class already;
+   two texts at the threshold share two bands with a probability of 0.993, at 0.85 with 0.9995.
+5. Check. Pairs are verified on the shingles of whole texts: weighted Jaccard similarity of SIMILARITY or more.
+6. Classes. Connected components of verified links, by alternating large and small stars; class_id is the least doc_id.
+
+Pairs of a group of copies are as many as its nodes, as one class needs no further pair; only unlike texts that agree in two bands
+are all compared, by leaders. Hot keys: rows of the fewer than a thousand hot nodes and buckets stay in their tasks, what is
+broadcast to them has fewer rows than that; a leader's shingles meet its pairs in SALTS parts. No link, component or sketch goes
+to the driver; every step is a written table, so lost executors cost only their tasks.
 
 Null and empty texts are equal texts, without shingles. Texts of fewer than WORDS words have one shingle, of all of them.
 Rows with one doc_id are rows of their own and get the class of their text; a null doc_id is never a class_id unless all of
@@ -38,7 +41,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import Scratch, map_rows, own, ship, table
+from .common import Scratch, map_rows, meet, own, parts, ship, table
 from .decontaminate import plain
 from .quality import mix
 
@@ -46,74 +49,132 @@ WORDS, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
 #: Share of documents from which on a shingle's idf falls below 1; how much of a weight is idf.
 THETA, IDF = 0.01, 0.25
-#: Second bands that a bucket with refused nodes is divided by.
-FINER = 6
-#: Leaders at once in the first round among refused nodes; how many times more in each round after.
+#: Bits of the width of a row of counters: at least, at most.
+COUNTERS = (18, 22)
+#: Leaders at once in the first round among unlike nodes; how many times more in each round after.
 SLOTS, MORE = 4, 4
-KNOWN_WORDS = 500_000
+#: Parts of the pairs of one leader.
+SALTS = 32
 #: Shingles sampled at once: bounds memory for very long texts.
 AT_ONCE = 1 << 12
-_C = np.uint64(0x9E3779B97F4A7C15)
+#: Plain bytes whose words are hashed at once.
+BLOCK = 1 << 18
+_C, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
 @lru_cache(maxsize=1)
-def _words() -> dict[bytes, int]:
-    return {}
-
-
-def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of the distinct shingles of WORDS words, rising; how often each occurs)."""
-    import xxhash
-
-    words = plain(text).split()
-    if not words:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    known = _words()
-    try:
-        v = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    except KeyError:
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        known.update((w, xxhash.xxh64_intdigest(w)) for w in words if w not in known)
-        v = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-    k = min(WORDS, len(v))
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit value for each byte; powers of an odd number and of its inverse."""
+    byte = mix(np.arange(256, dtype=np.uint64) << np.uint64(20))
+    inverse = np.uint64(pow(int(_B), -1, 1 << 64))
+    return byte, *(np.concatenate(([np.uint64(1)], np.cumprod(np.full(BLOCK, b, np.uint64)))) for b in (_B, inverse))
+
+
+def _words_of(data: bytes) -> np.ndarray:
+    """A hash of each word of plain bytes (single spaces between words): sums of byte values times powers, from prefix sums."""
+    b = np.frombuffer(data, np.uint8)
+    byte, power, inverse = _powers()
+    if len(b) > BLOCK:  # one very long word
+        power, inverse = (np.concatenate(([np.uint64(1)], np.cumprod(np.full(len(b), x[1], np.uint64)))) for x in (power, inverse))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(byte[b] * power[: len(b)], out=sums[1:])
+    space = np.flatnonzero(b == 32)
+    first, end = np.concatenate(([0], space + 1)), np.append(space, len(b))
+    return mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    out, at = [], 0
+    while at < len(data):
+        end = len(data)
+        if end - at > BLOCK:
+            cut = data.rfind(b" ", at, at + BLOCK)
+            if cut <= at:
+                cut = data.find(b" ", at + BLOCK)
+            end = cut if cut > 0 else end
+        out.append(_words_of(data[at:end]))
+        at = end + 1
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def _windows(v: np.ndarray, k: int) -> np.ndarray:
     h = v[: len(v) - k + 1].copy()
     for i in range(1, k):
         h *= _C
         h += v[i : i + len(h)]
-    h = np.sort(mix(h))
+    return mix(h)
+
+
+def _counted(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    h = np.sort(h)
     first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
     return h[first], np.diff(np.append(first, len(h)))
 
 
-def frequent(docs: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, rising; idf) of the shingles found in THETA of the n documents or more."""
+def shingled(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each text: (hashes of its distinct shingles of WORDS words, rising; how often each occurs). Many short texts are hashed at once."""
+    held: list[bytes] = []
+    size = 0
+
+    def flush() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        v = word_hashes(b" ".join(p for p in held if p))
+        every, at = (_windows(v, WORDS) if len(v) >= WORDS else v[:0]), 0
+        for p in held:
+            n = p.count(b" ") + 1 if p else 0
+            if n >= WORDS:
+                yield _counted(every[at : at + n - WORDS + 1])
+            elif n:
+                yield _counted(_windows(v[at : at + n], n))
+            else:
+                yield np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            at += n
+
+    for t in texts:
+        held.append(plain(t))
+        size += len(held[-1])
+        if size > BLOCK:
+            yield from flush()
+            held, size = [], 0
+    yield from flush()
+
+
+def shingles(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    return next(iter(shingled([text])))
+
+
+def counters(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counter of each hash in either row."""
+    down = np.uint64(64 - bits)
+    return (h >> down).astype(np.int64), ((h * _C) >> down).astype(np.int64) + (1 << bits)
+
+
+def idf_table(docs: DataFrame) -> np.ndarray:
+    """idf by counter: two rows of counters, one after the other."""
     ship(docs.sparkSession)
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    wide = 4 * (size / 6 / max(1, n)) / THETA  # four times the mean words of a text, over THETA
+    bits = min(COUNTERS[1], max(COUNTERS[0], int(np.ceil(np.log2(max(1.0, wide))))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                h = np.sort(np.concatenate([shingles(t)[0] for t in batch.column(0).to_pylist()]))
-                first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-                count = np.diff(np.append(first, len(h)))
-                keep = count >= max(2, int(THETA * batch.num_rows / 8))
-                yield pa.RecordBatch.from_pydict({"h": h[first][keep].view(np.int64), "n": count[keep].astype(np.int64)})
-
-    sums = own(docs, "text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("df")).where(F.col("df") >= F.lit(THETA * n))
-    rows = sums.collect()  # fewer than mean words / THETA
-    h = np.array([r["h"] for r in rows], np.int64).view(np.uint64)
-    idf = np.log(n / np.array([min(r["df"], n) for r in rows], float)) / np.log(1 / THETA)
-    order = np.argsort(h)
-    return h[order], idf[order]
-
-
-def weights(h: np.ndarray, tf: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    idf = np.ones(len(h))
-    if len(common[0]) and len(h):
-        at = np.minimum(np.searchsorted(common[0], h), len(common[0]) - 1)
-        hit = common[0][at] == h
-        idf[hit] = np.minimum(common[1][at[hit]], 1)
-    return tf * (1 - IDF + IDF * idf)
+        count = np.zeros(2 << bits, np.int64)
+        for batch in parts(batches):
+            every = [h for h, _ in shingled(batch.column(0).to_pylist())]
+            for row in counters(np.concatenate(every), bits):
+                count += np.bincount(row, minlength=2 << bits)
+        at = np.flatnonzero(count)
+        for lo in range(0, len(at), 1 << 16):
+            yield pa.RecordBatch.from_pydict({"slot": at[lo : lo + (1 << 16)].astype(np.int32), "n": count[at[lo : lo + (1 << 16)]]})
+
+    sums = own(docs, "text").mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("df")).where(F.col("df") > F.lit(THETA * n))
+    out = np.ones(2 << bits, np.float32)
+    for r in sums.collect():  # at most the counters, a number that doesn't grow with the documents
+        out[r["slot"]] = np.log(n / min(r["df"], n)) / np.log(1 / THETA)
+    return np.minimum(out, 1)
+
+
+def weights(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    a, b = counters(h, len(idf).bit_length() - 2)
+    return tf * (1 - IDF + IDF * np.maximum(idf[a], idf[b]).astype(float))
 
 
 @lru_cache(maxsize=1)
@@ -157,12 +218,11 @@ def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(text: str | None, common: tuple[np.ndarray, np.ndarray]) -> list[int]:
+def bands(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> list[int]:
     """A key for each band; none for a text without words."""
-    h, tf = shingles(text)
     if not len(h):
         return []
-    s = samples(h, weights(h, tf, common)).view(np.uint32).astype(np.uint64).reshape(BANDS, ROWS)
+    s = samples(h, weights(h, tf, idf)).view(np.uint32).astype(np.uint64).reshape(BANDS, ROWS)
     key = np.arange(BANDS, dtype=np.uint64) * _C
     for i in range(ROWS):
         key = mix(key ^ s[:, i])
@@ -180,29 +240,43 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / (total - low))
 
 
-def verified(pairs: DataFrame, texts: DataFrame, common) -> DataFrame:
-    """The pairs (node, leader) whose texts are similar."""
-    ship(pairs.sparkSession)
+def weighed(texts: DataFrame, idf) -> DataFrame:
+    """(node, h, w) of rows (node, text): shingles and their weights as bytes."""
+    ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = common.value
-        last: tuple = (None, None)
+        for batch in parts(batches):
+            every = list(shingled(batch.column(1).to_pylist()))
+            h, w = [x.tobytes() for x, _ in every], [weights(x, tf, idf.value).astype("<f4").tobytes() for x, tf in every]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.binary()), pa.array(w, pa.binary())], names=["node", "h", "w"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, h binary, w binary")
+
+
+def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b and other columns) whose texts are similar."""
+    spark = pairs.sparkSession
+    ship(spark)
+    names = pairs.columns
 
-        def of(text: str) -> tuple[np.ndarray, np.ndarray]:
-            h, tf = shingles(text)
-            return h, weights(h, tf, words)
+    def of(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(h, "<u8"), np.frombuffer(w, "<f4").astype(float)
 
-        for batch in batches:
-            node, leader, mine, its = (c.to_pylist() for c in batch.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: tuple = (None, None)
+        for batch in parts(batches):
+            b, ah, aw, bh, bw = (batch.column(i).to_pylist() for i in (names.index("b"), *range(len(names), len(names) + 4)))
             keep = []
-            for i in range(len(node)):
-                if last[0] != leader[i]:
-                    last = (leader[i], of(its[i]))
-                keep.append(similarity(of(mine[i]), last[1]) >= SIMILARITY)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["node", "leader"]).filter(pa.array(keep, pa.bool_()))
+            for i in range(len(b)):
+                if last[0] != b[i]:
+                    last = (b[i], of(bh[i], bw[i]))
+                keep.append(similarity(of(ah[i], aw[i]), last[1]) >= SIMILARITY)
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
 
-    both = pairs.join(texts, "node").withColumnRenamed("text", "mine").join(texts.select(F.col("node").alias("leader"), F.col("text").alias("its")), "leader")
-    return both.select("node", "leader", "mine", "its").mapInArrow(run, "node binary, leader binary").distinct()
+    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
+    led = dealt.select("b", "salt").distinct().join(arrays.toDF("b", "bh", "bw"), "b")
+    both = dealt.join(arrays.toDF("a", "ah", "aw"), "a").join(led, ["b", "salt"])
+    return both.select(*names, "ah", "aw", "bh", "bw").mapInArrow(run, pairs.schema)
 
 
 def components(links: DataFrame, work: Scratch) -> DataFrame:
@@ -225,23 +299,45 @@ def components(links: DataFrame, work: Scratch) -> DataFrame:
         before, k = now, k + 1
 
 
-def dealt_again(open_: DataFrame, texts: DataFrame, common, asked: DataFrame, links: DataFrame, work: Scratch) -> DataFrame:
-    """links and those found among the open nodes (bucket, node, rank) of each bucket; asked: pairs that need no check."""
-    k, slots = 0, SLOTS
+def merged(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """rows with their class renamed along links (ca, cb), three steps far: classes that are still apart only cost more checks."""
+    both = links.select("ca", "cb").unionByName(links.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct()
+    at = both.select("ca").distinct().select("ca", F.col("ca").alias("to"))
+    for _ in range(3):
+        near = both.join(at.toDF("cb", "near"), "cb").groupBy("ca").agg(F.min("near").alias("near"))
+        at = at.join(near, "ca").select("ca", F.least("to", "near").alias("to"))
+    return rows.join(at.toDF("class", "to"), "class", "left").withColumn("class", F.coalesce("to", "class")).drop("to")
+
+
+def unlike(parts_: DataFrame) -> DataFrame:
+    """(bucket, n) of the buckets that hold nodes of more than one class."""
+    return parts_.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
+
+
+def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -> DataFrame | None:
+    """Links (a, b) between nodes of unlike classes in the parts open_ (bucket, node, class); asked: pairs (a, b), a > b, that need no check."""
+    k, slots, links = 0, SLOTS, None
     while True:
-        crowded = open_.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-        open_ = work.keep(open_.join(crowded, "bucket", "left_semi"), f"open{k}")
-        if not open_.take(1):
+        crowded = work.keep(unlike(open_), f"crowded{k}")
+        if not crowded.take(1):
             return links
-        slot = F.pmod(F.xxhash64("node", F.lit(k)), F.lit(slots))
-        leaders = open_.groupBy("bucket", slot.alias("slot")).agg(F.max("rank").alias("top")).select("bucket", F.col("top.node").alias("leader"))
-        pairs = work.keep(open_.join(leaders, "bucket").where("node <> leader").select("bucket", "node", "leader"), f"pairs{k}")
-        fresh = work.keep(pairs.select("node", "leader").distinct().join(asked, ["node", "leader"], "left_anti"), f"fresh{k}")
-        links = links.unionByName(work.keep(verified(fresh, texts, common), f"found{k}"))
-        asked = asked.unionByName(fresh)
-        closed = pairs.join(links.distinct(), ["node", "leader"]).select("bucket", "node").unionByName(leaders.select("bucket", F.col("leader").alias("node"))).distinct()
-        open_ = work.keep(open_.join(closed, ["bucket", "node"], "left_anti"), f"left{k}")
-        work.drop(f"pairs{k}")
+        open_ = work.keep(meet(open_, crowded, "bucket").drop("n"), f"open{k}")
+        slot = F.pmod(F.xxhash64("class", F.lit(k)), F.lit(slots))
+        top = F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "class")).alias("top")
+        leaders = open_.groupBy("bucket", slot.alias("slot")).agg(top).select("bucket", F.col("top.node").alias("leader"), F.col("top.class").alias("of"))
+        leaders = work.keep(leaders.join(crowded, "bucket"), f"leaders{k}")
+        met = meet(open_, leaders, "bucket").where(F.col("class") != F.col("of"))
+        up = F.col("node") > F.col("leader")
+        pair = [F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), F.when(up, F.col("class")).otherwise(F.col("of")).alias("ca"), F.when(up, F.col("of")).otherwise(F.col("class")).alias("cb")]
+        fresh = work.keep(met.select(*pair).dropDuplicates(["a", "b"]).join(asked, ["a", "b"], "left_anti"), f"fresh{k}")
+        found = work.keep(verified(fresh, arrays), f"found{k}")
+        asked = asked.unionByName(fresh.select("a", "b"))
+        open_ = open_.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
+        if found.take(1):
+            links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
+            open_ = merged(open_, found)
+        open_ = work.keep(open_, f"left{k}")
+        work.drop(f"open{k}")
         k, slots = k + 1, slots * MORE
 
 
@@ -249,70 +345,81 @@ def node_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def row_of(node: Column, doc_id: Column) -> Column:
+    """Of a text and an id; rows that are equal in both are one."""
+    return F.md5(F.concat_ws(":", F.hex(node), F.when(doc_id.isNull(), "null").otherwise(F.concat(F.lit("id"), doc_id.cast("string")))))
+
+
 def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id and node of each row; node, first, root, class and n_links of each node): first is the least doc_id of its text,
-    class of its component. A node without links is its own root."""
+    """(doc_id and node of each row; node, n (rows), first, root, class and n_links of each node): first is the least doc_id of its
+    text, class of its component. A node without links is its own root."""
     spark = docs.sparkSession
     work = Scratch(spark, "neardup")
     docs = own(docs, "doc_id", "text")
-    common = spark.sparkContext.broadcast(frequent(docs, max(1, docs.count())))
+    idf = spark.sparkContext.broadcast(idf_table(docs))
     keyed = docs.withColumn("node", node_of(F.col("text")))
     schema = StructType([docs.schema["doc_id"], keyed.schema["node"], StructField("bands", ArrayType(LongType()))])
-    sketched = map_rows(keyed, lambda c, common=common: {"doc_id": c["doc_id"], "node": c["node"], "bands": [bands(t, common.value) for t in c["text"]]}, schema)
+    sketched = map_rows(keyed, lambda c, idf=idf: {"doc_id": c["doc_id"], "node": c["node"], "bands": [bands(h, tf, idf.value) for h, tf in shingled(c["text"])]}, schema)
     sketched = work.keep(sketched, "sketches")
-    nodes = work.keep(sketched.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("bands").alias("bands")), "nodes")
+    nodes = work.keep(sketched.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("bands").alias("bands")), "nodes")
 
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    members = work.keep(members.join(shared, "bucket"), "members")
+    shared = work.keep(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    members = work.keep(meet(members, shared, "bucket"), "members")
     central = members.groupBy("node").agg(F.round(F.sum(F.log("n")), 6).alias("score"))
-    rank = F.struct("score", "node").alias("rank")
-    members = work.keep(members.join(central, "node").select("bucket", "band", "node", rank), "ranked")
-    wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select(F.col("node").alias("of"), "first")
-    texts = work.keep(keyed.join(wanted, keyed["doc_id"].eqNullSafe(F.col("first")) & (F.col("node") == F.col("of"))).select("node", "text"), "texts")
-
-    leaders = members.groupBy("bucket").agg(F.max("rank").alias("top")).select("bucket", F.col("top.node").alias("leader"))
-    led = work.keep(members.join(leaders, "bucket").where("node <> leader"), "led")
-    links = work.keep(verified(led.select("node", "leader").distinct(), texts, common), "links")
-
-    refused = work.keep(led.join(links, ["node", "leader"], "left_anti").select("bucket", "node"), "refused")
-    again = members.join(refused.select("bucket").distinct(), "bucket", "left_semi").join(refused.withColumn("open", F.lit(True)), ["bucket", "node"], "left").join(nodes.select("node", "bands"), "node")
-    more = F.explode(F.transform(F.sequence(F.lit(1), F.lit(FINER)), lambda i: F.xxhash64("bucket", F.get("bands", (F.col("band") + i) % BANDS)))).alias("bucket")
-    finer = work.keep(again.select(more, "node", "rank", "open"), "finer")
-    leaders = finer.groupBy("bucket").agg(F.max(F.when(F.col("open"), F.col("rank"))).alias("top"), F.count("*").alias("n")).where("top is not null and n > 1").select("bucket", F.col("top.node").alias("leader"))
-    asked = finer.join(leaders, "bucket").where("node <> leader").select("node", "leader").distinct()
-    known = led.select("node", "leader").distinct()
-    asked = work.keep(asked.join(known, ["node", "leader"], "left_anti"), "asked")
-    links = links.unionByName(work.keep(verified(asked, texts, common), "more"))
-    open_ = refused.join(members, ["bucket", "node"]).select("bucket", "node", "rank")
-    links = dealt_again(open_, texts, common, asked.unionByName(known), links, work)
-    links = links.select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    members = work.keep(members.join(central, "node").select("bucket", "band", "node", F.struct("score", "node").alias("rank")), "ranked")
+    wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select(row_of(F.col("node"), F.col("first")).alias("row"))
+    rows = keyed.withColumn("row", row_of(F.col("node"), F.col("doc_id"))).join(wanted, "row", "left_semi")
+    arrays = work.keep(weighed(rows, idf).dropDuplicates(["node"]), "arrays")
+
+    leaders = work.keep(members.groupBy("bucket").agg(F.max("rank").alias("top"), F.count("*").alias("n")).select("bucket", F.col("top.node").alias("leader"), "n"), "leaders")
+    led = meet(members.select("bucket", "node"), leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    led = work.keep(led, "led")
+    links = work.keep(verified(led, arrays), "links")
     roots = work.keep(components(links, work), "roots")
+
+    at = members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
+    at = work.keep(at, "classes0")
+    mixed = work.keep(unlike(at), "mixed")
+    if mixed.take(1):
+        nodes_bands = nodes.select("node", "bands")
+        pairs_of = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.get("bands", i).alias("other")))).alias("o")
+        both = meet(at, mixed, "bucket").drop("n").join(nodes_bands, "node").select("node", "class", "band", "bucket", pairs_of).where("o.i <> band")
+        lower = F.col("band") < F.col("o.i")
+        part = F.when(lower, F.xxhash64("bucket", "o.other")).otherwise(F.xxhash64("o.other", "bucket"))
+        parts_ = work.keep(both.select(part.alias("bucket"), "node", "class").distinct(), "parts")
+        asked = led.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        more = rest(parts_, arrays, asked, work)
+        if more is not None:
+            links = links.unionByName(more)
+            roots = work.keep(components(links, Scratch(spark, "neardup-again")), "roots-again")
+
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     number = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("n_links"))
     placed = roots.join(nodes.select("node", "first"), "node")
-    classes = placed.groupBy("root").agg(F.min("first").alias("class"))
-    of = work.keep(placed.join(classes, "root").join(number, "node", "left").select("node", "root", "class", "n_links"), "classes")
-    known = nodes.select("node", "first").join(of, "node", "left")
-    known = known.select("node", "first", F.coalesce("root", "node").alias("root"), F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return sketched.select("doc_id", "node"), known
+    classes = placed.groupBy("root").agg(F.min("first").alias("class"), F.count("*").alias("n"))
+    classes = work.keep(classes, "classes1")
+    of = meet(placed, classes, "root").join(number, "node", "left").select("node", "root", "class", "n_links")
+    known = nodes.select("node", "n", "first").join(of, "node", "left")
+    known = known.select("node", "n", "first", F.coalesce("root", "node").alias("root"), F.coalesce("class", "first").alias("class"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return sketched.select("doc_id", "node"), work.keep(known, "known")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, class_id and n_links of each row: links of its text to other texts that the check verified, to leaders or from
     nodes led; two texts of a class that both hang from a leader are not paired, so it is no count of all similar texts."""
     rows, known = classed(docs)
-    return rows.join(known, "node").select("doc_id", F.col("class").alias("class_id"), "n_links")
+    return meet(rows, known, "node").select("doc_id", F.col("class").alias("class_id"), "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """One row, with all its columns, of each class: one whose doc_id is the class_id. Rows of one doc_id, or of none, that are
-    of different classes all stay."""
+    of different classes all stay. Copies of a row meet in the task that reads them before any shuffle."""
     order = F.struct(F.col("first").isNull().alias("none"), "first", "node")
-    kept = classed(docs)[1].groupBy("root").agg(F.min(order).alias("k")).select(F.col("k.first").alias("kept_id"), F.col("k.node").alias("kept_node"))
-    at = next(n for n in (f"node{i}" for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
-    rows = docs.withColumn(at, node_of(F.col("text")))
-    return rows.join(kept, (rows[at] == F.col("kept_node")) & rows["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates([at]).drop(at)
+    kept = classed(docs)[1].groupBy("root").agg(F.min(order).alias("k")).select(row_of(F.col("k.node"), F.col("k.first")).alias("kept"))
+    at = next(n for n in (f"row{i}" for i in range(len(docs.columns) + 1)) if n not in {c.lower() for c in docs.columns})
+    rows = docs.withColumn(at, row_of(node_of(F.col("text")), F.col("doc_id"))).dropDuplicates([at])
+    return rows.join(kept.withColumnRenamed("kept", at), at, "left_semi").drop(at)
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 
-KNOWN = 1_400_000
+KNOWN = 700_000  # some 100 MB a worker
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: The characters that byte-level vocabularies write for bytes which don't print.
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
