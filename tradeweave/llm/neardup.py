@@ -14,7 +14,7 @@
 3. Bands. Equal texts are one node. Nodes that agree in all ROWS samples of a band share a bucket. Each node of a bucket is
    compared with the bucket's leader: the node whose buckets are largest, as that is the one from which the others were copied.
 4. Rest. Buckets that hold more than one class after that are divided by second bands, and in each part leaders of unlike classes
-   are compared with all nodes of other classes, round by round with four times as many leaders, until each part holds one
+   are compared with all nodes of other classes, round by round with eight times as many leaders, until each part holds one
    class or all its nodes have led. So every pair of texts that shares two bands is checked, unless it is in one class already;
    two texts at the threshold share two bands with a probability of 0.993, at 0.85 with 0.9995.
 5. Check. Pairs are verified on the shingles of whole texts: weighted Jaccard similarity of SIMILARITY or more.
@@ -52,7 +52,7 @@ THETA, IDF = 0.01, 0.25
 #: Bits of the width of a row of counters: at least, at most.
 COUNTERS = (18, 22)
 #: Leaders at once in the first round among unlike nodes; how many times more in each round after.
-SLOTS, MORE = 4, 4
+SLOTS, MORE = 8, 8
 #: Parts of the pairs of one leader.
 SALTS = 32
 #: Shingles sampled at once: bounds memory for very long texts.
