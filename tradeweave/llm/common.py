@@ -53,6 +53,8 @@ class Scratch:
         sc = self.spark.sparkContext
         path = sc._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}".rstrip("/"))
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+        if not name and self in Scratch.made:
+            Scratch.made.remove(self)
 
 
 #: Rows of a batch that are Python objects at once.
@@ -80,6 +82,14 @@ def give_back() -> None:
         pass
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of rounds that are done with: it does when the driver has collected their plans."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def map_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]], schema: StructType) -> DataFrame:
     """fn gets the columns of a batch as Python lists and returns the columns of schema. Rows stay in their tasks."""
     ship(df.sparkSession)

@@ -15,8 +15,9 @@
    compared with the bucket's leader: the node whose buckets are largest, as that is the one from which the others were copied.
 4. Rest. Buckets that hold more than one class after that are divided by second bands, and in each part leaders of unlike classes
    are compared with all nodes of other classes, round by round with eight times as many leaders, until each part holds one
-   class or all its nodes have led. So every pair of texts that shares two bands is checked, unless it is in one class already;
-   two texts at the threshold share two bands with a probability of 0.993, at 0.85 with 0.9995.
+   class or all its nodes have led. So every pair of texts that shares two bands, and whose sketches agree in AGREE samples or
+   more, is checked unless it is in one class already. Two texts at the threshold share two bands with a probability of 0.993
+   and agree in so many samples with 0.997; at 0.85 both hold with 0.999.
 5. Check. Pairs are verified on the shingles of whole texts: weighted Jaccard similarity of SIMILARITY or more.
 6. Classes. Connected components of verified links, by alternating large and small stars; class_id is the least doc_id.
 
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from .common import Scratch, map_rows, meet, own, parts, ship, table
+from .common import Scratch, map_rows, meet, own, parts, release, ship, table
 from .decontaminate import plain
 from .quality import mix
 
@@ -53,12 +54,15 @@ THETA, IDF = 0.01, 0.25
 COUNTERS = (18, 22)
 #: Leaders at once in the first round among unlike nodes; how many times more in each round after.
 SLOTS, MORE = 8, 8
+#: Samples, of BANDS * ROWS, in which sketches have to agree before texts are compared (by four bits of each).
+AGREE = 37
 #: Parts of the pairs of one leader.
 SALTS = 32
 #: Shingles sampled at once: bounds memory for very long texts.
 AT_ONCE = 1 << 12
 #: Plain bytes whose words are hashed at once.
 BLOCK = 1 << 18
+PRINTS = -(-BANDS * ROWS // 16)
 _C, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
 
 
@@ -218,15 +222,27 @@ def samples(h: np.ndarray, w: np.ndarray) -> np.ndarray:
     return least
 
 
-def bands(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> list[int]:
-    """A key for each band; none for a text without words."""
+def bands(h: np.ndarray, tf: np.ndarray, idf: np.ndarray) -> tuple[list[int], list[int]]:
+    """A key for each band, and four bits of each sample, sixteen in a number; none for a text without words."""
     if not len(h):
-        return []
-    s = samples(h, weights(h, tf, idf)).view(np.uint32).astype(np.uint64).reshape(BANDS, ROWS)
-    key = np.arange(BANDS, dtype=np.uint64) * _C
+        return [], [0] * PRINTS
+    s = mix(samples(h, weights(h, tf, idf)).view(np.uint32).astype(np.uint64))
+    few = np.zeros(16 * PRINTS, np.uint64)
+    few[: len(s)] = s >> np.uint64(60)
+    s, key = s.reshape(BANDS, ROWS), np.arange(BANDS, dtype=np.uint64) * _C
     for i in range(ROWS):
         key = mix(key ^ s[:, i])
-    return key.view(np.int64).tolist()
+    return key.view(np.int64).tolist(), np.bitwise_or.reduce(few.reshape(PRINTS, 16) << np.arange(0, 64, 4, dtype=np.uint64), axis=1).view(np.int64).tolist()
+
+
+def differing(one: list[Column], other: list[Column]) -> Column:
+    """Samples that differ in their four bits."""
+    out = F.lit(0)
+    for a, b in zip(one, other, strict=True):
+        x = a.bitwiseXOR(b)
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        out = out + F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+    return out
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -241,13 +257,14 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def weighed(texts: DataFrame, idf) -> DataFrame:
-    """(node, h, w) of rows (node, text): shingles and their weights as bytes."""
+    """(node, h, w) of rows (node, text): shingles, by half of their hash, and their weights as bytes."""
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             every = list(shingled(batch.column(1).to_pylist()))
-            h, w = [x.tobytes() for x, _ in every], [weights(x, tf, idf.value).astype("<f4").tobytes() for x, tf in every]
+            h = [(x >> np.uint64(32)).astype("<u4").tobytes() for x, _ in every]
+            w = [np.minimum(weights(x, tf, idf.value), 60_000).astype("<f2").tobytes() for x, tf in every]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.binary()), pa.array(w, pa.binary())], names=["node", "h", "w"])
 
     return texts.select("node", "text").mapInArrow(run, "node binary, h binary, w binary")
@@ -260,7 +277,7 @@ def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     names = pairs.columns
 
     def of(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(h, "<u8"), np.frombuffer(w, "<f4").astype(float)
+        return np.frombuffer(h, "<u4"), np.frombuffer(w, "<f2").astype(float)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -315,7 +332,7 @@ def unlike(parts_: DataFrame) -> DataFrame:
 
 
 def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -> DataFrame | None:
-    """Links (a, b) between nodes of unlike classes in the parts open_ (bucket, node, class); asked: pairs (a, b), a > b, that need no check."""
+    """Links (a, b) between nodes of unlike classes in the parts open_ (bucket, node, class, prints); asked: pairs (a, b), a > b, that need no check."""
     k, slots, links = 0, SLOTS, None
     while True:
         crowded = work.keep(unlike(open_), f"crowded{k}")
@@ -323,10 +340,11 @@ def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -
             return links
         open_ = work.keep(meet(open_, crowded, "bucket").drop("n"), f"open{k}")
         slot = F.pmod(F.xxhash64("class", F.lit(k)), F.lit(slots))
-        top = F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "class")).alias("top")
-        leaders = open_.groupBy("bucket", slot.alias("slot")).agg(top).select("bucket", F.col("top.node").alias("leader"), F.col("top.class").alias("of"))
-        leaders = work.keep(leaders.join(crowded, "bucket"), f"leaders{k}")
-        met = meet(open_, leaders, "bucket").where(F.col("class") != F.col("of"))
+        top = F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "class", *PRINT)).alias("top")
+        led = [F.col("top.node").alias("leader"), F.col("top.class").alias("of"), *(F.col(f"top.{p}").alias(f"of_{p}") for p in PRINT)]
+        leaders = work.keep(open_.groupBy("bucket", slot.alias("slot")).agg(top).select("bucket", *led).join(crowded, "bucket"), f"leaders{k}")
+        alike = differing([F.col(p) for p in PRINT], [F.col(f"of_{p}") for p in PRINT]) <= BANDS * ROWS - AGREE
+        met = meet(open_, leaders, "bucket").where((F.col("class") != F.col("of")) & alike)
         up = F.col("node") > F.col("leader")
         pair = [F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), F.when(up, F.col("class")).otherwise(F.col("of")).alias("ca"), F.when(up, F.col("of")).otherwise(F.col("class")).alias("cb")]
         fresh = work.keep(met.select(*pair).dropDuplicates(["a", "b"]).join(asked, ["a", "b"], "left_anti"), f"fresh{k}")
@@ -337,10 +355,15 @@ def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -
             links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
             open_ = merged(open_, found)
         open_ = work.keep(open_, f"left{k}")
-        work.drop(f"open{k}")
+        for name in (f"crowded{k}", f"open{k}", f"leaders{k}", f"left{k - 1}"):
+            work.drop(name)
+        release(arrays.sparkSession)
         k, slots = k + 1, slots * MORE
 
 
+PRINT = [f"p{i}" for i in range(PRINTS)]
+
+
 def node_of(text: Column) -> Column:
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
@@ -358,16 +381,24 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     docs = own(docs, "doc_id", "text")
     idf = spark.sparkContext.broadcast(idf_table(docs))
     keyed = docs.withColumn("node", node_of(F.col("text")))
-    schema = StructType([docs.schema["doc_id"], keyed.schema["node"], StructField("bands", ArrayType(LongType()))])
-    sketched = map_rows(keyed, lambda c, idf=idf: {"doc_id": c["doc_id"], "node": c["node"], "bands": [bands(h, tf, idf.value) for h, tf in shingled(c["text"])]}, schema)
-    sketched = work.keep(sketched, "sketches")
-    nodes = work.keep(sketched.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), F.max("bands").alias("bands")), "nodes")
+    schema = StructType([docs.schema["doc_id"], keyed.schema["node"], StructField("bands", ArrayType(LongType())), StructField("prints", ArrayType(LongType()))])
+
+    def sketch(c: dict[str, list]) -> dict[str, list]:
+        found = [bands(h, tf, idf.value) for h, tf in shingled(c["text"])]
+        return {"doc_id": c["doc_id"], "node": c["node"], "bands": [b for b, _ in found], "prints": [p for _, p in found]}
+
+    sketched = work.keep(map_rows(keyed, sketch, schema), "sketches")
+    one = F.max(F.struct("bands", "prints")).alias("one")
+    nodes = sketched.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), one)
+    nodes = work.keep(nodes.select("node", "n", "first", "one.bands", *(F.col("one.prints")[i].alias(p) for i, p in enumerate(PRINT))), "nodes")
 
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = work.keep(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     members = work.keep(meet(members, shared, "bucket"), "members")
     central = members.groupBy("node").agg(F.round(F.sum(F.log("n")), 6).alias("score"))
     members = work.keep(members.join(central, "node").select("bucket", "band", "node", F.struct("score", "node").alias("rank")), "ranked")
+    work.drop("shared")
+    work.drop("members")
     wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select(row_of(F.col("node"), F.col("first")).alias("row"))
     rows = keyed.withColumn("row", row_of(F.col("node"), F.col("doc_id"))).join(wanted, "row", "left_semi")
     arrays = work.keep(weighed(rows, idf).dropDuplicates(["node"]), "arrays")
@@ -382,14 +413,13 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = work.keep(at, "classes0")
     mixed = work.keep(unlike(at), "mixed")
     if mixed.take(1):
-        nodes_bands = nodes.select("node", "bands")
         pairs_of = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.get("bands", i).alias("other")))).alias("o")
-        both = meet(at, mixed, "bucket").drop("n").join(nodes_bands, "node").select("node", "class", "band", "bucket", pairs_of).where("o.i <> band")
+        both = meet(at, mixed, "bucket").drop("n").join(nodes.select("node", "bands", *PRINT), "node").select("node", "class", "band", "bucket", *PRINT, pairs_of).where("o.i <> band")
         lower = F.col("band") < F.col("o.i")
         part = F.when(lower, F.xxhash64("bucket", "o.other")).otherwise(F.xxhash64("o.other", "bucket"))
-        parts_ = work.keep(both.select(part.alias("bucket"), "node", "class").distinct(), "parts")
+        parts_ = both.select(part.alias("bucket"), "node", "class", *PRINT).dropDuplicates(["bucket", "node"])
         asked = led.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = rest(parts_, arrays, asked, work)
+        more = rest(work.keep(parts_, "left-1"), arrays, asked, work)
         if more is not None:
             links = links.unionByName(more)
             roots = work.keep(components(links, Scratch(spark, "neardup-again")), "roots-again")
