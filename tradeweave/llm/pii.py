@@ -67,6 +67,8 @@ def _words(of: tuple[str, ...]) -> re.Pattern:
 
 _CONTEXT, _AGAINST = {k: _words(v) for k, v in CONTEXT.items()}, _words(AGAINST)
 LABELERS = ("form", "gazetteer", "context", "against", "nearby")
+#: Candidates that the counts of patterns stand for in training, whatever their number.
+WEIGHT = 10_000
 #: A pattern adds its spans when the classifier gives it at least this probability.
 DECIDE = 0.5
 
@@ -103,12 +105,13 @@ def base_spans(text: str) -> list[Span]:
     for m in DOTTED.finditer(text):
         run = m.group()
         if run.count(".") >= 3:
-            parts, at = run.split("."), m.start()
+            parts, a = run.split("."), m.start()
             for i in range(0, len(parts) - 3, 4):
                 four = parts[i : i + 4]
-                a = at + sum(map(len, parts[:i])) + i if i < 64 else at + len(".".join(parts[:i])) + 1
+                end = a + sum(map(len, four)) + 3
                 if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
-                    out.append(("ip", a, a + sum(map(len, four)) + 3))
+                    out.append(("ip", a, end))
+                a = end + 1
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14:
             digits = m.group().replace(" ", "").replace("-", "")
@@ -202,7 +205,7 @@ def train(patterns: dict[str, int]) -> set[str]:
         return set()
     names = sorted(patterns)
     n = np.array([patterns[x] for x in names], float)
-    n = n / max(1.0, n.sum() / 10_000)  # the same weight of prior and ridge at every size of corpus above this
+    n = n * (WEIGHT / n.sum())  # shares, so that prior and ridge weigh the same at every size of corpus
     split = [x.split("|") for x in names]
     says = np.array([[{"+": 1, "-": -1, "0": 0}[c] for c in v] for _, v, _ in split])
     p = reliabilities(says, n)
