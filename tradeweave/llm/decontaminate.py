@@ -1,7 +1,8 @@
 """Benchmark decontamination by the q-gram lemma.
 
 Texts are compared in a plain form (ASCII letters lower-cased, ASCII punctuation and white space one space). Benchmark items
-are cut into overlapping segments of SEGMENT bytes (shorter items: one), each with an edit budget e of EDITS of its length.
+are cut into overlapping segments of SEGMENT bytes, one every STEP (shorter items: one), each with an edit budget e of EDITS of
+its length.
 A copy of a segment of m bytes with e edits shares at least T = m + 1 - q (e + 1) of its q-grams with it, on at most e + 1
 neighbouring diagonals. So, in each batch of texts, all in numpy:
 1. q-gram hashes at every position, looked up in a bit table of the benchmark's q-grams;
@@ -12,8 +13,10 @@ neighbouring diagonals. So, in each batch of texts, all in numpy:
 Texts stay in their tasks; only (doc, item) matches leave them. The benchmark is a query set: it goes to the executors in
 blocks of at most BLOCK_BYTES, one pass over the texts for each block.
 
-A document matches an item if it matches one of its segments. Null and empty texts match nothing, nor do items shorter than
-q bytes in plain form. Repeated rows are judged one by one; items with equal text are all reported. An empty benchmark or an
+A document matches an item if it matches one of its segments: a verbatim excerpt of SEGMENT + STEP - 1 bytes always does. Items
+shorter than q bytes in plain form, or without a plain form of q-grams, are matched exactly: by documents whose whole plain
+form they are. Null and empty texts and items match nothing. Pairs of places and segments are counted CROWD at a time, so a
+sentence that thousands of items share costs time, not memory. Repeated rows are judged one by one; items with equal text are all reported. An empty benchmark or an
 empty table gives no rows. Extra columns are ignored.
 """
 
@@ -29,8 +32,10 @@ from pyspark.sql.types import LongType, StructField, StructType
 
 from .common import filter_rows, own, ship, table
 
-Q, SEGMENT, STEP, EDITS = 12, 96, 48, 0.055
-BLOCK_BYTES = 2_000_000
+Q, SEGMENT, STEP, EDITS = 8, 80, 16, 0.09
+BLOCK_BYTES = 1_000_000
+#: Pairs of a place and a segment that are counted at once, about.
+CROWD = 1 << 20
 #: Plain bytes that are searched at once.
 AT_ONCE = 1 << 21
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -47,8 +52,7 @@ def qgrams(data: bytes) -> np.ndarray:
     if n <= 0:
         return np.zeros(0, np.uint64)
     h = np.ndarray((n,), "<u8", data, 0, (1,)) * _A
-    h += np.ndarray((n,), "<u4", data, 8, (1,)).astype(np.uint64) * _B
-    return h ^ (h >> np.uint64(29))
+    return (h ^ (h >> np.uint64(32))) * _B
 
 
 class Index:
@@ -56,6 +60,7 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str | None]]):
         cut: dict[bytes, list[int]] = {}
+        self.short: dict[bytes, list[int]] = {}
         for item, text in items:
             p = plain(text)
             if len(p) >= Q:
@@ -63,6 +68,8 @@ class Index:
                     of = cut.setdefault(p[a : a + SEGMENT], [])
                     if item not in of:
                         of.append(item)
+            elif p:
+                self.short.setdefault(p, []).append(item)
         self.text, self.items = list(cut), list(cut.values())
         size = np.array([len(t) for t in self.text], np.int64)
         edits = np.minimum((EDITS * size).astype(np.int64), np.maximum(size // Q - 2, 0))
@@ -71,9 +78,9 @@ class Index:
         for i, t in enumerate(self.text):
             g = qgrams(t)
             h.append(g)
-            seg.append(np.full(len(g), i))
-            pos.append(np.arange(len(g)))
-        self.h, self.seg, self.pos = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((h, np.uint64), (seg, np.int64), (pos, np.int64)))
+            seg.append(np.full(len(g), i, np.int32))
+            pos.append(np.arange(len(g), dtype=np.int32))
+        self.h, self.seg, self.pos = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((h, np.uint64), (seg, np.int32), (pos, np.int32)))
         order = np.argsort(self.h, kind="stable")
         self.h, self.seg, self.pos = self.h[order], self.seg[order], self.pos[order]
         self.bits = max(16, int(len(self.h) * 16).bit_length())
@@ -99,10 +106,20 @@ class Index:
             hit = hit[upto + since - 1 >= least]
         if not len(hit):
             return []
-        lo, n = np.searchsorted(self.h, h[hit], "left"), 0
+        lo = np.searchsorted(self.h, h[hit], "left")
         n = np.searchsorted(self.h, h[hit], "right") - lo
+        total, found, i = np.cumsum(n), {}, 0
+        while i < len(hit):  # some hits, and those after them that may lie in one band with the last
+            j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + CROWD, "right")))
+            end = int(np.searchsorted(hit, hit[j - 1] + 2 * span))
+            for s, a, e in self._counted(data, hit[i:end], lo[i:end], n[i:end]):
+                found[s, a] = min(e, found.get((s, a), e))
+            i = j
+        return [(s, a, e) for (s, a), e in found.items()]
+
+    def _counted(self, data: bytes, hit: np.ndarray, lo: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
         at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        seg, diagonal = self.seg[at], np.repeat(hit, n) - self.pos[at]
+        seg, diagonal = self.seg[at].astype(np.int64), np.repeat(hit, n) - self.pos[at]
         w = self.width  # bands of 2w diagonals, one begins every w: e + 1 neighbours lie in one of them
         key = np.concatenate([seg * (1 << 40) + (diagonal // w + k + 4) for k in (0, -1)])
         bands, count = np.unique(key, return_counts=True)
@@ -154,6 +171,8 @@ def rows_with(index: Index, texts: list[str | None]) -> dict[tuple[int, int], tu
 
     for row, text in enumerate(texts):
         if p := plain(text):
+            for item in index.short.get(p, ()):
+                pairs.setdefault((row, item), [0, {-1}, 0])
             data.append(p)
             rows.append(row)
             starts.append(starts[-1] + len(p) + 1)
