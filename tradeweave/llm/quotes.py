@@ -7,9 +7,10 @@ where the passage was cut. A message replies to the latest message that its oute
 latest that deeper ones do. Threads hang from messages that reply to none; within a conversation threads come in the order
 they begin, and messages of a thread in turn.
 
-All of it is DataFrame operations. Offers are reduced to the least turn of each (conversation, hash) before they are
-shuffled, so a line that everybody writes is one row a task. Positions in a conversation come from a range partitioning of
-all rows and prefix sums over its partitions: a conversation with a third of all rows is spread over many tasks.
+Each message is read once, in one pass over its lines, in the task that holds it; links, threads and order are DataFrame
+operations. Offers are reduced to the least turn of each (conversation, hash) before they are shuffled, so a line that
+everybody writes is one row a task. Positions in a conversation come from a range partitioning of all rows and prefix sums over
+its partitions: a conversation with a third of all rows is spread over many tasks.
 
 Null and empty texts have no lines: no own text, no links. Rows of one conversation and turn share their links and are put in
 order of role and text. Rows with a null conv_id or turn are kept, link to nothing, and are threads of their own at the end.
@@ -18,10 +19,13 @@ An empty table gives no rows. Extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import re
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from .common import Scratch, own, table
+from .common import Scratch, map_rows, own, table
 
 MARKS = r"^[ \t]*((?:>[ \t]?)*)"
 ATTRIBUTION = r"(?i)^(on\b.*\bwrote|.{1,80}\b(wrote|schrieb|a écrit|escribió)):$"
@@ -29,57 +33,72 @@ ATTRIBUTION = r"(?i)^(on\b.*\bwrote|.{1,80}\b(wrote|schrieb|a écrit|escribió))
 RANGE_ROWS = 500_000
 
 
-def level_of(line: Column) -> Column:
-    return F.length(F.regexp_replace(F.regexp_extract(line, MARKS, 1), "[^>]", ""))
-
-
-def body_of(line: Column) -> Column:
-    return F.regexp_replace(line, MARKS, "")
-
-
-def normal(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(text), r"\s+", " "))
-
-
-def lines_of(text: Column) -> Column:
-    """array<struct<level, body>>; attributions above a quote (the next line that isn't blank is of a deeper level) count as level -1."""
-    lines = F.split(F.regexp_replace(F.coalesce(text, F.lit("")), "\r", ""), "\n")
-    next_ = lambda i: F.get(F.filter(F.slice(lines, i + 2, F.size(lines)), lambda y: F.trim(F.regexp_replace(y, r"\s", " ")) != ""), F.lit(0))
-    level = lambda x, i: F.when(F.trim(x).rlike(ATTRIBUTION) & (F.coalesce(level_of(next_(i)), F.lit(-1)) > level_of(x)), -1).otherwise(level_of(x))
-    return F.transform(lines, lambda x, i: F.struct(level(x, i).alias("level"), body_of(x).alias("body")))
-
-
-def passages(lines: Column) -> Column:
-    """Runs of lines of one level above 0: array<struct<level, lines array<string>>>."""
-    zero = F.array().cast("array<struct<level:int,lines:array<string>>>")
-    last = lambda acc: F.element_at(acc, -1)
-    add = lambda acc, x: F.when(
-        (F.size(acc) > 0) & (F.get(acc, F.size(acc) - 1)["level"] == x["level"]),
-        F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(x["level"].alias("level"), F.concat(last(acc)["lines"], F.array(x["body"])).alias("lines")))),
-    ).otherwise(F.concat(acc, F.array(F.struct(x["level"].alias("level"), F.array(x["body"]).alias("lines")))))
-    return F.filter(F.aggregate(lines, zero, add), lambda p: p["level"] > 0)
-
-
-def own_text(lines: Column) -> Column:
-    return F.regexp_replace(F.array_join(F.transform(F.filter(lines, lambda x: x["level"] == 0), lambda x: x["body"]), "\n"), r"^\s+|\s+$", "")
-
-
-def hashes(texts: Column) -> Column:
-    """Distinct hashes of the texts that aren't blank."""
-    return F.array_distinct(F.transform(F.filter(F.transform(texts, normal), lambda t: t != ""), lambda t: F.xxhash64(t)))
-
-
-def link(messages: DataFrame) -> DataFrame:
-    """(conv_id, turn, reply_to, n_linked) of messages that quote an earlier one of their conversation."""
-    lined = messages.where("conv_id is not null and turn is not null").withColumn("lines", lines_of(F.col("text")))
-    mine = own_text(F.col("lines"))
-    offers = F.array_union(hashes(F.split(mine, "\n")), F.array_union(hashes(F.split(mine, r"\n\s*\n")), hashes(F.array(mine))))
-    first = lined.select("conv_id", "turn", F.explode(offers).alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("source"))
-    quoted = lined.where(F.exists("lines", lambda x: x["level"] > 0)).select("conv_id", "turn", F.posexplode(passages(F.col("lines"))).alias("passage", "p"))
-    whole = F.array_join("p.lines", " ")
-    paragraphs = F.split(F.array_join("p.lines", "\n"), r"\n\s*\n")
-    keys = F.array_union(F.array_union(hashes(F.array(whole)), hashes(paragraphs)), hashes(F.col("p.lines")))
-    asked = quoted.select("conv_id", "turn", "passage", F.col("p.level").alias("level"), F.explode(keys).alias("h"))
+_MARKS, _ATTRIBUTION, _GAP = re.compile(MARKS), re.compile(ATTRIBUTION), re.compile(r"\n[ \t\x0b\f]*\n\s*", re.ASCII)
+SPACES = " \t\n\x0b\x0c\r"
+
+
+def lines_of(text: str | None) -> list[tuple[int, str]]:
+    """(level, body) of each line; attributions above a quote (the next line that isn't blank is of a deeper level) have level -1."""
+    out: list[tuple[int, str]] = []
+    below = -1  # level of the next line that isn't blank
+    for line in reversed((text or "").replace("\r", "").split("\n")):
+        m = _MARKS.match(line)
+        level = mine = m[1].count(">")
+        if below > mine and _ATTRIBUTION.match(line.strip(" ")):
+            level = -1
+        out.append((level, line[m.end() :]))
+        if line.strip(SPACES):
+            below = mine
+    return out[::-1]
+
+
+def hashes(texts: list[str]) -> list[int]:
+    """Distinct hashes of the texts that aren't blank, normalised in case and white space."""
+    import xxhash
+
+    bare = dict.fromkeys(" ".join(t.lower().split()) for t in texts)
+    return [h - (1 << 64) if h >> 63 else h for h in (xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in bare if t)]
+
+
+def parse(text: str | None) -> tuple[str, int, list[int], list[tuple[int, int, int]]]:
+    """(own text, quoted lines, offers, quotes): hashes that the message offers; (passage, level, hash) that it quotes."""
+    lines = lines_of(text)
+    mine = [body for level, body in lines if level == 0]
+    own_text = "\n".join(mine).strip(SPACES)
+    offers = hashes([*mine, *_GAP.split(own_text), own_text])
+    quotes: list[tuple[int, int, int]] = []
+    passage, at = 0, 0
+    while at < len(lines):
+        end, level = at, lines[at][0]
+        while end < len(lines) and lines[end][0] == level:
+            end += 1
+        if level > 0:
+            bodies = [body for _, body in lines[at:end]]
+            whole = "\n".join(bodies)
+            quotes += [(passage, level, h) for h in hashes([whole, *_GAP.split(whole), *bodies])]
+            passage += 1
+        at = end
+    return own_text, sum(level > 0 for level, _ in lines), offers, quotes
+
+
+def parsed(messages: DataFrame) -> DataFrame:
+    """conv_id, turn, role, own_text, n_quoted, offers, quotes of each row."""
+    quote = StructType([StructField("passage", IntegerType()), StructField("level", IntegerType()), StructField("h", LongType())])
+    more = [StructField("own_text", StringType()), StructField("n_quoted", LongType()), StructField("offers", ArrayType(LongType())), StructField("quotes", ArrayType(quote))]
+
+    def run(c: dict[str, list]) -> dict[str, list]:
+        rows = [parse(t) for t in c["text"]]
+        asked = [[{"passage": p, "level": lv, "h": h} for p, lv, h in q] for *_, q in rows]
+        return {n: c[n] for n in ("conv_id", "turn", "role")} | {"own_text": [r[0] for r in rows], "n_quoted": [r[1] for r in rows], "offers": [r[2] for r in rows], "quotes": asked}
+
+    return map_rows(messages, run, StructType([*(messages.schema[n] for n in ("conv_id", "turn", "role")), *more]))
+
+
+def link(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, reply_to, n_linked) of parsed messages that quote an earlier one of their conversation."""
+    placed = rows.where("conv_id is not null and turn is not null")
+    first = placed.select("conv_id", "turn", F.explode("offers").alias("h")).groupBy("conv_id", "h").agg(F.min("turn").alias("source"))
+    asked = placed.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", "q.passage", "q.level", "q.h").distinct()
     met = asked.join(first, ["conv_id", "h"]).where(F.col("source") < F.col("turn"))
     outer, any_ = F.max(F.when(F.col("level") == 1, F.col("source"))), F.max("source")
     return met.groupBy("conv_id", "turn").agg(F.coalesce(outer, any_).alias("reply_to"), F.count_distinct("passage").alias("n_linked"))
@@ -102,19 +121,17 @@ def conversations(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, own_text, n_quoted (lines), n_linked (passages), reply_to, thread, depth, position (from 0) of each row."""
     spark = messages.sparkSession
     work = Scratch(spark, "quotes")
-    messages = own(messages, "conv_id", "turn", "role", "text")
-    links = work.keep(link(messages), "links")
+    read = work.keep(parsed(own(messages, "conv_id", "turn", "role", "text")), "read")
+    links = work.keep(link(read), "links")
     hung = threads(links.select("conv_id", "turn", "reply_to"), work)
-    lines = lines_of(F.col("text"))
     rows = (
-        messages.select("conv_id", "turn", "role", own_text(lines).alias("own_text"), F.size(F.filter(lines, lambda x: x["level"] > 0)).cast("long").alias("n_quoted"))
+        read.select("conv_id", "turn", "role", "own_text", "n_quoted")
         .join(links, ["conv_id", "turn"], "left")
         .join(hung, ["conv_id", "turn"], "left")
         .withColumns({"n_linked": F.coalesce("n_linked", F.lit(0)), "thread": F.coalesce("thread", "turn"), "depth": F.coalesce("depth", F.lit(0)).cast("long")})
     )
-    rows = work.keep(rows, "rows")
     order = [F.asc_nulls_last("thread"), F.asc_nulls_last("turn"), F.asc_nulls_first("role"), F.asc("own_text")]
-    n = rows.count() // RANGE_ROWS + 1
+    n = read.count() // RANGE_ROWS + 1
     shuffles = max(int(n), int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = work.keep(rows.repartitionByRange(shuffles, F.asc_nulls_last("conv_id"), *order).withColumn("part", F.spark_partition_id()), "dealt")
     before = dealt.groupBy("conv_id", "part").agg(F.count("*").alias("n")).select(
