@@ -1,7 +1,8 @@
 """WARC archives in Zstandard: a dictionary in the leading skippable frame, then one frame for each record.
 
 The writer groups payloads by digest: the smallest page_id of each group is a response, the others revisit it. Digests are
-counted before they are shuffled and pages meet them in a sort-merge join, whose hot partitions Spark splits; each task
+counted before they are shuffled. Only digests that occur twice are joined to the pages; pages with one of the fewer than HOT
+digests that are hot stay in their tasks, the others meet theirs in a join that broadcasts only what is small. Each task
 writes archives of bounded size to the shared folder and lists them in a table that Spark commits, so retried tasks and
 lost executors leave nothing that counts. The dictionary of an archive is trained on its own first records.
 
@@ -27,7 +28,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, own, ship, table
+from .common import HOT, Scratch, own, ship, table
 
 #: Fixed values of the formats.
 DICTIONARY_FRAME, VERSION, PROFILE = 0x184D2A5D, b"WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -127,8 +128,12 @@ def write(pages: DataFrame, folder: str, least: int = LEAST) -> DataFrame:
         F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload")
     )
     full = full.withColumn("sha1", F.sha1("payload"))
-    first = full.where(F.length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"))
-    marked = full.join(first, "sha1", "left").select("page_id", "url", "payload", "sha1", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
+    twice = full.where(F.length("payload") >= least).groupBy("sha1").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    twice = Scratch(pages.sparkSession, "warc-digests").keep(twice, "twice")
+    total = twice.agg(F.sum("n")).first()[0] or 0
+    hot, rest = F.broadcast(twice.where(F.col("n") > total / HOT)), twice.where(F.col("n") <= total / HOT)
+    met = full.join(hot, "sha1").unionByName(full.join(hot.select("sha1"), "sha1", "left_anti").join(rest, "sha1", "left"))
+    marked = met.select("page_id", "url", "payload", "sha1", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first")), F.col("first")).alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
