@@ -6,7 +6,8 @@ differ between themselves (method of moments). A url without a rule is blocked w
 (mean plus Z standard deviations) is below FLOOR: an unseen or thinly labelled host is never blocked by its own few labels.
 
 Everything is DataFrame operations: outcomes are summed before they are shuffled, so a host with a third of all rows is one
-row a task; the verdicts by host meet the pages in a sort-merge join, whose hot partitions Spark splits.
+row a task. The driver sees three strengths and the corpus's mean, no more. Pages of the fewer than a thousand hot hosts stay in
+their tasks when they meet their host's bound; pages and labels meet by page.
 
 Null urls and urls without "://": empty host and path; no rule fits them, and they are one host to
 the method. Repeated rows are judged one by one. An empty table gives no rows; without labels every page is allowed. Extra columns are
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import own, table
+from .common import Scratch, meet, own, table
 
 #: Fixed values: (action, host, path).
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
@@ -58,35 +59,41 @@ def rule_of(host: Column, path: Column, rules=tuple(RULES)) -> tuple[Column, Col
     return text, action
 
 
-def _strength(children: DataFrame) -> DataFrame:
-    """One row: the strength of the prior, from children with n, good and the parent's mean m, by moments.
+def _strength(children: DataFrame) -> float:
+    """The strength of the prior, from children with n, good and the parent's mean m, by moments.
 
     The spread of children's rates beyond that of their own counts, against m(1 - m), is 1 / (1 + strength)."""
     rate, var = F.col("good") / F.col("n"), F.col("m") * (1 - F.col("m"))
     low, high = STRENGTH
     sums = children.agg(F.sum(F.col("n") * ((rate - F.col("m")) ** 2)).alias("seen"), F.sum(var).alias("own"), F.sum(F.col("n") * var).alias("all"))
     rho = (F.col("seen") - F.col("own")) / F.nullif(F.col("all") - F.col("own"), F.lit(0.0))
-    return sums.select(F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), 1 / F.greatest(rho, F.lit(1e-9)) - 1)), F.lit(high)).alias("k"))
+    return sums.select(F.coalesce(F.greatest(F.lit(low), F.least(F.lit(high), 1 / F.greatest(rho, F.lit(1e-9)) - 1)), F.lit(high)).alias("k")).first()[0]
 
 
 def reputation(outcomes: DataFrame) -> DataFrame:
     """From (host, good 0/1): (host, mean, upper) of hosts with outcomes."""
     hosts = outcomes.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("good").cast("double")).alias("good"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    work = Scratch(outcomes.sparkSession, "urls")
+    hosts = work.keep(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "hosts")
     add = [F.sum("n").alias("n"), F.sum("good").alias("good")]
-    domains = hosts.groupBy("domain", "suffix").agg(*add)
-    suffixes = domains.groupBy("suffix").agg(*add)
-    corpus = suffixes.agg(((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).alias("m"))
+    domains = work.keep(hosts.groupBy("domain", "suffix").agg(*add), "domains")
+    suffixes = work.keep(domains.groupBy("suffix").agg(*add), "suffixes")
+    m = suffixes.select((F.coalesce(F.sum("good"), F.lit(0.0)) + 1) / (F.coalesce(F.sum("n"), F.lit(0.0)) + 2)).first()[0]
 
-    def shrunk(level: DataFrame, parents: DataFrame, by: list[str]) -> DataFrame:
-        withm = level.join(parents, by)
-        k = F.broadcast(_strength(withm).withColumn("one", F.lit(1)))  # one row
-        return withm.withColumn("one", F.lit(1)).join(k, "one").withColumns({"a": F.col("k") * F.col("m") + F.col("good"), "total": F.col("k") + F.col("n")})
+    def shrunk(withm: DataFrame, name: str) -> DataFrame:
+        withm = work.keep(withm, name)
+        k = F.lit(_strength(withm))
+        return withm.withColumns({"a": k * F.col("m") + F.col("good"), "total": k + F.col("n")})
+
+    def below(level: DataFrame, parents: DataFrame, by: str) -> DataFrame:
+        children = level.groupBy(by).agg(F.count("*").alias("rows"))
+        keys = work.keep(parents.join(children, by).select(by, "m", F.col("rows").alias("n")), f"{by}-means")
+        return meet(level.withColumnRenamed("n", "n_outcomes"), keys, by).drop("n").withColumnRenamed("n_outcomes", "n")
 
     mean = (F.col("a") / F.col("total")).alias("m")
-    s = shrunk(suffixes.withColumn("root", F.lit("")), F.broadcast(corpus.withColumn("root", F.lit(""))), ["root"]).select("suffix", mean)
-    d = shrunk(domains, s, ["suffix"]).select("domain", mean)
-    h = shrunk(hosts.drop("suffix"), d, ["domain"])
+    s = shrunk(suffixes.withColumn("m", F.lit(m)), "suffix").select("suffix", mean)
+    d = shrunk(below(domains, s, "suffix"), "domain").select("domain", mean)
+    h = shrunk(below(hosts.drop("suffix"), d, "domain"), "host")
     mu = F.col("a") / F.col("total")
     upper = mu + Z * F.sqrt(mu * (1 - mu) / (F.col("total") + 1))
     return h.select("host", mu.alias("mean"), upper.alias("upper"))
@@ -99,7 +106,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=tuple(RULES)) -> DataFram
     hosts = reputation(split.join(labelled, "page_id").select("host", "good"))
     rule, action = rule_of(F.col("host"), F.col("path"), rules)
     method = F.when(F.col("upper") < FLOOR, "block").otherwise("allow")
-    return split.join(hosts, "host", "left").select(
+    keys = split.groupBy("host").agg(F.count("*").alias("n")).join(hosts, "host", "left")
+    return meet(split, Scratch(pages.sparkSession, "urls-hosts").keep(keys, "hosts"), "host").select(
         "page_id", "host", "path", rule.alias("rule"), F.coalesce(action, method).alias("verdict"), F.round("mean", 6).alias("host_mean"), F.round("upper", 6).alias("host_upper")
     )
 
