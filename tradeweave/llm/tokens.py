@@ -15,7 +15,9 @@ from functools import lru_cache
 
 import numpy as np
 
-KNOWN = 700_000  # some 100 MB a worker
+KNOWN = 700_000
+#: Characters of the longest chunk that is kept from one text to the next: a worker keeps about 100 MB.
+LONG = 64
 CHUNK = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+")
 #: The characters that byte-level vocabularies write for bytes which don't print.
 BYTES = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
@@ -107,7 +109,11 @@ class Encoder:
         if fresh:
             self._learn(fresh)
         self.spaced.update((c, self.spaced[s] + self.ends_of[end]) for c, (s, end) in zip(new, stems, strict=True) if c != s)
-        return b"".join(map(self.spaced.__getitem__, chunks))
+        out = b"".join(map(self.spaced.__getitem__, chunks))
+        for c in [c for c in new if len(c) > LONG]:
+            self.spaced.pop(c, None)
+            self.spaced.pop(self._stem(c)[0], None)
+        return out
 
     def _learn(self, fresh: set[str]) -> None:
         """A stem of Latin-1 letters is one word to either pre-tokenizer and normal but for its case: the model alone gives its
@@ -136,7 +142,10 @@ class Encoder:
             new = list(dict.fromkeys(chunks))
         if new:
             self.known.update(zip(new, self._apart(new), strict=True))
-        return b"".join(map(self.known.__getitem__, chunks))
+        out = b"".join(map(self.known.__getitem__, chunks))
+        for c in [c for c in new if len(c) > LONG]:
+            del self.known[c]
+        return out
 
 
 @lru_cache(maxsize=2)
