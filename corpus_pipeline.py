@@ -5,6 +5,9 @@
 3. decontamination drops documents that hold a benchmark passage.
 4. secret_scans masks secrets in the texts (n_chars follows).
 5. packing gives the pieces and sequences of what is left.
+
+Null and empty texts have no words, so the first stage rejects them. Rows with a null doc_id stay if their texts do; of equal rows one
+stays. A table without rows gives none. Extra columns pass through all stages but the last, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,44 +21,49 @@ from tradeweave.llm.common import Scratch, table
 from tradeweave.llm.tokens import vocabulary
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-_written: list[Scratch] = []
+#: What the stage before wrote for itself, by stage: it can go when the next one begins, as that reads what was written out.
+_own: dict[int, list[Scratch]] = {}
+
 
+def _stage(k: int) -> Callable[[Stage], Stage]:
+    """Stage k of one corpus. It lets go of the tables that stage k - 1 last wrote for itself; those of the last stage stay, as its
+    result reads them. Stages of two corpora must not take turns."""
 
-def _stage(fn: Stage) -> Stage:
-    """A stage reads nothing of the tables that stages before it wrote for themselves: they go when it begins."""
+    def wrap(fn: Stage) -> Stage:
+        def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            for old in _own.pop(k - 1, []):
+                old.drop()
+            known = set(map(id, Scratch.made))
+            out = fn(spark, docs, sf_dir)
+            _own[k] = [s for s in Scratch.made if id(s) not in known]
+            return out
 
-    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        while _written:
-            _written.pop().drop()
-        known = len(Scratch.made)
-        out = fn(spark, docs, sf_dir)
-        _written.extend(Scratch.made[known:])
-        return out
+        return run
 
-    return run
+    return wrap
 
 
-@_stage
+@_stage(0)
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.kept(docs)
 
 
-@_stage
+@_stage(1)
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return neardup.one_of_each(docs)
 
 
-@_stage
+@_stage(2)
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-@_stage
+@_stage(3)
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return secrets.redact(docs)
 
 
-@_stage
+@_stage(4)
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, vocabulary("byte_bpe_50k.json"))
 
