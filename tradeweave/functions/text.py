@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from .dims import HONORIFICS, SUFFIXES
 
@@ -29,12 +30,16 @@ def normalize_person(c: Column) -> Column:
     return squeeze(F.regexp_replace(s, r"(?U)[^\w\s]", " "))
 
 
-@F.pandas_udf("string")
+def folded(x: str) -> str:
+    flat = "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower()
+    return " ".join(re.sub(r"[^\w\s]|_", " ", flat).split())
+
+
+@F.pandas_udf(StringType())
 def fold_text(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Without case, accents and punctuation; Spark has no function for Unicode decomposition."""
     for s in texts:
-        flat = s.fillna("").map(lambda x: "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)).lower())
-        yield flat.str.replace(r"[^\w\s]|_", " ", regex=True).str.replace(r"\s+", " ", regex=True).str.strip()
+        yield s.fillna("").map(folded)
 
 
 def stable_id(prefix: str, *parts: Column) -> Column:
@@ -127,13 +132,13 @@ def match_score(a: str, b: str) -> float:
     return max(token_sort(a, b), token_set(a, b)) if low / high >= 0.6 else token_sort(a, b)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def name_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in pairs:
         yield pd.Series([match_score(x or "", y or "") for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def person_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Both names need two words."""
     for a, b in pairs:
@@ -145,7 +150,7 @@ _BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|
 _TAG = re.compile(r"<[^>]*>")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def html_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The text of a page: no scripts, styles or comments; a line for each block."""
     from html import unescape

@@ -5,13 +5,20 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared(spark: SparkSession) -> str:
+    """The folder that the session names, or in local mode (tests), where it names none, one of our own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir isn't set: it has to name a folder that the driver and all executors share")
+    return (named or "file://" + os.path.join(tempfile.gettempdir(), f"tradeweave-{os.getuid()}")).rstrip("/") + "/tradeweave"
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, computed and written to the checkpoint folder that the session names; one of our own only where it names none."""
+    """df, computed and written to the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or "file://" + os.path.join(tempfile.gettempdir(), f"tradeweave-{os.getuid()}", "rounds"))
+        sc.setCheckpointDir(shared(df.sparkSession) + "/rounds")
     return df.checkpoint()

@@ -1,7 +1,7 @@
 """Bounded walks over edges (src, dst[, id]): reachability, first paths, trails, roots, components.
 
 A frontier, one row for each seed and node, meets the edges in an equi-join a round. A round's plan holds only the round
-before it over edges settled once, and one aggregate takes the fewest hops: bounded walks are one lazy plan. Loops to a
+before it over plain scans of the edges, and one aggregate takes the fewest hops: bounded walks are one lazy plan. Loops to a
 fixpoint leave out what has been visited and are settled in the shared folder each round.
 """
 
@@ -37,7 +37,6 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int, keep_seeds: bool = Fal
     e = edges.select("src", "dst").distinct()
     if blocked is not None:
         e = e.join(blocked.select(F.col("id").alias("dst")), "dst", "left_anti")
-    e = settle(e) if depth > 1 else e  # read once a round
     frontier = seeds.select(F.col("id").alias("seed"), "id").distinct()
     seen = frontier.withColumn("hops", F.lit(0))
     for hop in range(1, depth + 1):
@@ -52,7 +51,6 @@ def first_paths(edges: DataFrame, seeds: DataFrame, depth: int, blocked: DataFra
     e = edges.select("id", "src", "dst").withColumnRenamed("id", "rel")
     if blocked is not None:
         e = e.join(blocked.select(F.col("id").alias("dst")), "dst", "left_anti")
-    e = settle(e) if depth > 1 else e
     none = F.array().cast("array<string>")
     p = F.struct(F.lit(0).alias("hops"), F.array("id").alias("node_ids"), none.alias("rel_ids")).alias("p")
     frontier = seeds.select("id").distinct().select(F.col("id").alias("seed"), "id", p)
@@ -68,7 +66,7 @@ def first_paths(edges: DataFrame, seeds: DataFrame, depth: int, blocked: DataFra
 
 def trails(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, id, hops, node_ids, rel_ids): every walk from each seed that uses no edge twice; nodes may come again."""
-    e = settle(edges.select(F.col("id").alias("rel"), "src", "dst"))
+    e = edges.select(F.col("id").alias("rel"), "src", "dst")
     at = seeds.select(F.col("id").alias("seed"), "id", F.array("id").alias("node_ids"), F.array().cast("array<string>").alias("rel_ids"))
     out = None
     for hop in range(1, depth + 1):
@@ -80,6 +78,22 @@ def trails(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def nearest(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(id, seed, hops): for each node the nearest seed but itself, of equal ones the least, within depth.
+
+    Two seeds a node go with the frontier, as the second serves nodes that are seeds themselves: a round makes at most two rows an
+    edge, however many seeds there are. Each round is settled."""
+    e = edges.select("src", "dst").distinct()
+    two = Window.partitionBy("id").orderBy("hops", "seed")
+    seen = seeds.select("id", F.col("id").alias("seed"), F.lit(0).alias("hops")).distinct()
+    for hop in range(1, depth + 1):
+        frontier = seen.where(F.col("hops") == hop - 1)
+        step = frontier.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "seed", F.lit(hop).alias("hops")).distinct()
+        every = seen.unionByName(step).groupBy("id", "seed").agg(F.min("hops").alias("hops"))
+        seen = settle(every.withColumn("k", F.row_number().over(two)).where("k <= 2").drop("k"))
+    return top(seen.where("seed <> id"), ["id"], [F.asc("hops"), F.asc("seed")], 1).drop("rank")
+
+
 def roots(owns: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(id, root, hops): owners of each start, at fewest hops, that nobody owns. owns: owner src, owned dst."""
     up = reach(reverse(owns.select("src", "dst")), starts, depth)

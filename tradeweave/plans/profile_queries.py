@@ -9,7 +9,7 @@ from .registry import SUPPLIER, add, tops
 add("graph_stats", lambda g: P.graph_stats(g).where("name not in ('Location', 'INCORPORATED_IN', 'MANUFACTURES_IN', 'OPERATES_IN', 'PARENT_SEATED_IN')"), """
 select 'label' what, 'Entity' as name, count(*) n from entity union all select 'label', 'Person', count(*) from person union all select 'label', 'Category', count(*) from category
 union all select 'label', 'Artifact', count(*) from artifact union all select 'type', 'SUPPLIES', count(*) from supplies union all select 'type', 'OWNS', count(*) from owns
-union all select 'type', 'HELD_ROLE', count(*) from role union all select 'type', 'PROVIDES', count(*) from provides union all select 'type', 'ABOUT', count(*) from about""")
+union all select 'type', 'HELD_ROLE', count(*) from role union all select 'type', 'SUBCATEGORY_OF', count(*) from category where parent is not null union all select 'type', 'PROVIDES', count(*) from provides union all select 'type', 'ABOUT', count(*) from about""")
 add("node_degree", lambda g: P.degree(g, SUPPLIER), f"""select t as "type", count(*) n from (select 'SUPPLIES' t, src, dst from supplies union all select 'OWNS', src, dst from owns union all select 'HELD_ROLE', src, dst from role
   union all select 'PROVIDES', src, dst from provides union all select 'ABOUT', src, dst from about union all select "type", src, 'loc_' || code from place) where '{SUPPLIER}' in (src, dst) group by t""")
 add("people_list", P.people_list, """select person.id, name, flagged, count(distinct dst) seats, count(*) filter (current) as current, string_agg(distinct title, ',' order by title) titles from person join role on src = person.id group by all""")
@@ -18,10 +18,10 @@ add("entities_list", P.entities_list, """select e.id, e.name, coalesce(buyers, 0
   left join (select src id, count(distinct dst) categories from provides group by src) using (id) left join (select id, parent_id from parents where rank = 1) using (id)""", tops)
 _n = lambda t: f"count(*) filter (\"type\" = '{t}')"
 add("locations", P.locations, f"select code, {_n('INCORPORATED_IN')} incorporated, {_n('OPERATES_IN')} operates, {_n('MANUFACTURES_IN')} manufactures, {_n('PARENT_SEATED_IN')} parent_seats from place group by code")
-_screen = lambda by: f"select id, predicate, source, value, retrieved_at from (select subject_id id, predicate, source, object_value as value, retrieved_at, row_number() over (partition by {by} order by retrieved_at desc nulls first, id) k from claim) where k = 1"
+_screen = lambda by: f"select id, predicate, source, value, retrieved_at from (select subject_id id, predicate, source, object_value as value, retrieved_at, row_number() over (partition by {by} order by retrieved_at desc nulls first, id) k from claim where status = 'committed') where k = 1"
 add("latest_screens_by_source", lambda g: P.latest_screens(g), _screen("subject_id, predicate, source"))
 add("latest_screens", lambda g: P.latest_screens(g, False), _screen("subject_id, predicate"))
-add("designated", P.designated, f"select id from entity where flagged union select id from person where flagged union select subject_id from claim where predicate in {P.DESIGNATING} and object_value = 'hit'")
+add("designated", P.designated, f"select id from entity where flagged union select id from person where flagged union select subject_id from claim where predicate in {P.DESIGNATING} and object_value = 'hit' and status = 'committed'")
 add("risk_bands", P.risk_bands, "select coalesce(risk_band, 'unscored') band, count(*) n from entity group by 1")
 _weights = """pairs as (select src, dst, bool_or(sole_source) sole, sum(amount) amount from supplies group by src, dst),
 weights as (select src id, dst consumer, sole, case when sole then 1 when sum(amount) over w > 0 then amount / sum(amount) over w else 1 / count(*) over w end weight from pairs window w as (partition by dst, sole))"""
@@ -38,9 +38,9 @@ add("supply_position", lambda g: P.supply_position(g, "ent_c1"), """select row_n
 add("interlocks", P.interlocks, "select a.dst id, b.dst other, count(*) people from seat_now a join seat_now b on a.src = b.src and a.dst < b.dst group by all", "seat_now as (select distinct src, dst from role where current)")
 add("artifacts_of", P.artifacts_of, """select dst id, src artifact_id, title, published_at, row_number() over (partition by dst order by published_at desc nulls first, src) as rank from about join artifact a on a.id = src qualify rank <= 5""")
 _said = lambda c: c.replace({"adverse_media_screen": "SUPPLIES", "financial_screen": "OWNS"}, subset=["predicate"])
-add("claims_decided", lambda g: P.decide(_said(g.claim)), """select id, subject_id, predicate, object_value, n_sources, case when ends_with(predicate, '_screen') or (trust = 'authoritative' and confidence >= 0.8) or n_sources >= 2
-  then 'committed' else 'staged' end decision from said join (select subject_id, predicate, object_value, count(distinct source) n_sources from said group by all) using (subject_id, predicate, object_value)""",
-    "said as (select id, subject_id, case predicate when 'adverse_media_screen' then 'SUPPLIES' when 'financial_screen' then 'OWNS' else predicate end predicate, object_value, source, trust, confidence from claim)")
-add("search_names", lambda g: P.search(g, "person 12"), """select id, name from (select id, name from entity union all select id, name from person) where (list_bool_or([starts_with(x, 'person') or levenshtein(x, 'person') <= 1
-  for x in string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ')])) and (list_bool_or([starts_with(x, '12') or levenshtein(x, '12') <= 1
-  for x in string_split(trim(regexp_replace(lower(name), '[^a-z0-9]+', ' ', 'g')), ' ')]))""")
+add("claims_decided", lambda g: P.decide(_said(g.claim)), """select id, subject_id, predicate, object_value, coalesce(n_sources, 0) n_sources, case when status = 'rejected' or (subject_id = object_id and predicate in ('SUPPLIES', 'OWNS')) then 'rejected' when ends_with(predicate, '_screen') or (trust = 'authoritative' and confidence >= 0.8) or n_sources >= 2
+  then 'committed' else 'staged' end decision from said left join (select subject_id, predicate, o, object_value, count(distinct source) n_sources from said where status <> 'rejected' group by all) using (subject_id, predicate, object_value, o)""",
+    "said as (select id, subject_id, case predicate when 'adverse_media_screen' then 'SUPPLIES' when 'financial_screen' then 'OWNS' else predicate end predicate, object_value, object_id, coalesce(object_id, '') o, status, source, trust, confidence from claim)")
+_words = "string_split(trim(regexp_replace(lower(strip_accents(name)), '[^a-z0-9]+', ' ', 'g')), ' ')"
+add("search_names", lambda g: P.search(g, "Pérson 12"), f"""select id, name from (select id, name from entity union all select id, name from person)
+  where list_bool_or([starts_with(x, 'person') or levenshtein(x, 'person') <= 1 for x in {_words}]) and list_bool_or([starts_with(x, '12') for x in {_words}])""")

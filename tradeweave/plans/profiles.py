@@ -6,12 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dims import CLASS_SEVERITY, placed, rank_of, severity_of
-from ..model import Graph
+from ..functions.text import fold_text, folded
+from ..model import EDGE_TYPES, Graph
 from ..operators import walks as W
 from . import templates as T
 
 #: Fixed values. Screens whose hit designates a party; predicates that observe and commit by themselves.
 DESIGNATING = ("sanctions_screen", "exclusion_screen", "restricted_list_screen")
+FUZZY_FROM = 4
 TRUSTED_CONFIDENCE, SOURCES = 0.8, 2
 #: Exposure from which a dependence is graded so.
 EXPOSURE = ((50, "high"), (25, "medium"), (10, "low"))
@@ -133,24 +135,26 @@ def artifacts_of(g: Graph, limit: int = 5) -> DataFrame:
 
 
 def decide(claims: DataFrame) -> DataFrame:
-    """claims with their decision (committed, staged, rejected): a claim of a party about itself is rejected; observations commit; so do
-    authoritative claims of TRUSTED_CONFIDENCE; others commit when SOURCES distinct sources say the same."""
-    own = (F.col("subject_id") == F.col("object_id")) | (F.col("status") == "rejected")
+    """claims with their decision (committed, staged, rejected): a relation of a party to itself is rejected; observations commit; so do
+    authoritative claims of TRUSTED_CONFIDENCE; others commit when SOURCES distinct sources say the same in claims that aren't rejected."""
+    own = (F.col("predicate").isin(*EDGE_TYPES) & (F.col("subject_id") == F.col("object_id"))) | (F.col("status") == "rejected")
     observed = F.col("predicate").endswith("_screen") | (F.col("predicate") == "mention")
-    said = claims.groupBy("subject_id", "predicate", F.coalesce("object_id", F.lit("")).alias("o"), F.coalesce("object_value", F.lit("")).alias("v")).agg(F.count_distinct("source").alias("n_sources"))
-    at = claims.withColumns({"o": F.coalesce("object_id", F.lit("")), "v": F.coalesce("object_value", F.lit(""))}).join(said, ["subject_id", "predicate", "o", "v"])
+    said = claims.where("status in ('staged', 'committed')").groupBy("subject_id", "predicate", F.coalesce("object_id", F.lit("")).alias("o"), F.coalesce("object_value", F.lit("")).alias("v")).agg(F.count_distinct("source").alias("n_sources"))
+    at = claims.withColumns({"o": F.coalesce("object_id", F.lit("")), "v": F.coalesce("object_value", F.lit(""))}).join(said, ["subject_id", "predicate", "o", "v"], "left").withColumn("n_sources", F.coalesce("n_sources", F.lit(0)))
     trusted = (F.col("trust") == "authoritative") & (F.col("confidence") >= TRUSTED_CONFIDENCE)
     how = F.when(own, "rejected").when(observed | trusted | (F.col("n_sources") >= SOURCES), "committed").otherwise("staged")
     return at.select("id", "subject_id", "predicate", "object_value", "n_sources", F.coalesce(how, F.lit("staged")).alias("decision"))
 
 
 def search(g: Graph, query: str) -> DataFrame:
-    """id, name of entities and people of whose words each word of the query begins one, or is one edit away from one."""
-    words = [w for w in query.lower().split() if w]
-    have = F.split(F.trim(F.regexp_replace(F.lower("name"), r"[^\p{L}\p{N}]+", " ")), " ")
+    """id, name of entities and people of whose words each word of the query begins one, or, with FUZZY_FROM letters or more, is one
+    edit away from one. Accents, case and punctuation don't count."""
+    words = folded(query).split()
+    have = F.split(fold_text(F.col("name")), " ")
 
     def like(w: str) -> Column:
-        return F.exists(have, lambda x: x.startswith(w) | (F.levenshtein(x, F.lit(w), 1) >= 0))
+        near = lambda x: F.levenshtein(x, F.lit(w), 1) >= 0
+        return F.exists(have, (lambda x: x.startswith(w) | near(x)) if len(w) >= FUZZY_FROM else (lambda x: x.startswith(w)))
 
     fits = T.all_of([F.lit(bool(words)), *map(like, words)])
     both = g.entity.select("id", "name").unionByName(g.person.select("id", "name"))

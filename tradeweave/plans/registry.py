@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..model import GRAPH_SQL, Graph, project
+from ..model import GRAPH_SQL, Graph, landed
 from . import templates as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -17,7 +17,7 @@ ROOT, SUPPLIER, BOARD_DATE = "ent_c0", "ent_s4", "2024-01-15"
 
 def add(name: str, build: Callable[[Graph], DataFrame], sql: str | None = None, more: str = "") -> None:
     """sql may use the graph's tables and the common table expressions of more."""
-    QUERIES[name] = lambda spark, sf_dir: build(project(spark, sf_dir))
+    QUERIES[name] = lambda spark, sf_dir: build(landed(spark, sf_dir))
     if sql:
         ORACLES[name] = f"with recursive {GRAPH_SQL}{', ' + more if more else ''}\n{sql}"
 
@@ -41,7 +41,7 @@ add("vendors_of_paths", lambda g: T.vendors_of_paths(g, ROOT, 3), """select w.id
     f"""w as (select '{ROOT}' id, ['{ROOT}'] nodes, []::varchar[] rels union all
       select s.src, list_append(nodes, s.src), list_append(rels, s.id) from w join supplies s on s.dst = w.id where len(rels) < 3 and not list_contains(rels, s.id))""")
 add("color_by_category", lambda g: T.color_by_category(g, ROOT, 2), """select id, case when bool_or(kind = 'goods') and bool_or(kind = 'services') then 'both' when bool_or(kind = 'goods') then 'goods'
-    when bool_or(kind = 'services') then 'services' else 'unknown' end bucket from tiers left join (select src id, c.kind from provides p join category c on c.id = p.dst) using (id) group by id""", tiers(2))
+    when bool_or(kind = 'services') then 'services' else 'unknown' end bucket from tiers left join (select src id, coalesce(t.kind, c.kind) kind from provides p join category c on c.id = p.dst left join category t on t.id = c.parent) using (id) group by id""", tiers(2))
 add("manufactures_in", lambda g: T.manufactures_in(g, ROOT, "CN", 1, 6), """select id, name, tier, string_agg(distinct code, ',' order by code) codes from tiers join entity using (id)
     join (select src id, code from place where type = 'MANUFACTURES_IN' and code = 'CN') using (id) group by all""", tiers(6))
 chain = """up_w as (select 'ent_s37' id, 0 hops, 'ent_s37' path union all select o.src, hops + 1, path || '>' || o.src from up_w join owns o on o.dst = up_w.id where hops < 6),
@@ -49,8 +49,8 @@ down_w as (select 'ent_s1' id, 0 hops, 'ent_s1' path union all select o.dst, hop
 seat as (select src id, min(code) country from place where type = 'INCORPORATED_IN' group by src)"""
 add("ownership_chain_up", lambda g: T.ownership_chain(g, "ent_s37").where("direction = 'up'"), "select id, name, 'up' direction, hops, path, country from up_w join entity using (id) left join seat using (id) where hops > 0", chain)
 add("ownership_chain_down", lambda g: T.ownership_chain(g, "ent_s1").where("direction = 'down'"), "select id, name, 'down' direction, hops, path, country from down_w join entity using (id) left join seat using (id) where hops > 0", chain)
-add("shared_directors", lambda g: T.shared_directors(g, ROOT, 3), """select distinct p.id person_id, p.name person, a.dst a_id, b.dst b_id from role a join role b on a.src = b.src and a.dst < b.dst join person p on p.id = a.src
-    where a.dst in (from m) and b.dst in (from m)""", tiers(3) + f", m as (select id from tiers union select '{ROOT}')")
+add("shared_directors", lambda g: T.shared_directors(g, ROOT, 3), """select distinct p.id person_id, p.name person, a.dst a_id, b.dst b_id from role a join role b on a.src = b.src and a.dst < b.dst join person p on p.id = a.src join entity x on x.id = a.dst join entity y on y.id = b.dst
+    where a.dst in (from m) and b.dst in (from m) and (x.lei is null or y.lei is null or x.lei <> y.lei)""", tiers(3) + f", m as (select id from tiers union select '{ROOT}')")
 add("sole_source", lambda g: T.sole_source(g, ROOT, 3), f"""select s.src id, e.name, min(b.tier) + 1 tier from supplies s join (select id, tier from tiers where tier < 3 union all select '{ROOT}', 0) b on b.id = s.dst
     join entity e on e.id = s.src where s.sole_source group by all""", tiers(3))
 tops = """uw as (select id start, id, 0 hops from entity union select start, o.src, hops + 1 from uw join owns o on o.dst = uw.id where hops < 6),
@@ -83,3 +83,4 @@ add("neighbourhood_program", lambda g: T.neighbourhood(g, ROOT, 1, program=ROOT,
     prog + ", " + near.split("nd1 as")[0].rstrip().rstrip(","))
 
 from . import profile_queries  # noqa: E402, F401  (it adds its queries)
+from . import risk_queries  # noqa: E402, F401

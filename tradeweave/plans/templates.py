@@ -41,7 +41,7 @@ def color_by_category(g: Graph, entity_id: str, depth: int = 1) -> DataFrame:
     parents = g.category.where("parent is not null").select(F.col("parent").alias("src"), F.col("id").alias("dst"))
     tops = W.roots(parents, g.category.select("id"), 4).join(g.category.select(F.col("id").alias("root"), F.col("kind").alias("top")), "root").groupBy("id").agg(F.min("top").alias("top"))
     kinds = g.category.select("id", "kind").join(tops, "id", "left").select(F.col("id").alias("dst"), F.coalesce("top", "kind").alias("kind"))
-    of = g.edges["PROVIDES"].join(F.broadcast(kinds), "dst").groupBy(F.col("src").alias("id")).agg(F.collect_set("kind").alias("kinds"))  # the taxonomy is a few dozen rows
+    of = g.edges["PROVIDES"].join(kinds, "dst").groupBy(F.col("src").alias("id")).agg(F.collect_set("kind").alias("kinds"))
     has = lambda k: F.coalesce(F.array_contains("kinds", k), F.lit(False))
     bucket = F.when(has("goods") & has("services"), "both").when(has("goods"), "goods").when(has("services"), "services").otherwise("unknown")
     return _suppliers(g, entity_id, W.clamp(depth, 1)).join(of, "id", "left").select("id", bucket.alias("bucket"))
