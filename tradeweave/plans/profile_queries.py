@@ -25,7 +25,7 @@ add("designated", P.designated, f"select id from entity where flagged union sele
 add("risk_bands", P.risk_bands, "select coalesce(risk_band, 'unscored') band, count(*) n from entity group by 1")
 _weights = """pairs as (select src, dst, bool_or(sole_source) sole, sum(amount) amount from supplies group by src, dst),
 weights as (select src id, dst consumer, sole, case when sole then 1 when sum(amount) over w > 0 then amount / sum(amount) over w else 1 / count(*) over w end weight from pairs window w as (partition by dst, sole))"""
-add("dependence_weights", lambda g: P.dependence_weights(g).selectExpr("id", "consumer", "sole", "round(weight, 8) weight"), "select id, consumer, sole, round(weight, 8) weight from weights", _weights)
+add("dependence_weights", lambda g: P.dependence_weights(g).selectExpr("id", "consumer", "sole", "round(weight * 1e8) / 1e8 weight"), "select id, consumer, sole, round(weight, 8) weight from weights", _weights)
 add("dependency", P.dependency, """select id, round(x, 4) exposure, case when round(x, 6) >= 50 then 'high' when round(x, 6) >= 25 then 'medium' when round(x, 6) >= 10 then 'low' else 'clear' end severity from (
   select consumer id, least(100.0, greatest(coalesce(max(risk_score) filter (sole), 0), coalesce(sum(weight * risk_score) filter (not sole), 0))) x
   from weights join entity using (id) where risk_score is not null group by consumer)""", _weights)

@@ -80,7 +80,8 @@ def risk_bands(g: Graph) -> DataFrame:
 
 def dependence_weights(g: Graph) -> DataFrame:
     """id (supplier), consumer, weight: 1 where it is the only source, else its share of what the consumer's competed awards amount to."""
-    e = g.edges["SUPPLIES"].groupBy("src", "dst").agg(F.bool_or("sole_source").alias("sole"), F.sum("amount").alias("amount"))
+    cents = F.round(F.col("amount") * 100).cast("long")  # whole numbers add up to the same in any order
+    e = g.edges["SUPPLIES"].groupBy("src", "dst").agg(F.bool_or("sole_source").alias("sole"), F.sum(cents).alias("amount"))
     w = Window.partitionBy("dst", "sole")
     total = F.sum("amount").over(w)
     share = F.when(F.col("sole"), 1.0).when(total > 0, F.col("amount") / total).otherwise(1 / F.count("*").over(w))
