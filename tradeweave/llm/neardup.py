@@ -316,14 +316,15 @@ def components(links: DataFrame, work: Scratch) -> DataFrame:
         before, k = now, k + 1
 
 
-def merged(rows: DataFrame, links: DataFrame) -> DataFrame:
+def merged(rows: DataFrame, links: DataFrame, work: Scratch, name: str) -> DataFrame:
     """rows with their class renamed along links (ca, cb), three steps far: classes that are still apart only cost more checks."""
     both = links.select("ca", "cb").unionByName(links.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).distinct()
     at = both.select("ca").distinct().select("ca", F.col("ca").alias("to"))
     for _ in range(3):
         near = both.join(at.toDF("cb", "near"), "cb").groupBy("ca").agg(F.min("near").alias("near"))
         at = at.join(near, "ca").select("ca", F.least("to", "near").alias("to"))
-    return rows.join(at.toDF("class", "to"), "class", "left").withColumn("class", F.coalesce("to", "class")).drop("to")
+    keys = rows.groupBy("class").agg(F.count("*").alias("n")).join(at.toDF("class", "to"), "class", "left").withColumn("to", F.coalesce("to", "class"))
+    return meet(rows, work.keep(keys, name), "class").withColumn("class", F.col("to")).drop("to", "n")
 
 
 def unlike(parts_: DataFrame) -> DataFrame:
@@ -353,7 +354,7 @@ def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -
         open_ = open_.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
         if found.take(1):
             links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
-            open_ = merged(open_, found)
+            open_ = merged(open_, found, work, f"names{k}")
         open_ = work.keep(open_, f"left{k}")
         for name in (f"crowded{k}", f"open{k}", f"leaders{k}", f"left{k - 1}"):
             work.drop(name)
