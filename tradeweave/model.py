@@ -117,7 +117,7 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
 
     line = t("lineitem").join(t("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
     pairs = line.groupBy("l_suppkey", "o_custkey").agg(
-        F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("amount"), F.count_distinct("l_orderkey").alias("award_count"), F.min("l_orderkey").alias("first_order")
+        (F.round(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))) * 100) / 100).alias("amount"), F.count_distinct("l_orderkey").alias("award_count"), F.min("l_orderkey").alias("first_order")
     )
     tier1 = pairs.select(
         F.concat(F.lit("ent_s"), "l_suppkey").alias("src"), F.concat(F.lit("ent_c"), "o_custkey").alias("dst"), F.lit(1).alias("tier"),
