@@ -388,7 +388,6 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         found = [bands(h, tf, idf.value) for h, tf in shingled(c["text"])]
         return {"doc_id": c["doc_id"], "node": c["node"], "bands": [b for b, _ in found], "prints": [p for _, p in found]}
 
-    release(spark)
     sketched = work.keep(map_rows(keyed, sketch, schema), "sketches")
     one = F.max(F.struct("bands", "prints")).alias("one")
     nodes = sketched.groupBy("node").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), one)
@@ -401,17 +400,14 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = work.keep(members.join(central, "node").select("bucket", "band", "node", F.struct("score", "node").alias("rank")), "ranked")
     work.drop("shared")
     work.drop("members")
-    release(spark)
     wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select(row_of(F.col("node"), F.col("first")).alias("row"))
     rows = keyed.withColumn("row", row_of(F.col("node"), F.col("doc_id"))).join(wanted, "row", "left_semi")
     arrays = work.keep(weighed(rows, idf).dropDuplicates(["node"]), "arrays")
-    release(spark)
 
     leaders = work.keep(members.groupBy("bucket").agg(F.max("rank").alias("top"), F.count("*").alias("n")).select("bucket", F.col("top.node").alias("leader"), "n"), "leaders")
     led = meet(members.select("bucket", "node"), leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     led = work.keep(led, "led")
     links = work.keep(verified(led, arrays), "links")
-    release(spark)
     roots = work.keep(components(links, work), "roots")
 
     at = members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
