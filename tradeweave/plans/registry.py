@@ -85,3 +85,4 @@ add("neighbourhood_program", lambda g: T.neighbourhood(g, ROOT, 1, program=ROOT,
 from . import profile_queries  # noqa: E402, F401  (it adds its queries)
 from . import risk_queries  # noqa: E402, F401
 from . import more_queries  # noqa: E402, F401
+from . import dossier_queries  # noqa: E402, F401
