@@ -46,6 +46,24 @@ def test_measures(spark):
         assert not (r.base_failed and r.kept)
 
 
+def repeating(seed):
+    """Words of which about a fifth repeat, so that verdicts fall on either side of each limit."""
+    r = random.Random(seed)
+    lines = [words(seed * 50 + i, r.randrange(3, 14)) for i in range(12)]
+    return "\n".join(lines + r.sample(lines, r.randrange(5)) + [words(seed + 9, r.randrange(1, 80))])
+
+
+def test_kept_by_plain_measures(spark):
+    rows = [*((i, repeating(i)) for i in range(200)), *((1000 + i, noise(i)) for i in range(50)), (2000, None), (2001, "")]
+    got = {r.doc_id: r.kept for r in quality.quality(docs_of(spark, rows), "doc_id").collect()}
+    for i, t in rows:
+        p, lines = plainly(t), (t or "").split("\n")
+        again = sum(len("".join(W.findall(x))) for k, x in enumerate(lines) if x in lines[:k])
+        over = again > quality.LINE_LIMIT * p["word_chars"] or any(p[f"dup_chars_{n}"] > limit * p["word_chars"] for n, limit in quality.LIMITS.items())
+        assert got[i] == (not p["base_failed"] and not over), (i, t)
+    assert 50 < sum(got.values()) < 200
+
+
 def test_kept_drops_repetition_and_keeps_columns(spark):
     docs = docs_of(spark, [(1, words(1, 300)), (2, "buy it now at once friend " * 40), (3, None), (4, (words(2, 30) + "\n") * 2 + words(3, 60))])
     out = quality.kept(docs)

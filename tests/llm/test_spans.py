@@ -85,6 +85,32 @@ def test_weak_parts_need_complements():
     assert {k for k, _, _ in secrets.scan("host=db.internal pwd=letmein99")[1]} == {"weak"}
 
 
+def plainly_linked(t):
+    """The spans beyond the base ones, pair by pair."""
+    base, short = secrets.base_spans(t, t.lower())
+    scope = lambda a: sum(m.start() <= a for m in secrets.SCOPE.finditer(t))
+    near = lambda x, y: scope(x[0]) == scope(y[0]) and y[0] <= x[1] + secrets.REACH and y[1] >= x[0] - secrets.REACH
+    logins, ends = ([m.span() for m in p.finditer(t)] for p in (secrets.LOGIN, secrets.ENDPOINT))
+    weak = short + [m.span() for m in secrets.WEAK.finditer(t)]
+    strong = [s[1:] for s in base if s[0] != "access"] + weak
+    names = [s[1:] for s in base if s[0] == "access"] + logins
+    out = [("login", *x) for x in logins if any(near(x, y) for y in strong)] + [("weak", *x) for x in weak if any(near(x, y) for y in names + ends)]
+    return sorted(s for s in out if all(s[2] <= a or b <= s[1] for _, a, b in base))
+
+
+def test_links_by_pairs():
+    parts = ["login: robert77", "user_id=ann_b", "pwd=letmein99", "password: short1", "token=abcdefghijklmnop", "https://db.example.org/x", "host=db.internal", "AKIA" + "Q7" * 8, "0f" * 9,
+             "auth: 0f0f0f0f0f0f0f0f0f", "\n\n", "\n \t\n", " and so on ", "x " * 40, "y " * 149, "", "İ"]
+    some = 0
+    for seed in range(600):
+        r = random.Random(seed)
+        t = "".join(r.choice(parts) + r.choice([" ", "\n", ", "]) for _ in range(r.randrange(14)))
+        more = sorted(s for s in secrets.scan(t)[1] if s[0] in ("login", "weak"))
+        assert more == plainly_linked(t), t
+        some += len(more)
+    assert some > 300
+
+
 def test_redact_keeps_rows_and_columns(spark):
     rows = [*ODD, (50, "password: hunter2hunter2 and more")]
     docs = docs_of(spark, rows)

@@ -11,7 +11,8 @@ how likely each pattern is personal data; a logistic classifier over votes, kind
 soft labels, and its decision for each pattern is what adds spans to the base ones.
 
 Patterns take linear time on any text: runs are consumed whole, an email is found from its at sign. Null and empty texts
-have no spans. Repeated rows are scanned one by one. Without candidates nothing is trained. Extra columns are ignored.
+have no spans. Repeated rows are scanned one by one. Without candidates nothing is trained; an empty table gives no rows. Extra columns
+are ignored.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ whose hash occurs twice or more are duplicated; the characters of words inside t
 only be duplicated where both its (n-1)-windows are, so after the shortest length only those places are hashed and sorted.
 
 Null and empty texts have no words: all measures are 0 and the text is rejected (too few words). Repeated rows are judged
-one by one. Extra columns are ignored.
+one by one. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -7,7 +7,7 @@ identifier or a weak secret near a part of another class. The join is by sorted
 cross documents, so no row leaves its task, and parts are counted, never paired.
 
 Every pattern scans a text once, in linear time; a text is scanned only if it holds what the pattern needs. Null and empty
-texts have no spans. Repeated rows are scanned one by one. Extra columns are ignored.
+texts have no spans. Repeated rows are scanned one by one. An empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
