@@ -85,6 +85,9 @@ def check_packing(rows, got, path):
             assert o == end
             end = o + n
     assert sorted(by_seq) == list(range(len(by_seq)))
+    for r in got:
+        ids = sum(n for _, n in by_seq[r.sequence_id])
+        assert r.sequence_length == (ids if ids.bit_count() == 1 else 1024)
     return sum(n for at in by_seq.values() for _, n in at) / (1024 * max(1, len(by_seq)))
 
 

@@ -6,7 +6,11 @@ shortest pattern that has room, and counts of patterns are updated. Pieces then
 counts by bucket and their prefix sums, and meet their place by a join on length and rank with the pattern slots, whose
 number depends on the sequence length alone, not on the corpus.
 
-Null and empty texts are documents of the end id alone. Repeated rows are packed one by one; equal rows share no piece.
+A sequence is padded to the sequence length, but for one whose ids are a power of two in number, which stays as it is; a
+piece says to how many ids its own is padded.
+
+Null and empty texts are documents of the end id alone. Repeated rows are packed one by one; equal rows share no piece. An
+empty table gives no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -60,14 +64,15 @@ def patterns(counts: dict[int, int], size: int) -> list[tuple[tuple[int, ...], i
     return sorted(done, reverse=True)
 
 
-def slots(found: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, end rank, first sequence, offset): pieces of a length take these in order of rank."""
+def slots(found: list[tuple[tuple[int, ...], int]], size: int) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, end rank, first sequence, offset, padded length): pieces of a length take these in order of rank."""
     out, rank, base = [], {}, 0
     for lengths, n in found:
-        at = 0
+        at, total = 0, sum(lengths)
+        padded = size if total & (total - 1) else total
         for length in lengths:
             r = rank.get(length, 0)
-            out.append((length, r, r + n, base, at))
+            out.append((length, r, r + n, base, at, padded))
             rank[length] = r + n
             at += length
         base += n
@@ -93,12 +98,12 @@ def pieces(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = END) ->
 
 
 def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = END) -> DataFrame:
-    """pieces() with sequence_id and offset."""
+    """pieces() with sequence_id, offset and sequence_length (with the padding)."""
     spark = docs.sparkSession
     cut = Scratch(spark, "pack").keep(pieces(docs, path, size, end), "pieces")
     counts = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most size rows
     found = patterns(counts, size)
-    places = spark.createDataFrame(slots(found) or [(0, 0, 0, 0, 0)], "length long, lo long, hi long, base long, offset long")
+    places = spark.createDataFrame(slots(found, size) or [(0,) * 6], "length long, lo long, hi long, base long, offset long, sequence_length long")
     buckets = max(BUCKETS, sum(counts.values()) // BUCKET_ROWS)
     dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)))
     by = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -107,7 +112,7 @@ def pack(docs: DataFrame, path: str, size: int = SEQUENCE, end: int = END) -> Da
     ranked = dealt.withColumn("within", F.row_number().over(within) - 1).join(before, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within"))
     at = F.broadcast(places.withColumnRenamed("length", "of"))  # depends on size alone
     return ranked.join(at, (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("lo")) & (F.col("rank") < F.col("hi"))).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset"
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("base") + F.col("rank") - F.col("lo")).alias("sequence_id"), "offset", "sequence_length"
     )
 
 
