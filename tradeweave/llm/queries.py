@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_decontamination
 from .divergence import OP13_SQL, op13_source_divergence
+from .merkle import OP11_SQL, op11_merkle_manifest
 from .neardup import op2_near_duplicates
 from .packing import op1_packing
 from .pii import op7_personal_data
@@ -29,11 +30,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "op13_source_divergence": op13_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
     "op4_warc": OP4_SQL,
     "op8_url_filter": OP8_SQL,
+    "op11_merkle_manifest": OP11_SQL,
     "op13_source_divergence": OP13_SQL,
 }
