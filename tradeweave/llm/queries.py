@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontaminate import op10_decontamination
 from .divergence import OP13_SQL, op13_source_divergence
+from .langid import op12_language_id
 from .merkle import OP11_SQL, op11_merkle_manifest
 from .neardup import op2_near_duplicates
 from .packing import op1_packing
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_decontamination": op10_decontamination,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_language_id": op12_language_id,
     "op13_source_divergence": op13_source_divergence,
 }
 
