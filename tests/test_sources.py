@@ -80,9 +80,9 @@ def test_articles_tickers_and_keys(spark):
 
 
 def test_awards(spark):
-    rows = [("p", "A1", "Acme Inc", "U1", 10.0, "5821", "NOT COMPETED", "3"), ("p", "A2", "Acme Inc", "u1", 30.0, "J012", None, "2"), ("p", "A3", "Bolt", None, 5.0, None, None, "1"), ("p", "A4", " ", None, 99.0, None, None, None)]
+    rows = [("p", "A1", "Acme Inc", "U1", 10.0, "5821", "NOT COMPETED", "3", None), ("p", "A2", "Acme Inc", "u1", 30.0, "J012", None, "2", "x"), ("p", "A3", "Bolt", None, 5.0, None, None, "1", None), ("p", "A4", " ", None, 99.0, None, None, None, None), ("p", "A5", "Cog", None, 1.0, "99", "Full", "4", "Only one source")]
     got = {r.name: r for r in payloads.usaspending(spark.createDataFrame(rows, payloads.AWARDS)).collect()}
-    assert set(got) == {"Acme Inc", "Bolt"} and got["Acme Inc"].amount == 40.0 and got["Acme Inc"].contract_ref == "A2" and got["Acme Inc"].category == "cat_maintenance"
+    assert set(got) == {"Acme Inc", "Bolt", "Cog"} and got["Cog"].sole_source and got["Cog"].category == "cat_other_goods" and got["Acme Inc"].amount == 40.0 and got["Acme Inc"].contract_ref == "A2" and got["Acme Inc"].category == "cat_maintenance"
     assert got["Bolt"].sole_source and not got["Acme Inc"].sole_source and got["Bolt"].category is None
 
 

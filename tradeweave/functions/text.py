@@ -86,9 +86,10 @@ def country_code(country: Column, state: Column) -> Column:
     return F.when((two == "US") & state.isNotNull() & (state != ""), F.concat(F.lit("US-"), F.upper(state))).otherwise(two)
 
 
-def is_sole_source(extent: Column, offers: Column) -> Column:
-    e = F.upper(F.coalesce(extent, F.lit("")))
-    return e.contains("NOT COMPETED") | e.contains("ONLY ONE SOURCE") | F.coalesce(offers.cast("string") == "1", F.lit(False))
+def is_sole_source(extent: Column, offers: Column, solicitation: Column) -> Column:
+    """An award that wasn't competed, was solicited from one source, or got one offer."""
+    says = lambda c, words: F.upper(F.coalesce(c, F.lit(""))).contains(words)
+    return says(extent, "NOT COMPETED") | says(solicitation, "ONLY ONE SOURCE") | F.coalesce(offers.cast("string") == "1", F.lit(False))
 
 
 def _indel(a: str, b: str) -> float:
@@ -145,25 +146,6 @@ def person_score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Se
         yield pd.Series([token_sort(x, y) if x and y and " " in x and " " in y else 0.0 for x, y in zip(a, b, strict=True)], dtype=float)
 
 
-_DROP = re.compile(r"(?is)<!--.*?-->|<(script|style|noscript|template)\b.*?</\1\s*>")
-_BREAK = re.compile(r"(?i)</?(?:p|div|br|li|ul|ol|tr|td|th|table|h[1-6]|section|article|header|footer|nav|blockquote)\b[^>]*>")
-_TAG = re.compile(r"<[^>]*>")
-
-
-@F.pandas_udf(StringType())
-def html_text(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """The text of a page: no scripts, styles or comments; a line for each block."""
-    from html import unescape
-
-    for s in pages:
-        flat = s.fillna("").map(lambda x: unescape(_TAG.sub("", _BREAK.sub("\n", _DROP.sub("", x)))))
-        yield flat.map(lambda x: "\n".join(t for line in x.split("\n") if (t := " ".join(line.split()))))
-
-
-def html_title(page: Column) -> Column:
-    return F.nullif(squeeze(F.regexp_extract(page, r"(?is)<title[^>]*>(.*?)</title>", 1)), F.lit(""))
-
-
 def html_escape(c: Column) -> Column:
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         c = F.replace(c, F.lit(a), F.lit(b))

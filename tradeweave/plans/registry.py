@@ -86,3 +86,4 @@ from . import profile_queries  # noqa: E402, F401  (it adds its queries)
 from . import risk_queries  # noqa: E402, F401
 from . import more_queries  # noqa: E402, F401
 from . import dossier_queries  # noqa: E402, F401
+from . import content_queries  # noqa: E402, F401

@@ -16,12 +16,16 @@ from ..functions.text import country_code, entity_id, is_sole_source, location_i
 #: Forms that become mentions, annual and late forms, days until an annual report is overdue.
 FORMS = ("10-K", "10-Q", "8-K", "20-F", "6-K", "40-F", "NT 10-K", "NT 10-Q", "NT 20-F", "DEF 14A", "SC 13D", "SC 13G")
 ANNUAL, LATE, OVERDUE_DAYS, MENTIONS = ("10-K", "20-F", "40-F"), ("NT 10-K", "NT 10-Q", "NT 20-F"), 500, 12
-#: Categories of product and service codes, by what the code begins with; the first that fits wins.
-PSC = {
-    "cat_structures": "15", "cat_aircraft_components": "16", "cat_engines": "28 29", "cat_avionics": "58 59 61 66", "cat_it_hardware": "70", "cat_hardware": "53 47",
-    "cat_metals": "95 96", "cat_weapons": "10 11 12 13 14", "cat_vehicles": "23 24", "cat_maintenance": "J N", "cat_professional": "R T Q B E", "cat_rdte": "A", "cat_it_services": "D",
-    "cat_training": "U", "cat_logistics": "V W", "cat_construction": "Y Z", "cat_engineering": "H L K C", "cat_other_services": "S F G M P X",
-}
+#: Categories of product and service codes, by what the code begins with; other codes by whether a digit leads.
+PSC = """
+15 cat_structures | 16 cat_aircraft_components | 28 cat_engines | 29 cat_engines | 58 cat_avionics | 59 cat_avionics | 61 cat_avionics | 66 cat_avionics
+70 cat_it_hardware | 53 cat_hardware | 47 cat_hardware | 95 cat_metals | 96 cat_metals | 10 cat_weapons | 11 cat_weapons | 12 cat_weapons | 13 cat_weapons | 14 cat_weapons
+23 cat_vehicles | 24 cat_vehicles | J cat_maintenance | N cat_maintenance | R cat_professional | T cat_professional | Q cat_professional | B cat_professional | E cat_professional
+A cat_rdte | D cat_it_services | U cat_training | V cat_logistics | W cat_logistics | Y cat_construction | Z cat_construction
+H cat_engineering | L cat_engineering | K cat_engineering | C cat_engineering
+S cat_other_services | F cat_other_services | G cat_other_services | M cat_other_services | P cat_other_services | X cat_other_services
+"""
+OTHER_GOODS, OTHER_SERVICES = "cat_other_goods", "cat_other_services"
 FACT = ("subject_id", "predicate", "object_id", "object_value", "source", "trust", "confidence", "detail", "url", "published_at")
 
 
@@ -44,11 +48,11 @@ def _stated(facts: DataFrame) -> DataFrame:
 
 
 def psc_category(code: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for category, prefixes in PSC.items():
-        for p in prefixes.split():
-            out = F.when(F.upper(code).startswith(p) & (F.length(code) > 0), category).otherwise(out)
-    return out
+    """By the first two characters of a code, or its first; codes of none of these by whether a digit leads. Null and empty: null."""
+    known = dict(pair.split() for line in PSC.strip().splitlines() for pair in line.split(" | "))
+    table, c = F.create_map(*[F.lit(x) for pair in known.items() for x in pair]), F.upper(code)
+    other = F.when(c.rlike("^[0-9]"), OTHER_GOODS).otherwise(OTHER_SERVICES)
+    return F.when(c != "", F.coalesce(table[F.substring(c, 1, 2)], table[F.substring(c, 1, 1)], other))
 
 
 def payload_key(method: Column, url: Column, body: Column) -> Column:
@@ -179,7 +183,7 @@ def gdelt(records: DataFrame) -> DataFrame:
     return mentions.unionByName(of.select(*screen))
 
 
-AWARDS = "id string, award_id string, recipient string, recipient_uei string, amount double, psc string, extent string, offers string"
+AWARDS = "id string, award_id string, recipient string, recipient_uei string, amount double, psc string, extent string, offers string, solicitation string"
 
 
 def usaspending(awards: DataFrame, max_primes: int = 25) -> DataFrame:
@@ -187,12 +191,12 @@ def usaspending(awards: DataFrame, max_primes: int = 25) -> DataFrame:
     awards (columns of AWARDS, a row an award), described by their largest award. A program doesn't supply itself."""
     none = F.lit(None).cast("string")
     rows = awards.where(F.trim("recipient") != "").withColumn("supplier", entity_id(F.col("recipient_uei"), none, none, F.col("recipient"))).where("supplier <> id")
-    lead = F.max(F.struct(F.coalesce("amount", F.lit(0.0)).alias("amount"), "award_id", "psc", "extent", "offers", "recipient")).alias("lead")
+    lead = F.max(F.struct(F.coalesce("amount", F.lit(0.0)).alias("amount"), "award_id", "psc", "extent", "offers", "recipient", "solicitation")).alias("lead")
     of = rows.groupBy("id", "supplier").agg(F.round(F.sum(F.coalesce("amount", F.lit(0.0))), 2).alias("amount"), F.count("*").alias("award_count"), lead)
     from ..operators.walks import top
 
     kept = top(of, ["id"], [F.desc("amount"), F.asc("supplier")], max_primes)
     return kept.select(
         F.col("supplier").alias("id"), F.col("lead.recipient").alias("name"), F.col("id").alias("program"), F.lit(1).alias("tier"), "amount", "award_count", F.col("lead.award_id").alias("contract_ref"),
-        is_sole_source(F.col("lead.extent"), F.col("lead.offers")).alias("sole_source"), F.col("lead.psc").alias("psc"), psc_category(F.col("lead.psc")).alias("category"),
+        is_sole_source(F.col("lead.extent"), F.col("lead.offers"), F.col("lead.solicitation")).alias("sole_source"), F.col("lead.psc").alias("psc"), psc_category(F.col("lead.psc")).alias("category"),
     )
