@@ -104,6 +104,29 @@ def test_samples_agree_as_weights_do():
     assert abs(np.mean(same) - np.mean(want)) < 0.02
 
 
+def test_often_repeated_words_count_as_often_as_they_occur(spark):
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.near_duplicates(docs_of(spark, [(1, "a " * 130_000), (2, "a " * 65_000), (3, "a " * 110_000)])).collect()}
+    assert got[1][0] == got[3][0] == 1 and got[2] == (2, 0)
+
+
+@pytest.mark.parametrize(("common", "linked"), [(7999, False), (8000, True), (8001, True)])
+def test_the_check_is_exact(spark, common, linked):
+    """Two arrays of 10000 hashes in all, of which so many are common; hashes that differ in their low halves alone are unlike."""
+    h = np.arange(10_000, dtype=np.uint64) + (np.uint64(1) << np.uint64(40))
+    own = (10_000 - common) // 2
+    a, b = h[: common + own], np.concatenate((h[:common], h[common + own :]))
+    rows = [(bytearray(k), *map(bytearray, neardup.packed(x, np.ones(len(x))))) for k, x in ((b"a", a), (b"b", b))]
+    arrays = spark.createDataFrame(rows, "node binary, h binary, w binary")
+    pairs = spark.createDataFrame([(bytearray(b"b"), bytearray(b"a"))], "a binary, b binary")
+    assert neardup.verified(pairs, arrays).count() == linked
+
+
+def test_packing_keeps_weights():
+    h, w = np.array([1, 5, 2**63 + 1], np.uint64), np.array([1, 0.7512345678901, 130_000.25])
+    a, b = neardup.unpacked(*neardup.packed(h, w))
+    assert (a == h).all() and (b == w).all()
+
+
 def test_pairs_among_refused_nodes_are_found(spark):
     """Forms just under the similarity, some of which have a twin above it."""
     form, rows = words(9, 350), []

@@ -15,8 +15,9 @@
    compared with the bucket's leader: the node whose buckets are largest, as that is the one from which the others were copied.
 4. Rest. Buckets that hold more than one class after that are divided by second bands, and in each part leaders of unlike classes
    are compared with all nodes of other classes, round by round with eight times as many leaders, until each part holds one
-   class or all its nodes have led. So every pair of texts that shares two bands, and whose sketches agree in AGREE samples or
-   more, is checked unless it is in one class already. Two texts at the threshold share two bands with a probability of 0.993
+   class or all its nodes have led. A pair is made in one part, that of the two lowest bands in which four bits of all samples
+   agree (of all bits, but in one pair of 5000). So such pairs of texts that share two bands, and whose sketches agree in AGREE
+   samples or more, are checked unless they are in one class already. Two texts at the threshold share two bands with a probability of 0.993
    and agree in so many samples with 0.997; at 0.85 both hold with 0.999.
 5. Check. Pairs are verified on the shingles of whole texts: weighted Jaccard similarity of SIMILARITY or more.
 6. Classes. Connected components of verified links, by alternating large and small stars; class_id is the least doc_id.
@@ -245,6 +246,15 @@ def differing(one: list[Column], other: list[Column]) -> Column:
     return out
 
 
+def shared_below(one: list[Column], other: list[Column], band: Column) -> Column:
+    """In how many bands below the given one all bits that prints hold of the ROWS samples agree."""
+    out, each = F.lit(0), 16 // ROWS
+    for b in range(BANDS - 1):
+        x = F.shiftrightunsigned(one[b // each].bitwiseXOR(other[b // each]), 4 * ROWS * (b % each)).bitwiseAND(F.lit((1 << 4 * ROWS) - 1))
+        out = out + ((x == 0) & (F.lit(b) < band)).cast("int")
+    return out
+
+
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
     """Weighted Jaccard similarity of (hashes, weights)."""
     total = a[1].sum() + b[1].sum()
@@ -256,16 +266,28 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float(low / (total - low))
 
 
+def packed(h: np.ndarray, w: np.ndarray) -> tuple[bytes, bytes]:
+    """Hashes as they are; of the weights only those that aren't 1: their places, then their values."""
+    other = np.flatnonzero(w != 1)
+    return h.astype("<u8").tobytes(), other.astype("<i8").tobytes() + w[other].astype("<f8").tobytes()
+
+
+def unpacked(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
+    hashes = np.frombuffer(h, "<u8")
+    out, n = np.ones(len(hashes)), len(w) // 16
+    if n:
+        out[np.frombuffer(w, "<i8", n)] = np.frombuffer(w, "<f8", n, 8 * n)
+    return hashes, out
+
+
 def weighed(texts: DataFrame, idf) -> DataFrame:
-    """(node, h, w) of rows (node, text): shingles, by half of their hash, and their weights as bytes."""
+    """(node, h, w) of rows (node, text): their shingles and weights, packed, none of them rounded."""
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            every = list(shingled(batch.column(1).to_pylist()))
-            h = [(x >> np.uint64(32)).astype("<u4").tobytes() for x, _ in every]
-            w = [np.minimum(weights(x, tf, idf.value), 60_000).astype("<f2").tobytes() for x, tf in every]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h, pa.binary()), pa.array(w, pa.binary())], names=["node", "h", "w"])
+            every = [packed(x, weights(x, tf, idf.value)) for x, tf in shingled(batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in every], pa.binary()), pa.array([w for _, w in every], pa.binary())], names=["node", "h", "w"])
 
     return texts.select("node", "text").mapInArrow(run, "node binary, h binary, w binary")
 
@@ -276,9 +298,6 @@ def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
     ship(spark)
     names = pairs.columns
 
-    def of(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
-        return np.frombuffer(h, "<u4"), np.frombuffer(w, "<f2").astype(float)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
         for batch in parts(batches):
@@ -286,8 +305,8 @@ def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
             keep = []
             for i in range(len(b)):
                 if last[0] != b[i]:
-                    last = (b[i], of(bh[i], bw[i]))
-                keep.append(similarity(of(ah[i], aw[i]), last[1]) >= SIMILARITY)
+                    last = (b[i], unpacked(bh[i], bw[i]))
+                keep.append(similarity(unpacked(ah[i], aw[i]), last[1]) >= SIMILARITY)
             yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
 
     dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
@@ -333,7 +352,8 @@ def unlike(parts_: DataFrame) -> DataFrame:
 
 
 def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -> DataFrame | None:
-    """Links (a, b) between nodes of unlike classes in the parts open_ (bucket, node, class, prints); asked: pairs (a, b), a > b, that need no check."""
+    """Links (a, b) between nodes of unlike classes in the parts open_ (bucket, upper: the higher of its two bands, node, class, prints), each
+    pair in the part of the two lowest bands that it shares; asked: pairs (a, b), a > b, that need no check."""
     k, slots, links = 0, SLOTS, None
     while True:
         crowded = work.keep(unlike(open_), f"crowded{k}")
@@ -345,7 +365,8 @@ def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -
         led = [F.col("top.node").alias("leader"), F.col("top.class").alias("of"), *(F.col(f"top.{p}").alias(f"of_{p}") for p in PRINT)]
         leaders = work.keep(open_.groupBy("bucket", slot.alias("slot")).agg(top).select("bucket", *led).join(crowded, "bucket"), f"leaders{k}")
         alike = differing([F.col(p) for p in PRINT], [F.col(f"of_{p}") for p in PRINT]) <= BANDS * ROWS - AGREE
-        met = meet(open_, leaders, "bucket").where((F.col("class") != F.col("of")) & alike)
+        once = shared_below([F.col(p) for p in PRINT], [F.col(f"of_{p}") for p in PRINT], F.col("upper")) == 1
+        met = meet(open_, leaders, "bucket").where((F.col("class") != F.col("of")) & alike & once)
         up = F.col("node") > F.col("leader")
         pair = [F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), F.when(up, F.col("class")).otherwise(F.col("of")).alias("ca"), F.when(up, F.col("of")).otherwise(F.col("class")).alias("cb")]
         fresh = work.keep(met.select(*pair).dropDuplicates(["a", "b"]).join(asked, ["a", "b"], "left_anti"), f"fresh{k}")
@@ -418,7 +439,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         both = meet(at, mixed, "bucket").drop("n").join(nodes.select("node", "bands", *PRINT), "node").select("node", "class", "band", "bucket", *PRINT, pairs_of).where("o.i <> band")
         lower = F.col("band") < F.col("o.i")
         part = F.when(lower, F.xxhash64("bucket", "o.other")).otherwise(F.xxhash64("o.other", "bucket"))
-        parts_ = both.select(part.alias("bucket"), "node", "class", *PRINT).dropDuplicates(["bucket", "node"])
+        parts_ = both.select(part.alias("bucket"), F.greatest("band", "o.i").alias("upper"), "node", "class", *PRINT).dropDuplicates(["bucket", "node"])
         asked = led.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         more = rest(work.keep(parts_, "left-1"), arrays, asked, work)
         if more is not None:
