@@ -15,8 +15,8 @@
    compared with the bucket's leader: the node whose buckets are largest, as that is the one from which the others were copied.
 4. Rest. Buckets that hold more than one class after that are divided by second bands, and in each part leaders of unlike classes
    are compared with all nodes of other classes, round by round with eight times as many leaders, until each part holds one
-   class or all its nodes have led. A pair is made in one part, that of the two lowest bands in which four bits of all samples
-   agree (of all bits, but in one pair of 5000). So such pairs of texts that share two bands, and whose sketches agree in AGREE
+   class or all its nodes have led. A pair is made in one part, that of the two lowest bands it shares by sixteen bits of
+   their keys (which miss one pair of some 20 000). So such pairs of texts that share two bands, and whose sketches agree in AGREE
    samples or more, are checked unless they are in one class already. Two texts at the threshold share two bands with a probability of 0.993
    and agree in so many samples with 0.997; at 0.85 both hold with 0.999.
 5. Check. Pairs are verified on the shingles of whole texts: weighted Jaccard similarity of SIMILARITY or more.
@@ -35,7 +35,7 @@ a class are null. An empty table gives no rows. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -246,11 +246,20 @@ def differing(one: list[Column], other: list[Column]) -> Column:
     return out
 
 
+def band_prints() -> list[Column]:
+    """Sixteen bits of each band's key, four bands in a number."""
+    out = []
+    for k in range(0, BANDS, 4):
+        each = [F.shiftleft(F.get("bands", F.lit(b)).bitwiseAND(F.lit(0xFFFF)), 16 * (b - k)) for b in range(k, min(BANDS, k + 4))]
+        out.append(reduce(lambda x, y: x.bitwiseOR(y), each))
+    return out
+
+
 def shared_below(one: list[Column], other: list[Column], band: Column) -> Column:
-    """In how many bands below the given one all bits that prints hold of the ROWS samples agree."""
-    out, each = F.lit(0), 16 // ROWS
+    """How many bands below the given one are shared, by the sixteen bits of their keys."""
+    out = F.lit(0)
     for b in range(BANDS - 1):
-        x = F.shiftrightunsigned(one[b // each].bitwiseXOR(other[b // each]), 4 * ROWS * (b % each)).bitwiseAND(F.lit((1 << 4 * ROWS) - 1))
+        x = F.shiftrightunsigned(one[b // 4].bitwiseXOR(other[b // 4]), 16 * (b % 4)).bitwiseAND(F.lit(0xFFFF))
         out = out + ((x == 0) & (F.lit(b) < band)).cast("int")
     return out
 
@@ -352,7 +361,7 @@ def unlike(parts_: DataFrame) -> DataFrame:
 
 
 def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -> DataFrame | None:
-    """Links (a, b) between nodes of unlike classes in the parts open_ (bucket, upper: the higher of its two bands, node, class, prints), each
+    """Links (a, b) between nodes of unlike classes in the parts open_ (bucket, upper: the higher of its two bands, node, class, prints of samples and bands), each
     pair in the part of the two lowest bands that it shares; asked: pairs (a, b), a > b, that need no check."""
     k, slots, links = 0, SLOTS, None
     while True:
@@ -361,11 +370,11 @@ def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -
             return links
         open_ = work.keep(meet(open_, crowded, "bucket").drop("n"), f"open{k}")
         slot = F.pmod(F.xxhash64("class", F.lit(k)), F.lit(slots))
-        top = F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "class", *PRINT)).alias("top")
-        led = [F.col("top.node").alias("leader"), F.col("top.class").alias("of"), *(F.col(f"top.{p}").alias(f"of_{p}") for p in PRINT)]
+        top = F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "class", *PRINT, *BAND)).alias("top")
+        led = [F.col("top.node").alias("leader"), F.col("top.class").alias("of"), *(F.col(f"top.{p}").alias(f"of_{p}") for p in (*PRINT, *BAND))]
         leaders = work.keep(open_.groupBy("bucket", slot.alias("slot")).agg(top).select("bucket", *led).join(crowded, "bucket"), f"leaders{k}")
         alike = differing([F.col(p) for p in PRINT], [F.col(f"of_{p}") for p in PRINT]) <= BANDS * ROWS - AGREE
-        once = shared_below([F.col(p) for p in PRINT], [F.col(f"of_{p}") for p in PRINT], F.col("upper")) == 1
+        once = shared_below([F.col(p) for p in BAND], [F.col(f"of_{p}") for p in BAND], F.col("upper")) == 1
         met = meet(open_, leaders, "bucket").where((F.col("class") != F.col("of")) & alike & once)
         up = F.col("node") > F.col("leader")
         pair = [F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), F.when(up, F.col("class")).otherwise(F.col("of")).alias("ca"), F.when(up, F.col("of")).otherwise(F.col("class")).alias("cb")]
@@ -384,6 +393,7 @@ def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -
 
 
 PRINT = [f"p{i}" for i in range(PRINTS)]
+BAND = [f"b{i}" for i in range(-(-BANDS // 4))]
 
 
 def node_of(text: Column) -> Column:
@@ -436,10 +446,10 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mixed = work.keep(unlike(at), "mixed")
     if mixed.take(1):
         pairs_of = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.get("bands", i).alias("other")))).alias("o")
-        both = meet(at, mixed, "bucket").drop("n").join(nodes.select("node", "bands", *PRINT), "node").select("node", "class", "band", "bucket", *PRINT, pairs_of).where("o.i <> band")
+        both = meet(at, mixed, "bucket").drop("n").join(nodes.select("node", "bands", *PRINT), "node").select("node", "class", "band", "bucket", *PRINT, *(c.alias(p) for c, p in zip(band_prints(), BAND, strict=True)), pairs_of).where("o.i <> band")
         lower = F.col("band") < F.col("o.i")
         part = F.when(lower, F.xxhash64("bucket", "o.other")).otherwise(F.xxhash64("o.other", "bucket"))
-        parts_ = both.select(part.alias("bucket"), F.greatest("band", "o.i").alias("upper"), "node", "class", *PRINT).dropDuplicates(["bucket", "node"])
+        parts_ = both.select(part.alias("bucket"), F.greatest("band", "o.i").alias("upper"), "node", "class", *PRINT, *BAND).dropDuplicates(["bucket", "node"])
         asked = led.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         more = rest(work.keep(parts_, "left-1"), arrays, asked, work)
         if more is not None:
