@@ -64,6 +64,29 @@ def first_paths(edges: DataFrame, seeds: DataFrame, depth: int, blocked: DataFra
     return seen.groupBy("seed", "id").agg(F.min("p").alias("p")).select("seed", "id", "p.hops", "p.node_ids", "p.rel_ids").where("hops > 0")
 
 
+def steps(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, id, hops, parent, rel): of each node within depth of a seed the node and edge before it on a path of fewest hops, of those
+    the least. A row holds one step, however long the path; chains() reads paths back for the rows that are kept."""
+    e = edges.select(F.col("id").alias("rel"), "src", "dst")
+    frontier, out = seeds.select(F.col("id").alias("seed"), "id").distinct(), None
+    for hop in range(1, depth + 1):
+        met = frontier.join(e, F.col("id") == F.col("src")).groupBy("seed", "dst").agg(F.min(F.struct(F.col("id").alias("parent"), "rel")).alias("p"))
+        one = met.select("seed", F.col("dst").alias("id"), F.lit(hop).alias("hops"), "p.parent", "p.rel")
+        frontier, out = one.select("seed", "id"), one if out is None else out.unionByName(one)
+    first = out.where("seed <> id").groupBy("seed", "id").agg(F.min(F.struct("hops", "parent", "rel")).alias("p"))
+    return first.select("seed", "id", "p.hops", "p.parent", "p.rel")
+
+
+def chains(stepped: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
+    """ends (seed, id and others) with node_ids and rel_ids of the way from id back to its seed. stepped: of steps(), best settled."""
+    one = stepped.select("seed", F.col("id").alias("at"), "parent", "rel")
+    now = ends.select("*", F.col("id").alias("at"), F.array("id").alias("node_ids"), F.array().cast("array<string>").alias("rel_ids"))
+    for _ in range(depth):
+        more = lambda name, x: F.when(F.col(x).isNotNull(), F.concat(name, F.array(x))).otherwise(F.col(name)).alias(name)
+        now = now.join(one, ["seed", "at"], "left").select(*ends.columns, F.coalesce("parent", "at").alias("at"), more("node_ids", "parent"), more("rel_ids", "rel"))
+    return now.drop("at")
+
+
 def trails(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, id, hops, node_ids, rel_ids): every walk from each seed that uses no edge twice; nodes may come again."""
     e = edges.select(F.col("id").alias("rel"), "src", "dst")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..model import Graph
 from ..operators import walks as W
+from ..operators.rounds import settle
 from . import templates as T
 from .layers import PIN_FLOOR, layer_of
 
@@ -31,7 +32,10 @@ def supply_findings(g: Graph, subject: str, depth: int = DEPTH, floor: int = FLO
     risky = g.entity.where((F.coalesce("risk_score", F.lit(-1)) >= floor) | F.coalesce("flagged", F.lit(False)))
     near = W.reach(W.reverse(g.edges["SUPPLIES"]), T._one(g, subject), W.clamp(depth, DEPTH)).select("id", F.col("hops").alias("tier"))
     kept = near.where(F.col("id") != subject).join(risky.select("id", "name", "risk_score", "flagged"), "id").orderBy(F.desc(F.coalesce("risk_score", F.lit(0))), "name", "id").limit(limit)
-    paths = W.first_paths(W.reverse(g.edges["SUPPLIES"]), T._one(g, subject), W.clamp(depth, DEPTH)).join(kept.select("id"), "id", "left_semi")
+    kept = settle(kept)
+    stepped = settle(W.steps(g.edges["SUPPLIES"], kept, W.clamp(depth, DEPTH)))  # from the kept ones on, along what they supply
+    ends = stepped.where(F.col("id") == subject).select("seed", "id")
+    paths = W.chains(stepped, ends, W.clamp(depth, DEPTH)).select(F.col("seed").alias("id"), "node_ids", "rel_ids")
     hops = paths.select("id", F.posexplode("rel_ids").alias("at", "rel")).join(g.edges["SUPPLIES"].select(F.col("id").alias("rel"), "sole_source", "contract_ref"), "rel")
     along = hops.groupBy("id").agg(F.bool_or("sole_source").alias("sole_source"), F.array_join(F.array_sort(F.collect_list(F.struct("at", "contract_ref")))["contract_ref"], ",").alias("contracts"))
     goods = g.edges["PROVIDES"].withColumnRenamed("src", "id2").join(kept.select(F.col("id").alias("id2")), "id2", "left_semi").groupBy(F.col("id2").alias("id")).agg(F.count_distinct("dst").alias("categories"))

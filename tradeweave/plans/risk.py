@@ -33,6 +33,19 @@ PARTS = {d: round(12 * w) for d, w in WEIGHTS.items()}
 TODAY = datetime.date(2025, 3, 1)
 
 
+def _of(df: DataFrame, ids: DataFrame | None, column: str = "id") -> DataFrame:
+    """The rows of df whose column is among ids (id); all of them where ids is None."""
+    return df if ids is None else df.join(ids.select(F.col("id").alias(column)), column, "left_semi").select(*df.columns)
+
+
+def within(g: Graph, ids: DataFrame | None) -> Graph:
+    """The graph with only what single nodes of ids are graded by: themselves, claims and artifacts about them, where they are."""
+    if ids is None:
+        return g
+    at = {t: _of(g.edges[t], ids, "src") for t in ("INCORPORATED_IN", "MANUFACTURES_IN", "OPERATES_IN", "PARENT_SEATED_IN", "HELD_ROLE")}
+    return g.with_(entity=_of(g.entity, ids), person=_of(g.person, ids), claim=_of(g.claim, ids, "subject_id"), edges=g.edges | at | {"ABOUT": _of(g.edges["ABOUT"], ids, "dst")})
+
+
 def _nodes(g: Graph) -> DataFrame:
     return g.entity.select("id", "flagged", F.lit("Entity").alias("label")).unionByName(g.person.select("id", "flagged", F.lit("Person").alias("label")))
 
@@ -52,14 +65,35 @@ def proximity(g: Graph) -> DataFrame:
     supply = g.edges["SUPPLIES"].select("src", "dst")
     with_flow = W.nearest(control.unionByName(supply), seeds, HOPS).withColumn("downstream", F.lit(True))
     any_way = W.nearest(control.unionByName(supply).unionByName(W.reverse(supply)), seeds, HOPS).withColumn("downstream", F.lit(False))
+    return _worse(g, with_flow.unionByName(any_way))
+
+
+def _worse(g: Graph, readings: DataFrame) -> DataFrame:
     rank = F.lit(None).cast("int")
     for hops, r in HOP_RANK.items():
         rank = F.when(F.col("hops") == hops, r).otherwise(rank)
-    both = with_flow.unionByName(any_way).withColumn("rank", rank - F.when(F.col("downstream"), 0).otherwise(1))
+    both = readings.withColumn("rank", rank - F.when(F.col("downstream"), 0).otherwise(1))
     named = both.join(_nodes(g).select("id"), "id", "left_semi")
     return W.top(named, ["id"], [F.desc("rank"), F.desc("downstream")], 1, "k").drop("k")
 
 
+def proximity_of(g: Graph, ids: DataFrame) -> DataFrame:
+    """id, seed, hops, downstream, rank, reachable, node_ids, rel_ids: proximity() of the nodes ids (id), with the number of designated parties
+    within reach in the chosen reading and the chain from the nearest, the least of the shortest. Walks back from ids alone; of
+    the walk a row a node and step is kept, and only the chosen chains are read back."""
+    seeds = settle(P.designated(g))
+    control = W.both_ways(g.edge(*CONTROL)).select("id", "src", "dst")
+    supply = g.edges["SUPPLIES"].select("id", "src", "dst")
+    out = None
+    for downstream, edges in ((True, control.unionByName(W.reverse(supply))), (False, control.unionByName(supply).unionByName(W.reverse(supply)))):
+        stepped = settle(W.steps(edges, ids, HOPS))
+        met = stepped.join(seeds, "id", "left_semi").groupBy("seed").agg(F.min(F.struct("hops", "id")).alias("p"), F.count("*").alias("reachable"))
+        chain = W.chains(stepped, met.select("seed", "p.id", "p.hops", "reachable"), HOPS)
+        one = chain.select(F.col("seed").alias("id"), F.col("id").alias("seed"), "hops", F.lit(downstream).alias("downstream"), "reachable", "node_ids", "rel_ids")
+        out = one if out is None else out.unionByName(one)
+    return _worse(g, out)
+
+
 def _class_rank() -> Column:
     out = F.lit(None).cast("string")
     for cls, severity in CLASS_SEVERITY.items():
@@ -67,29 +101,29 @@ def _class_rank() -> Column:
     return rank_of(out)
 
 
-def _seats(g: Graph) -> DataFrame:
-    """id, code: where entities are incorporated, their parents seated, and their topmost owners incorporated."""
+def _seats(g: Graph, ids: DataFrame | None = None) -> DataFrame:
+    """id, code: where entities (those among ids) are incorporated, their parents seated, and their topmost owners incorporated."""
     home = g.edges["INCORPORATED_IN"].select(F.col("src").alias("id"), "code")
-    seat = g.edges["PARENT_SEATED_IN"].select(F.col("src").alias("id"), "code")
-    up = T.ultimate_parents(g).select("id", "parent_id").join(home.groupBy(F.col("id").alias("parent_id")).agg(F.min("code").alias("code")), "parent_id").select("id", "code")
-    return home.unionByName(seat).unionByName(up).distinct()
+    seat = _of(g.edges["PARENT_SEATED_IN"].select(F.col("src").alias("id"), "code"), ids)
+    up = T.ultimate_parents(g, ids).select("id", "parent_id").join(home.groupBy(F.col("id").alias("parent_id")).agg(F.min("code").alias("code")), "parent_id").select("id", "code")
+    return _of(home, ids).unionByName(seat).unionByName(up).distinct()
 
 
-def foreign(g: Graph) -> DataFrame:
+def foreign(g: Graph, ids: DataFrame | None = None) -> DataFrame:
     """The worst class of the jurisdictions an entity is tied to; an opaque registry makes a mild one medium."""
     sites = g.edges["MANUFACTURES_IN"].select("src", "code").unionByName(g.edges["OPERATES_IN"].select("src", "code")).toDF("id", "code")
-    known = placed(_seats(g).unionByName(sites).distinct()).where(F.col("class").isNotNull()).withColumn("r", _class_rank())
+    known = placed(_seats(g, ids).unionByName(_of(sites, ids)).distinct()).where(F.col("class").isNotNull()).withColumn("r", _class_rank())
     worst = known.groupBy("id").agg(F.max("r").alias("r"), F.bool_or("opaque").alias("opaque"))
     return worst.select("id", F.when(F.col("opaque"), F.greatest("r", F.lit(2))).otherwise(F.col("r")).alias("rank"))
 
 
-def person_foreign(g: Graph) -> DataFrame:
+def person_foreign(g: Graph, ids: DataFrame | None = None) -> DataFrame:
     """Of a person: the worst class of where their current seats, or if there are none all their seats, are incorporated or controlled."""
     current = F.coalesce("current", F.col("to").isNull())
-    roles = g.edges["HELD_ROLE"].select(F.col("src").alias("person"), F.col("dst").alias("id"), current.alias("current"))
+    roles = _of(g.edges["HELD_ROLE"].select(F.col("src").alias("person"), F.col("dst").alias("id"), current.alias("current")), ids, "person")
     any_now = roles.groupBy("person").agg(F.bool_or("current").alias("any"))
     seats = roles.join(any_now, "person").where(F.col("current") | ~F.col("any")).select("person", "id").distinct()
-    at = placed(seats.join(_seats(g), "id")).where(F.col("class").isNotNull())
+    at = placed(seats.join(_seats(g, None if ids is None else seats.select("id").distinct()), "id")).where(F.col("class").isNotNull())
     return at.groupBy(F.col("person").alias("id")).agg(F.max(_class_rank()).alias("rank"))
 
 
@@ -158,12 +192,12 @@ def confidence(dimensions: tuple[str, ...]) -> Column:
     return F.bround(100 * has / sum(PARTS[d] for d in dimensions), 0).cast("int")
 
 
-def weights(g: Graph) -> DataFrame:
-    """id (supplier), consumer, sole, weight of each award: 1 for a sole source; competed ones share 1 by amount, or evenly."""
-    e = g.edges["SUPPLIES"].where("src <> dst").select(F.col("src").alias("id"), F.col("dst").alias("consumer"), F.coalesce("sole_source", F.lit(False)).alias("sole"), F.coalesce("amount", F.lit(0)).cast("double").alias("amount"))
+def weights(g: Graph, ids: DataFrame | None = None) -> DataFrame:
+    """id (supplier), consumer, sole, weight, edge_id of each award (of the consumers ids): 1 for a sole source; competed ones share 1 by amount, or evenly."""
+    e = _of(g.edges["SUPPLIES"].where("src <> dst"), ids, "dst").select(F.col("src").alias("id"), F.col("dst").alias("consumer"), F.coalesce("sole_source", F.lit(False)).alias("sole"), F.coalesce("amount", F.lit(0)).cast("double").alias("amount"), F.col("id").alias("edge_id"))
     of = e.where("not sole").groupBy("consumer").agg(F.sum("amount").alias("total"), F.count("*").alias("n"))
     share = F.when(F.col("sole"), 1.0).when(F.col("total") > 0, F.col("amount") / F.col("total")).otherwise(1 / F.col("n"))
-    return e.join(of, "consumer", "left").select("id", "consumer", "sole", share.alias("weight"))
+    return e.join(of, "consumer", "left").select("id", "consumer", "sole", share.alias("weight"), "edge_id")
 
 
 def exposure(weighted: DataFrame, scores: DataFrame) -> DataFrame:
@@ -177,43 +211,66 @@ def exposure(weighted: DataFrame, scores: DataFrame) -> DataFrame:
     return x.select("id", rank.alias("dependency"))
 
 
-def grades(g: Graph) -> DataFrame:
-    """id, label and the rank of each dimension of every entity and person."""
-    out = _nodes(g).select("id", "label")
-    near = proximity(g).select("id", "rank")
-    abroad = foreign(g).unionByName(person_foreign(g))
-    for name, df in (("designation", designation(g)), ("proximity", near), ("foreign", abroad), ("financial", financial(g)), ("regional", regional(g)), ("media", media(g))):
+def grades(g: Graph, ids: DataFrame | None = None, today: datetime.date = TODAY) -> DataFrame:
+    """id, label and the rank of each dimension of every entity and person (of those among ids)."""
+    part = within(g, ids)
+    out = _nodes(part).select("id", "label")
+    near = (proximity(g) if ids is None else proximity_of(g, ids)).select("id", "rank")
+    abroad = foreign(g, ids).unionByName(person_foreign(g, ids))
+    for name, df in (("designation", designation(part)), ("proximity", near), ("foreign", abroad), ("financial", financial(part, today)), ("regional", regional(part)), ("media", media(part))):
         out = out.join(df.select("id", F.col("rank").alias(name)), "id", "left")
     return out.withColumn("proximity", F.coalesce("proximity", F.lit(0)))
 
 
+WHOLE = (*ENTITY_DIMENSIONS, "dependency")
+
+
 def risk_scores(g: Graph, today: datetime.date = TODAY) -> DataFrame:
     """id, label, score, band, confidence, n_scored, top_factor, and the severity of each dimension."""
-    own = settle(grades(g))
+    own = settle(grades(g, today=today))
     weighted = settle(weights(g).repartition("id"))
     entities = own.where("label = 'Entity'")
     scores = entities.select("id", composite(ENTITY_DIMENSIONS).alias("score"))
-    whole = (*ENTITY_DIMENSIONS, "dependency")
     inherited = None
     for _ in range(PASSES):
         inherited = settle(exposure(weighted, scores))
-        scores = entities.join(inherited, "id", "left").select("id", composite(whole).alias("score"))
-    full = own.join(inherited, "id", "left")
+        scores = entities.join(inherited, "id", "left").select("id", composite(WHOLE).alias("score"))
+    return _scored(own.join(inherited, "id", "left"))
+
+
+def rescore(g: Graph, ids: DataFrame, today: datetime.date = TODAY) -> DataFrame:
+    """risk_scores() of the nodes ids (id) alone, as if all others kept the scores that they have stored: suppliers among ids count with
+    their new scores, round by round, the others with their stored ones. Reads what ids are graded by, the ways to designated
+    parties within HOPS, and the awards whose consumers they are; nothing else of the graph is scored."""
+    ids = settle(ids.select("id").where("id is not null").distinct())
+    own = settle(grades(g, ids, today))
+    weighted = settle(weights(g, ids))
+    stored = settle(_of(g.entity.where("risk_score is not null").select("id", F.col("risk_score").alias("score")), weighted.select("id").distinct()).join(ids, "id", "left_anti"))
+    entities = own.where("label = 'Entity'")
+    scores = entities.select("id", composite(ENTITY_DIMENSIONS).alias("score"))
+    inherited = None
+    for _ in range(PASSES):
+        inherited = settle(exposure(weighted, stored.unionByName(scores)))
+        scores = entities.join(inherited, "id", "left").select("id", composite(WHOLE).alias("score"))
+    return _scored(own.join(inherited, "id", "left"))
+
+
+def _scored(full: DataFrame) -> DataFrame:
+    """What risk_scores() gives, of the ranks of all dimensions."""
     person = F.col("label") == "Person"
-    score = F.when(person, composite(PERSON_DIMENSIONS)).otherwise(composite(whole))
-    sure = F.when(person, confidence(PERSON_DIMENSIONS)).otherwise(confidence(whole))
-    n = sum((F.when(F.col(d).isNotNull(), 1).otherwise(0) for d in whole), F.lit(0))
-    best = F.greatest(*[PARTS[d] * F.coalesce(F.col(d), F.lit(0)) for d in whole])
+    score = F.when(person, composite(PERSON_DIMENSIONS)).otherwise(composite(WHOLE))
+    sure = F.when(person, confidence(PERSON_DIMENSIONS)).otherwise(confidence(WHOLE))
+    n = sum((F.when(F.col(d).isNotNull(), 1).otherwise(0) for d in WHOLE), F.lit(0))
+    best = F.greatest(*[PARTS[d] * F.coalesce(F.col(d), F.lit(0)) for d in WHOLE])
     top = F.lit(None).cast("string")
-    for d in reversed(whole):
+    for d in reversed(WHOLE):
         top = F.when((best > 0) & (PARTS[d] * F.coalesce(F.col(d), F.lit(0)) == best), d).otherwise(top)
-    return full.select("id", "label", score.alias("score"), band_of(score).alias("band"), sure.alias("confidence"), n.alias("n_scored"), top.alias("top_factor"), *(severity_of(F.col(d)).alias(d) for d in whole))
+    return full.select("id", "label", score.alias("score"), band_of(score).alias("band"), sure.alias("confidence"), n.alias("n_scored"), top.alias("top_factor"), *(severity_of(F.col(d)).alias(d) for d in WHOLE))
 
 
 def risk_explain(g: Graph, scored: DataFrame) -> DataFrame:
     """id, dimension, severity (no data: null), weight: a row for each dimension that a node of scored is asked about."""
-    whole = (*ENTITY_DIMENSIONS, "dependency")
-    rows = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("severity"), F.lit(WEIGHTS[d]).alias("weight"), F.lit(d in PERSON_DIMENSIONS).alias("personal")) for d in whole])
+    rows = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("severity"), F.lit(WEIGHTS[d]).alias("weight"), F.lit(d in PERSON_DIMENSIONS).alias("personal")) for d in WHOLE])
     return scored.select("id", "label", F.explode(rows).alias("r")).where("label = 'Entity' or r.personal").select("id", "r.dimension", "r.severity", "r.weight")
 
 

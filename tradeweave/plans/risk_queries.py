@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from ..functions.dims import CLASS_SEVERITY, CLASSES, CONFLICT, HAZARD, OPAQUE, WEIGHTS, flat
 from . import profiles as P
 from . import risk as R
-from .registry import ROOT, add, tops
+from . import templates as T
+from ..model import GRAPH_SQL
+from .registry import ORACLES, ROOT, add, tops
 
 _rank = {"clear": 0, "low": 1, "medium": 2, "high": 3}
 _cls, _con, _haz = flat(CLASSES), flat(CONFLICT), flat(HAZARD)
@@ -100,3 +102,33 @@ add("risk_explain", lambda g: R.risk_explain(g, R.risk_scores(g).where(F.col("id
 add("risk_rescored", lambda g: R.rescored(g, g.entity.where("kind = 'organization' and risk_score is null").select("id"), R.risk_scores(g)).select("id", "risk_score", "risk_band", "risk_confidence"),
     """select e.id, case when e.kind = 'organization' and e.risk_score is null then s.score else e.risk_score end risk_score, case when e.kind = 'organization' and e.risk_score is null then s.band else e.risk_band end risk_band,
     case when e.kind = 'organization' and e.risk_score is null then s.confidence else e.risk_confidence end risk_confidence from entity e left join scored s using (id)""", ", ".join((EVERY, SCORES, SCORED)))
+
+# chains to designated parties, and rescoring of some nodes while all others keep what they have stored
+from .registry import tiers  # noqa: E402
+
+_asked = lambda g: T._suppliers(g, ROOT, 2).select("id").unionByName(T._one(g, ROOT))
+_asked_sql = tiers(2) + f", asked as (select id from tiers union select '{ROOT}')"
+_ways = """ctl3 as (select id, src, dst from owns union all select id, src, dst from role), ctl4 as (select * from ctl3 union all select id, dst, src from ctl3),
+way_{0} as materialized (select src, dst, min(id) rel from ({1}) group by src, dst),
+w0_{0} as (select id asked, id, [id] nodes, []::varchar[] rels from asked),
+w1_{0} as materialized (select asked, dst id, min(list_prepend(dst, nodes)) nodes, arg_min(list_prepend(rel, rels), list_prepend(dst, nodes)) rels from w0_{0} w join way_{0} e on e.src = w.id where dst <> asked group by all),
+w2_{0} as materialized (select asked, dst id, min(list_prepend(dst, nodes)) nodes, arg_min(list_prepend(rel, rels), list_prepend(dst, nodes)) rels from w1_{0} w join way_{0} e on e.src = w.id where dst <> asked and not exists (from w1_{0} x where x.asked = w.asked and x.id = e.dst) group by all),
+w3_{0} as materialized (select asked, dst id, min(list_prepend(dst, nodes)) nodes, arg_min(list_prepend(rel, rels), list_prepend(dst, nodes)) rels from w2_{0} w join way_{0} e on e.src = w.id join seeds on seeds.id = dst where dst <> asked
+  and not exists (from w1_{0} x where x.asked = w.asked and x.id = e.dst) and not exists (from w2_{0} x where x.asked = w.asked and x.id = e.dst) group by all),
+met_{0} as (select *, count(*) over (partition by asked) reachable from (from w1_{0} union all from w2_{0} union all from w3_{0}) join seeds using (id) qualify row_number() over (partition by asked order by len(rels), id) = 1)"""
+_down, _any = _ways.format("d", "from ctl4 union all select id, dst, src from supplies"), _ways.format("a", "from ctl4 union all select id, dst, src from supplies union all select id, src, dst from supplies").split("\n", 1)[1]
+add("risk_near_chains", lambda g: R.proximity_of(g, _asked(g)).select("id", "seed", "hops", "downstream", F.col("rank").alias("grade"), "reachable", F.array_join("node_ids", ">").alias("chain"), F.array_join("rel_ids", ",").alias("rels")),
+    """select asked id, id seed, len(rels)::int hops, downstream, 4 - len(rels)::int - (not downstream)::int grade, reachable, array_to_string(nodes, '>') as chain, array_to_string(rels, ',') rels
+      from (select *, true downstream from met_d union all select *, false from met_a) where asked in (select id from nodes)
+      qualify row_number() over (partition by asked order by 4 - len(rels)::int - (not downstream)::int desc, downstream desc) = 1""", ", ".join((SCREENS, NEAR, _asked_sql, _down, _any)))
+_changed = lambda g: g.entity.where("kind = 'program' or (risk_score is null and startswith(id, 'ent_s'))").select("id").unionByName(g.person.where("flagged").select("id"))
+_redo = lambda k: f"""rx{k} as materialized (select consumer id, case when x >= 50 then 3 when x >= 25 then 2 when x >= 10 then 1 else 0 end dependency from (
+  select consumer, round(least(100.0, greatest(max(score) filter (sole), sum(weight * score) filter (not sole))), 6) x from awards a join r{k} s on s.id = a.id where score is not null and consumer in (from changed) group by consumer)),
+r{k + 1} as materialized (select g.id, {_composite(_whole)} score from grades g left join rx{k} using (id) where label = 'Entity' and g.id in (from changed) union all from kept_)"""
+_RESCORE = f"""changed as (select id from entity where kind = 'program' or (risk_score is null and starts_with(id, 'ent_s')) union all select id from person where flagged),
+kept_ as (select id, risk_score score from entity where risk_score is not null and id not in (from changed)),
+r0 as materialized (select id, {_composite(_all)} score from grades where label = 'Entity' and id in (from changed) union all from kept_), """ + ", ".join(map(_redo, range(R.PASSES)))
+add("risk_rescore", lambda g: R.rescore(g, _changed(g)), "from rescored", ", ".join((EVERY, SCORES.split(", p0 as")[0].split("p0 as")[0].rstrip().rstrip(","), _RESCORE, SCORED.replace("scored as (", "rescored as (", 1).replace(f"left join x{R.PASSES - 1} using (id)", f"left join rx{R.PASSES - 1} using (id) where id in (from changed)"))))
+add("risk_rescored_stored", lambda g: R.rescored(g, _changed(g), R.rescore(g, _changed(g))).select("id", "risk_score", "risk_band", "risk_confidence"),
+    """select e.id, case when c.id is null then e.risk_score else s.score end risk_score, case when c.id is null then e.risk_band else s.band end risk_band, case when c.id is null then e.risk_confidence else s.confidence end risk_confidence
+      from entity e left join changed c using (id) left join rescored s using (id)""", ORACLES["risk_rescore"].split("with recursive " + GRAPH_SQL + ", ", 1)[1].rsplit("\n", 1)[0])
