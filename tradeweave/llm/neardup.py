@@ -24,7 +24,7 @@
 
 Pairs of a group of copies are as many as its nodes, as one class needs no further pair; only unlike texts that agree in two bands
 are all compared, by leaders. Hot keys: rows of the fewer than a thousand hot nodes and buckets stay in their tasks, what is
-broadcast to them has fewer rows than that; a leader's shingles meet its pairs in SALTS parts. No link, component or sketch goes
+broadcast to them has fewer rows than that; leaders' shingles meet their pairs in SALTS parts. No link, component or sketch goes
 to the driver; every step is a written table, so lost executors cost only their tasks.
 
 Null and empty texts are equal texts, without shingles. Texts of fewer than WORDS words have one shingle, of all of them.
@@ -57,8 +57,8 @@ COUNTERS = (18, 22)
 SLOTS, MORE = 8, 8
 #: Samples, of BANDS * ROWS, in which sketches have to agree before texts are compared (by four bits of each).
 AGREE = 37
-#: Parts of the pairs of one leader.
-SALTS = 32
+#: Parts of the pairs of leaders that are checked together; leaders of one part of unlike nodes that are.
+SALTS, TOGETHER = 32, 16
 #: Shingles sampled at once: bounds memory for very long texts.
 AT_ONCE = 1 << 12
 #: Plain bytes whose words are hashed at once.
@@ -302,26 +302,38 @@ def weighed(texts: DataFrame, idf) -> DataFrame:
 
 
 def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b and other columns) whose texts are similar."""
-    spark = pairs.sparkSession
-    ship(spark)
+    """Those of the pairs (node, leader, g and other columns) whose texts are similar. Pairs of one g meet in SALTS parts, by node: the
+    arrays of its leaders come to each part once, and first, then each node's array once, before its pairs. A task holds one node and
+    the leaders of one g."""
+    ship(pairs.sparkSession)
     names = pairs.columns
+    dealt = pairs.select("g", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"), "node", "leader", F.struct(*names).alias("pair"))
+    kind = dealt.schema["pair"].dataType.simpleString()
+
+    def brought(column: str, kind_: int) -> DataFrame:
+        ids = dealt.select("g", "salt", F.col(column).alias("node")).distinct().join(arrays, "node")
+        return ids.select("g", "salt", F.lit(min(kind_, 1)).alias("turn"), "node", F.lit(kind_).alias("kind"), F.lit(None).cast("binary").alias("leader"), "h", "w", F.lit(None).cast(kind).alias("pair"))
+
+    none = F.lit(None).cast("binary")
+    asked = dealt.select("g", "salt", F.lit(1).alias("turn"), "node", F.lit(2).alias("kind"), "leader", none.alias("h"), none.alias("w"), "pair")
+    every = brought("leader", 0).unionByName(brought("node", 1)).unionByName(asked)
+    placed = every.repartition("g", "salt").sortWithinPartitions("g", "salt", "turn", "node", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple = (None, None)
+        leaders, at, mine = {}, None, None
         for batch in parts(batches):
-            b, ah, aw, bh, bw = (batch.column(i).to_pylist() for i in (names.index("b"), *range(len(names), len(names) + 4)))
             keep = []
-            for i in range(len(b)):
-                if last[0] != b[i]:
-                    last = (b[i], unpacked(bh[i], bw[i]))
-                keep.append(similarity(unpacked(ah[i], aw[i]), last[1]) >= SIMILARITY)
-            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
+            for g, salt, node, k, leader, h, w in zip(*(batch.column(i).to_pylist() for i in (0, 1, 3, 4, 5, 6, 7)), strict=True):
+                if at != (g, salt):
+                    at, leaders = (g, salt), {}
+                if k == 0:
+                    leaders[node] = unpacked(h, w)
+                elif k == 1:
+                    mine = unpacked(h, w)
+                keep.append(k == 2 and similarity(mine, leaders[leader]) >= SIMILARITY)
+            yield pa.RecordBatch.from_arrays(batch.column(8).filter(pa.array(keep, pa.bool_())).flatten(), names=names)
 
-    dealt = pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS)))
-    led = dealt.select("b", "salt").distinct().join(arrays.toDF("b", "bh", "bw"), "b")
-    both = dealt.join(arrays.toDF("a", "ah", "aw"), "a").join(led, ["b", "salt"])
-    return both.select(*names, "ah", "aw", "bh", "bw").mapInArrow(run, pairs.schema)
+    return placed.mapInArrow(run, pairs.schema)
 
 
 def components(links: DataFrame, work: Scratch) -> DataFrame:
@@ -360,9 +372,10 @@ def unlike(parts_: DataFrame) -> DataFrame:
     return parts_.groupBy("bucket").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("bucket", "n")
 
 
-def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -> DataFrame | None:
-    """Links (a, b) between nodes of unlike classes in the parts open_ (bucket, upper: the higher of its two bands, node, class, prints of samples and bands), each
-    pair in the part of the two lowest bands that it shares; asked: pairs (a, b), a > b, that need no check."""
+def rest(open_: DataFrame, arrays: DataFrame, work: Scratch) -> DataFrame | None:
+    """Links (a, b) between nodes of unlike classes in the parts open_ (bucket, upper: the higher of its two bands, node, class, prints of
+    samples and bands), each pair in the part of the two lowest bands that it shares. A node that has led leaves its part, so a
+    pair comes up once, or twice if both lead at once; pairs that the leaders of buckets refused may be checked again."""
     k, slots, links = 0, SLOTS, None
     while True:
         crowded = work.keep(unlike(open_), f"crowded{k}")
@@ -370,17 +383,17 @@ def rest(open_: DataFrame, arrays: DataFrame, asked: DataFrame, work: Scratch) -
             return links
         open_ = work.keep(meet(open_, crowded, "bucket").drop("n"), f"open{k}")
         slot = F.pmod(F.xxhash64("class", F.lit(k)), F.lit(slots))
+        group = F.xxhash64("bucket", F.floor(F.col("slot") / TOGETHER)).alias("g")
         top = F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "class", *PRINT, *BAND)).alias("top")
         led = [F.col("top.node").alias("leader"), F.col("top.class").alias("of"), *(F.col(f"top.{p}").alias(f"of_{p}") for p in (*PRINT, *BAND))]
-        leaders = work.keep(open_.groupBy("bucket", slot.alias("slot")).agg(top).select("bucket", *led).join(crowded, "bucket"), f"leaders{k}")
+        leaders = work.keep(open_.groupBy("bucket", slot.alias("slot")).agg(top).select("bucket", group, *led).join(crowded, "bucket"), f"leaders{k}")
         alike = differing([F.col(p) for p in PRINT], [F.col(f"of_{p}") for p in PRINT]) <= BANDS * ROWS - AGREE
         once = shared_below([F.col(p) for p in BAND], [F.col(f"of_{p}") for p in BAND], F.col("upper")) == 1
         met = meet(open_, leaders, "bucket").where((F.col("class") != F.col("of")) & alike & once)
         up = F.col("node") > F.col("leader")
         pair = [F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), F.when(up, F.col("class")).otherwise(F.col("of")).alias("ca"), F.when(up, F.col("of")).otherwise(F.col("class")).alias("cb")]
-        fresh = work.keep(met.select(*pair).dropDuplicates(["a", "b"]).join(asked, ["a", "b"], "left_anti"), f"fresh{k}")
-        found = work.keep(verified(fresh, arrays), f"found{k}")
-        asked = asked.unionByName(fresh.select("a", "b"))
+        fresh = work.keep(met.select(*pair, "node", "leader", "g").dropDuplicates(["a", "b"]), f"fresh{k}")
+        found = work.keep(verified(fresh, arrays).drop("node", "leader", "g"), f"found{k}")
         open_ = open_.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
         if found.take(1):
             links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
@@ -438,7 +451,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaders = work.keep(members.groupBy("bucket").agg(F.max("rank").alias("top"), F.count("*").alias("n")).select("bucket", F.col("top.node").alias("leader"), "n"), "leaders")
     led = meet(members.select("bucket", "node"), leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     led = work.keep(led, "led")
-    links = work.keep(verified(led, arrays), "links")
+    links = work.keep(verified(led.select("a", "b", F.col("a").alias("node"), F.col("b").alias("leader"), F.xxhash64("b").alias("g")), arrays).select("a", "b"), "links")
     roots = work.keep(components(links, work), "roots")
 
     at = members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
@@ -450,8 +463,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         lower = F.col("band") < F.col("o.i")
         part = F.when(lower, F.xxhash64("bucket", "o.other")).otherwise(F.xxhash64("o.other", "bucket"))
         parts_ = both.select(part.alias("bucket"), F.greatest("band", "o.i").alias("upper"), "node", "class", *PRINT, *BAND).dropDuplicates(["bucket", "node"])
-        asked = led.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        more = rest(work.keep(parts_, "left-1"), arrays, asked, work)
+        more = rest(work.keep(parts_, "left-1"), arrays, work)
         if more is not None:
             links = links.unionByName(more)
             roots = work.keep(components(links, Scratch(spark, "neardup-again")), "roots-again")
