@@ -88,3 +88,4 @@ from . import more_queries  # noqa: E402, F401
 from . import dossier_queries  # noqa: E402, F401
 from . import content_queries  # noqa: E402, F401
 from . import focus_queries  # noqa: E402, F401
+from . import search_queries  # noqa: E402, F401
