@@ -57,8 +57,8 @@ COUNTERS = (18, 22)
 SLOTS, MORE = 8, 8
 #: Samples, of BANDS * ROWS, in which sketches have to agree before texts are compared (by four bits of each).
 AGREE = 37
-#: Parts of the pairs of leaders that are checked together; leaders of one part of unlike nodes that are.
-SALTS, TOGETHER = 32, 16
+#: Parts of the pairs of leaders that are checked together; bytes of the arrays of such leaders.
+SALTS, HELD = 32, 32_000_000
 #: Shingles sampled at once: bounds memory for very long texts.
 AT_ONCE = 1 << 12
 #: Plain bytes whose words are hashed at once.
@@ -302,12 +302,14 @@ def weighed(texts: DataFrame, idf) -> DataFrame:
 
 
 def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
-    """Those of the pairs (node, leader, g and other columns) whose texts are similar. Pairs of one g meet in SALTS parts, by node: the
-    arrays of its leaders come to each part once, and first, then each node's array once, before its pairs. A task holds one node and
-    the leaders of one g."""
+    """Those of the pairs (node, leader and other columns) whose texts are similar. Leaders are dealt into as many groups as keep a group's
+    arrays at about HELD bytes. Pairs of a group meet in SALTS parts, by node: the arrays of its leaders come to each part once, and
+    first, then each node's array once, before its pairs. A task holds the leaders of one group and one node."""
     ship(pairs.sparkSession)
     names = pairs.columns
-    dealt = pairs.select("g", F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"), "node", "leader", F.struct(*names).alias("pair"))
+    mean = arrays.agg(F.avg(F.length("h") + F.length("w"))).first()[0] or 0
+    groups = max(1, -(-pairs.select("leader").distinct().count() * int(mean) // HELD))
+    dealt = pairs.select(F.pmod(F.xxhash64("leader"), F.lit(groups)).alias("g"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"), "node", "leader", F.struct(*names).alias("pair"))
     kind = dealt.schema["pair"].dataType.simpleString()
 
     def brought(column: str, kind_: int) -> DataFrame:
@@ -383,17 +385,16 @@ def rest(open_: DataFrame, arrays: DataFrame, work: Scratch) -> DataFrame | None
             return links
         open_ = work.keep(meet(open_, crowded, "bucket").drop("n"), f"open{k}")
         slot = F.pmod(F.xxhash64("class", F.lit(k)), F.lit(slots))
-        group = F.xxhash64("bucket", F.floor(F.col("slot") / TOGETHER)).alias("g")
         top = F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "class", *PRINT, *BAND)).alias("top")
         led = [F.col("top.node").alias("leader"), F.col("top.class").alias("of"), *(F.col(f"top.{p}").alias(f"of_{p}") for p in (*PRINT, *BAND))]
-        leaders = work.keep(open_.groupBy("bucket", slot.alias("slot")).agg(top).select("bucket", group, *led).join(crowded, "bucket"), f"leaders{k}")
+        leaders = work.keep(open_.groupBy("bucket", slot.alias("slot")).agg(top).select("bucket", *led).join(crowded, "bucket"), f"leaders{k}")
         alike = differing([F.col(p) for p in PRINT], [F.col(f"of_{p}") for p in PRINT]) <= BANDS * ROWS - AGREE
         once = shared_below([F.col(p) for p in BAND], [F.col(f"of_{p}") for p in BAND], F.col("upper")) == 1
         met = meet(open_, leaders, "bucket").where((F.col("class") != F.col("of")) & alike & once)
         up = F.col("node") > F.col("leader")
         pair = [F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), F.when(up, F.col("class")).otherwise(F.col("of")).alias("ca"), F.when(up, F.col("of")).otherwise(F.col("class")).alias("cb")]
-        fresh = work.keep(met.select(*pair, "node", "leader", "g").dropDuplicates(["a", "b"]), f"fresh{k}")
-        found = work.keep(verified(fresh, arrays).drop("node", "leader", "g"), f"found{k}")
+        fresh = work.keep(met.select(*pair, "node", "leader").dropDuplicates(["a", "b"]), f"fresh{k}")
+        found = work.keep(verified(fresh, arrays).drop("node", "leader"), f"found{k}")
         open_ = open_.join(leaders.select("bucket", F.col("leader").alias("node")), ["bucket", "node"], "left_anti")
         if found.take(1):
             links = found.select("a", "b") if links is None else links.unionByName(found.select("a", "b"))
@@ -451,7 +452,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaders = work.keep(members.groupBy("bucket").agg(F.max("rank").alias("top"), F.count("*").alias("n")).select("bucket", F.col("top.node").alias("leader"), "n"), "leaders")
     led = meet(members.select("bucket", "node"), leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     led = work.keep(led, "led")
-    links = work.keep(verified(led.select("a", "b", F.col("a").alias("node"), F.col("b").alias("leader"), F.xxhash64("b").alias("g")), arrays).select("a", "b"), "links")
+    links = work.keep(verified(led.select("a", "b", F.col("a").alias("node"), F.col("b").alias("leader")), arrays).select("a", "b"), "links")
     roots = work.keep(components(links, work), "roots")
 
     at = members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
