@@ -142,8 +142,9 @@ def _latest(g: Graph, predicate: str) -> DataFrame:
     return rows.select("id", "value")
 
 
-def financial(g: Graph, today: datetime.date = TODAY) -> DataFrame:
-    """The worst sign of distress; clear where a screen, filings in time or an active registration say so."""
+def financial_signs(g: Graph, today: datetime.date = TODAY) -> tuple[DataFrame, list[tuple[Column, Column]], Column]:
+    """The entities with what their signs are read from; the signs of distress, each a rank (null where it doesn't show) and what it says;
+    and 0 where a screen, filings in time or an active registration say that all is well."""
     about = g.edges["ABOUT"].select(F.col("src").alias("doc"), F.col("dst").alias("id")).join(g.artifact.select(F.col("id").alias("doc"), "kind", "form", "published_at"), "doc")
     docs = about.where(F.col("kind").isin("award", "filing")).groupBy("id").agg(
         F.bool_or(F.col("form").isin(*LATE_FORMS)).alias("late"), F.max(F.when(F.col("kind") == "filing", F.try_to_date(F.substring("published_at", 1, 10), "yyyy-MM-dd"))).alias("filed")
@@ -155,17 +156,24 @@ def financial(g: Graph, today: datetime.date = TODAY) -> DataFrame:
     for word in DEFUNCT:
         gone = gone | F.lower(F.coalesce("entity_status", F.lit(""))).contains(word)
     active = status.isin("active", "registered")
+    say = lambda text, c: F.concat(F.lit(text), c.cast("string"))
     signs = [
-        F.when((status != "") & ~active, 2),
-        F.when(expires < day, 3).when(F.date_diff(expires, day) < WARN_DAYS, 1),
-        F.when(gone, 3),
-        F.when(F.col("late"), 2),
-        F.when(F.col("public") & (F.date_diff(day, F.col("filed")) > STALE_DAYS), 2),
-        F.when(F.col("price_change_12m") <= -50, 3).when(F.col("price_change_12m") <= -25, 2),
-        F.when(rank_of(F.col("screen")) > 0, rank_of(F.col("screen"))),
+        (F.when((status != "") & ~active, 2), say("registration is ", F.col("registration_status"))),
+        (F.when(expires < day, 3).when(F.date_diff(expires, day) < WARN_DAYS, 1), say("registration ends ", expires)),
+        (F.when(gone, 3), say("registry says ", F.col("entity_status"))),
+        (F.when(F.col("late"), 2), F.lit("late filing on record")),
+        (F.when(F.col("public") & (F.date_diff(day, F.col("filed")) > STALE_DAYS), 2), say("listed, nothing filed since ", F.col("filed"))),
+        (F.when(F.col("price_change_12m") <= -50, 3).when(F.col("price_change_12m") <= -25, 2), F.concat(F.lit("value down "), F.abs(F.bround("price_change_12m", 0)).cast("int"), F.lit(" % in a year"))),
+        (F.when(rank_of(F.col("screen")) > 0, rank_of(F.col("screen"))), say("financial screen says ", F.col("screen"))),
     ]
     well = F.when((F.col("screen") == "clear") | (F.col("public") & F.col("filed").isNotNull()) | active, 0)
-    return e.select("id", F.coalesce(F.greatest(*signs), well).alias("rank"))
+    return e, signs, well
+
+
+def financial(g: Graph, today: datetime.date = TODAY) -> DataFrame:
+    """The worst sign of distress; clear where a screen, filings in time or an active registration say so."""
+    e, signs, well = financial_signs(g, today)
+    return e.select("id", F.coalesce(F.greatest(*[rank for rank, _ in signs]), well).alias("rank"))
 
 
 def media(g: Graph) -> DataFrame:

@@ -132,3 +132,12 @@ add("risk_rescore", lambda g: R.rescore(g, _changed(g)), "from rescored", ", ".j
 add("risk_rescored_stored", lambda g: R.rescored(g, _changed(g), R.rescore(g, _changed(g))).select("id", "risk_score", "risk_band", "risk_confidence"),
     """select e.id, case when c.id is null then e.risk_score else s.score end risk_score, case when c.id is null then e.risk_band else s.band end risk_band, case when c.id is null then e.risk_confidence else s.confidence end risk_confidence
       from entity e left join changed c using (id) left join rescored s using (id)""", ORACLES["risk_rescore"].split("with recursive " + GRAPH_SQL + ", ", 1)[1].rsplit("\n", 1)[0])
+
+# why: the suppliers that carry a consumer's exposure, and every dimension in words
+from . import explain as X  # noqa: E402
+
+add("risk_drivers", lambda g: X.drivers(R.weights(g), g.entity.select("id", F.col("risk_score").alias("score"))).select("consumer", "rank", "id", "sole", F.round(100 * F.col("weight"), 0).cast("int").alias("percent"), "score"),
+    f"""select consumer, row_number() over (partition by consumer order by part desc, id, edge_id) as rank, id, sole, round(100 * weight, 0)::int percent, score
+      from (select a.*, risk_score score, round(weight * risk_score, 3) part, s.id edge_id from awards a join supplies s on s.src = a.id and s.dst = a.consumer join entity e on e.id = a.id where risk_score is not null) qualify rank <= {X.TOP}""",
+    SCORES.split(", p0 as")[0].split("p0 as")[0].rstrip().rstrip(","))
+add("risk_explained", lambda g: X.explained(g, _asked(g).unionByName(g.person.where("flagged").select("id"))).withColumn("element_ids", F.array_join("element_ids", ",")))
