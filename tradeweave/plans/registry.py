@@ -90,3 +90,4 @@ from . import content_queries  # noqa: E402, F401
 from . import focus_queries  # noqa: E402, F401
 from . import search_queries  # noqa: E402, F401
 from . import subaward_queries  # noqa: E402, F401
+from . import linked_queries  # noqa: E402, F401
