@@ -118,10 +118,3 @@ def person_page(g: Graph, person_id: str) -> DataFrame:
     others = g.edges["HELD_ROLE"].where(F.col("src") != person_id).join(mine.select("dst").distinct(), "dst", "left_semi").groupBy("dst").agg(F.count_distinct("src").alias("colleagues"))
     named = mine.join(others, "dst", "left").join(g.entity.select(F.col("id").alias("dst"), F.col("name").alias("entity")), "dst")
     return named.select(F.col("dst").alias("entity_id"), "entity", "title", "from", "to", "current", F.coalesce("colleagues", F.lit(0)).alias("colleagues"))
-
-
-def legend(ops: DataFrame) -> DataFrame:
-    """swatch, label, n: the legend that style operations (seq, op, swatch, label, ids) add up to; a clear forgets all before it."""
-    last = ops.where("op = 'clear'").agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
-    rows = ops.where("op in ('set', 'highlight') and swatch is not null").join(F.broadcast(last)).where("seq > last")  # one row
-    return rows.groupBy("swatch", F.coalesce("label", F.initcap("swatch")).alias("label")).agg(F.sum(F.size("ids")).cast("long").alias("n"))
