@@ -92,3 +92,4 @@ from . import search_queries  # noqa: E402, F401
 from . import subaward_queries  # noqa: E402, F401
 from . import linked_queries  # noqa: E402, F401
 from . import style_queries  # noqa: E402, F401
+from . import staging_queries  # noqa: E402, F401
