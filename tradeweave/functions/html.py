@@ -26,6 +26,8 @@ ENDLESS = frozenset("area br col hr img wbr".split())
 FURNITURE = frozenset("nav header footer aside".split())
 LINK = re.compile(r"^(https?:|mailto:|#|/|\.|[^:]*$|data:image/)", re.I)
 UNSAFE = ("srcset", "formaction")
+#: Blanks that are drawn together, lines that are left empty.
+BLANKS, EMPTY_LINES = re.compile(r"[ \t\xa0]+"), re.compile(r"\n\s*\n\s*\n+")
 #: Text cut to LONG characters, markup to WIDE, where a document is shown.
 LONG, WIDE = 80_000, 400_000
 PAGE = StructType([StructField(n, StringType()) for n in ("title", "text", "markup")])
@@ -87,7 +89,7 @@ class _Page(HTMLParser):
 
 def tidy(text: str) -> str:
     """Blanks drawn together, at most one empty line between two lines."""
-    return re.sub(r"\n\s*\n\s*\n+", "\n\n", re.sub(r"[ \t\xa0]+", " ", text)).strip()
+    return EMPTY_LINES.sub("\n\n", BLANKS.sub(" ", text)).strip()
 
 
 def page(raw: str) -> tuple[str | None, str, str]:

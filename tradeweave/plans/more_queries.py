@@ -8,6 +8,7 @@ from ..functions.dims import SUFFIXES
 from ..operators import upsert as U
 from . import claims as C
 from . import layers as L
+from . import report_store as K
 from . import reports as R
 from . import resolve as S
 from .registry import ROOT, SUPPLIER, add, reach_sql, up
@@ -87,6 +88,9 @@ add("supply_findings", lambda g: R.supply_findings(g, ROOT), f"""select row_numb
     (select string_agg(contract_ref, ',' order by list_position(rels, supplies.id)) from supplies where list_contains(rels, supplies.id)) contracts,
     (select count(distinct dst) from provides where src = k.id) categories
   from (select e.* from entity e join sup using (id) where hops > 0 and (coalesce(risk_score, -1) >= {R.FLOOR} or flagged) order by coalesce(risk_score, 0) desc, e.name, e.id limit {R.FINDINGS}) k join pth using (id)""", f"{_near}, {_path}")
+add("report_citations", lambda g: K.citations(K.assembled(g, ROOT, "2025-03-01T00:00:00Z")), f"""select 'rep_' || substr(sha1('{K.KIND}|{ROOT}'), 1, 12) src, 'REPORTS_ON' "type", '{ROOT}' dst union
+  select 'rep_' || substr(sha1('{K.KIND}|{ROOT}'), 1, 12), 'CITES', id from (select unnest(nodes) id from (select id from entity e join sup using (id) where hops > 0 and (coalesce(risk_score, -1) >= {R.FLOOR} or flagged) order by coalesce(risk_score, 0) desc, e.name, e.id limit {R.FINDINGS}) join pth using (id)
+    union select id from (select e.id, row_number() over (order by tier, e.name, c.name, contract_ref) as rank from sup join entity e using (id) join supplies s on s.src = e.id and sole_source join entity c on c.id = s.dst where hops > 0 and e.risk_score is null qualify rank <= {R.GAPS})) where id <> '{ROOT}'""", f"{_near}, {_path}")
 add("report_coverage", lambda g: R.coverage(g, ROOT), f"""select count(*) suppliers, count(risk_score) scored, count(*) - count(risk_score) unscored, count(*) filter (risk_score is not null and coalesce(risk_confidence, 0) < {R.THIN}) thin,
   count(*) filter (flagged) flagged from sup join entity using (id) where hops > 0""", _near)
 add("unscreened_sole_sources", lambda g: R.unscreened_sole_sources(g, ROOT), f"""select row_number() over (order by tier, e.name, c.name, contract_ref) as rank, e.id, e.name, c.name consumer, contract_ref, tier from sup join entity e using (id)
