@@ -77,3 +77,6 @@ def test_chains_to_designated_parties(spark):
     assert got == {"a": ("bad", 1, True, 3, 2, "bad>a"), "b": ("bad", 2, True, 2, 2, "bad>a>b"), "c": ("worse", 1, True, 3, 2, "worse>c")}
     whole = {r.id: (r.seed, r.hops, r.downstream, r["rank"]) for r in R.proximity(g).where("id in ('a', 'b', 'c', 'z')").collect()}
     assert whole == {i: v[:4] for i, v in got.items()}
+    for some in (["a"], ["c", "z"], ["a", "b", "c", "z"]):
+        near = {r.id: (r.seed, r.hops, r.downstream, r["rank"]) for r in R.nearest_of(g, spark.createDataFrame([(i,) for i in some], "id string")).collect()}
+        assert near == {i: v for i, v in whole.items() if i in some}

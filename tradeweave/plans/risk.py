@@ -77,8 +77,25 @@ def _worse(g: Graph, readings: DataFrame) -> DataFrame:
     return W.top(named, ["id"], [F.desc("rank"), F.desc("downstream")], 1, "k").drop("k")
 
 
+def nearest_of(g: Graph, ids: DataFrame) -> DataFrame:
+    """proximity() of the nodes ids (id): the walk from designated parties is held to the nodes from which some of ids can be reached within
+    HOPS, as every such way lies among them. A row or two for each of these nodes, however many ids there are."""
+    seeds, out = settle(P.designated(g)), None
+    control = W.both_ways(g.edge(*CONTROL)).select("src", "dst")
+    supply = g.edges["SUPPLIES"].select("src", "dst")
+    for downstream, edges in ((True, control.unionByName(supply)), (False, control.unionByName(supply).unionByName(W.reverse(supply)))):
+        back, ball = W.reverse(edges).distinct(), settle(ids.select("id").distinct())
+        for _ in range(HOPS):
+            ball = settle(ball.unionByName(ball.join(back, F.col("id") == F.col("src")).select(F.col("dst").alias("id"))).distinct())
+        one = _of(W.nearest(W.induced(edges, ball), seeds.join(ball, "id", "left_semi"), HOPS), ids).withColumn("downstream", F.lit(downstream))
+        out = one if out is None else out.unionByName(one)
+    return _worse(g, out)
+
+
 def proximity_of(g: Graph, ids: DataFrame) -> DataFrame:
-    """id, seed, hops, downstream, rank, reachable, node_ids, rel_ids: proximity() of the nodes ids (id), with the number of designated parties
+    """For few nodes: it keeps a row for each of ids and each node within HOPS of it. nearest_of() does without, and without chains.
+
+    id, seed, hops, downstream, rank, reachable, node_ids, rel_ids: proximity() of the nodes ids (id), with the number of designated parties
     within reach in the chosen reading and the chain from the nearest, the least of the shortest. Walks back from ids alone; of
     the walk a row a node and step is kept, and only the chosen chains are read back."""
     seeds = settle(P.designated(g))
@@ -223,7 +240,7 @@ def grades(g: Graph, ids: DataFrame | None = None, today: datetime.date = TODAY)
     """id, label and the rank of each dimension of every entity and person (of those among ids)."""
     part = within(g, ids)
     out = _nodes(part).select("id", "label")
-    near = (proximity(g) if ids is None else proximity_of(g, ids)).select("id", "rank")
+    near = (proximity(g) if ids is None else nearest_of(g, ids)).select("id", "rank")
     abroad = foreign(g, ids).unionByName(person_foreign(g, ids))
     for name, df in (("designation", designation(part)), ("proximity", near), ("foreign", abroad), ("financial", financial(part, today)), ("regional", regional(part)), ("media", media(part))):
         out = out.join(df.select("id", F.col("rank").alias(name)), "id", "left")
