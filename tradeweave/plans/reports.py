@@ -33,7 +33,8 @@ def supply_findings(g: Graph, subject: str, depth: int = DEPTH, floor: int = FLO
     near = W.reach(W.reverse(g.edges["SUPPLIES"]), T._one(g, subject), W.clamp(depth, DEPTH)).select("id", F.col("hops").alias("tier"))
     kept = near.where(F.col("id") != subject).join(risky.select("id", "name", "risk_score", "flagged"), "id").orderBy(F.desc(F.coalesce("risk_score", F.lit(0))), "name", "id").limit(limit)
     kept = settle(kept)
-    stepped = settle(W.steps(g.edges["SUPPLIES"], kept, W.clamp(depth, DEPTH)))  # from the kept ones on, along what they supply
+    chain = W.induced(g.edges["SUPPLIES"].select("id", "src", "dst"), near.select("id").unionByName(T._one(g, subject)))  # no way to the subject leaves its suppliers
+    stepped = settle(W.steps(chain, kept, W.clamp(depth, DEPTH)))  # from the kept ones on, along what they supply
     ends = stepped.where(F.col("id") == subject).select("seed", "id")
     paths = W.chains(stepped, ends, W.clamp(depth, DEPTH)).select(F.col("seed").alias("id"), "node_ids", "rel_ids")
     hops = paths.select("id", F.posexplode("rel_ids").alias("at", "rel")).join(g.edges["SUPPLIES"].select(F.col("id").alias("rel"), "sole_source", "contract_ref"), "rel")
