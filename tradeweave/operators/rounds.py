@@ -1,9 +1,10 @@
-"""Cutting the lineage of loops, where executors can be lost: checkpoint files in the shared folder, never local ones."""
+"""Cutting the lineage of loops, where executors can be lost: files in the shared folder, never local ones."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -17,8 +18,8 @@ def shared(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """df, computed and written to the shared folder."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared(df.sparkSession) + "/rounds")
-    return df.checkpoint()
+    """df, computed and written to the shared folder as Parquet: its plan ends there, columns are packed, and later joins know its size."""
+    spark = df.sparkSession
+    path = f"{shared(spark)}/rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

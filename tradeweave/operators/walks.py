@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from .rounds import settle
 
 MAX_DEPTH = 6
+#: Words of 64 bits in a row of marks.
+WORDS = 16
 
 
 def clamp(value: int | None, default: int, low: int = 1, high: int = MAX_DEPTH) -> int:
@@ -87,6 +89,59 @@ def chains(stepped: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
     return now.drop("at")
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, block, bit): ids (id) in blocks of at most 64 * WORDS, each with a bit of its block."""
+    ids, size = settle(ids.select("id").where("id is not null").distinct()), 64 * WORDS
+    k, row = F.monotonically_increasing_id(), (1 << 33) - 1
+    at = ids.repartition(ids.count() // (size * 15 // 16) + 1).withColumn("k", k)
+    within = F.col("k").bitwiseAND(row)
+    return settle(at.select("id", (F.shiftright("k", 33) * 4096 + F.shiftright(within, 6 + WORDS.bit_length() - 1)).alias("block"), (within % size).cast("int").alias("bit")))
+
+
+def marks(edges: DataFrame, asked: DataFrame, depth: int, ends: DataFrame) -> list[DataFrame]:
+    """For 0, 1, .., depth hops (id, block, w0, w1, ..): which of asked (of numbered()) reach a node within so many hops, a bit for each. The
+    last is of the nodes ends (id) alone. A hop makes a row an edge and block of asked, where pairs would make one an edge and asked node."""
+    names = [f"w{i}" for i in range(WORDS)]
+    own = [F.when(F.floor(F.col("bit") / 64) == i, F.expr("shiftleft(1L, bit % 64)")).otherwise(F.lit(0).cast("long")).alias(w) for i, w in enumerate(names)]
+    out = [settle(asked.select("id", "block", *own))]
+    for hop in range(1, depth + 1):
+        step = out[-1].join(edges.select("src", "dst"), F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "block", *names)
+        every = out[-1].unionByName(step)
+        if hop == depth:
+            every = every.join(ends.select("id"), "id", "left_semi")
+        out.append(settle(every.groupBy("id", "block").agg(*[F.bit_or(w).alias(w) for w in names])))
+    return out
+
+
+def has_mark(bit: Column) -> Column:
+    """Whether a row of marks() has this bit."""
+    return F.getbit(F.get(F.array(*[f"w{i}" for i in range(WORDS)]), F.floor(bit / 64).cast("int")), bit % 64) == 1
+
+
+def nearest_chains(edges: DataFrame, ids: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
+    """(seed, id, hops, reachable, node_ids, rel_ids): for each of ids the nearest of ends (id) but itself within depth, of equal ones the least; how
+    many there are within depth; and the least of the shortest ways, from that end back to the seed. A row an edge and block of ids a hop."""
+    asked = numbered(ids)
+    order = settle(ends.select("id").distinct().orderBy("id").withColumn("k", F.monotonically_increasing_id()))
+    at = order.join(asked.select("id", F.col("block").alias("own"), F.col("bit").alias("own_bit")), "id", "left")
+    by_hops, found = marks(edges, asked, depth, order), None
+    for hop in range(1, depth + 1):
+        word = by_hops[hop].join(at, "id").select("k", "block", "own", "own_bit", F.posexplode(F.array(*[f"w{i}" for i in range(WORDS)])).alias("word", "bits")).where("bits <> 0")
+        each = word.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(63)))).where(F.getbit("bits", F.col("j")) == 1).withColumn("bit", F.col("word") * 64 + F.col("j"))
+        one = each.where("own is null or own <> block or own_bit <> bit").groupBy("block", "bit").agg(F.min("k").alias("k"), F.count("*").alias("n")).withColumn("hops", F.lit(hop))
+        found = one if found is None else found.unionByName(one)
+    first = found.groupBy("block", "bit").agg(F.min("hops").alias("hops"), F.min_by("k", "hops").alias("k"), F.max("n").alias("reachable"))
+    none = F.array().cast("array<string>").alias("rel_ids")
+    now = settle(first.join(order, "k").join(asked.withColumnRenamed("id", "seed"), ["block", "bit"]).select("seed", "block", "bit", "id", "hops", "reachable", F.col("id").alias("at"), F.array("id").alias("node_ids"), none))
+    for back in range(depth, 0, -1):
+        e = edges.select(F.col("id").alias("rel"), F.col("src").alias("parent"), F.col("dst").alias("at"))
+        step = now.where(F.col("hops") >= back).select("seed", "block", "bit", "at").join(e, "at")
+        step = step.join(by_hops[back - 1].withColumnRenamed("id", "parent"), ["parent", "block"]).where(has_mark(F.col("bit"))).groupBy("seed").agg(F.min(F.struct("parent", "rel")).alias("p"))
+        more = lambda name, x: F.when(F.col("p").isNotNull(), F.concat(name, F.array(x))).otherwise(F.col(name)).alias(name)
+        now = settle(now.join(step, "seed", "left").select("seed", "block", "bit", "id", "hops", "reachable", F.coalesce("p.parent", "at").alias("at"), more("node_ids", "p.parent"), more("rel_ids", "p.rel")))
+    return now.select("seed", "id", "hops", "reachable", "node_ids", "rel_ids")
+
+
 def trails(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, id, hops, node_ids, rel_ids): every walk from each seed that uses no edge twice; nodes may come again."""
     e = edges.select(F.col("id").alias("rel"), "src", "dst")

@@ -93,19 +93,15 @@ def nearest_of(g: Graph, ids: DataFrame) -> DataFrame:
 
 
 def proximity_of(g: Graph, ids: DataFrame) -> DataFrame:
-    """For few nodes: it keeps a row for each of ids and each node within HOPS of it. nearest_of() does without, and without chains.
-
-    id, seed, hops, downstream, rank, reachable, node_ids, rel_ids: proximity() of the nodes ids (id), with the number of designated parties
-    within reach in the chosen reading and the chain from the nearest, the least of the shortest. Walks back from ids alone; of
-    the walk a row a node and step is kept, and only the chosen chains are read back."""
+    """id, seed, hops, downstream, rank, reachable, node_ids, rel_ids: proximity() of the nodes ids (id), with the number of designated parties
+    within reach in the chosen reading and the chain from the nearest, the least of the shortest. Walks back from ids alone, side by
+    side as bits: no row for each of ids and each node within HOPS of it. nearest_of() does without chains."""
     seeds = settle(P.designated(g))
     control = W.both_ways(g.edge(*CONTROL)).select("id", "src", "dst")
     supply = g.edges["SUPPLIES"].select("id", "src", "dst")
     out = None
     for downstream, edges in ((True, control.unionByName(W.reverse(supply))), (False, control.unionByName(supply).unionByName(W.reverse(supply)))):
-        stepped = settle(W.steps(edges, ids, HOPS))
-        met = stepped.join(seeds, "id", "left_semi").groupBy("seed").agg(F.min(F.struct("hops", "id")).alias("p"), F.count("*").alias("reachable"))
-        chain = W.chains(stepped, met.select("seed", "p.id", "p.hops", "reachable"), HOPS)
+        chain = W.nearest_chains(edges, ids, seeds, HOPS)
         one = chain.select(F.col("seed").alias("id"), F.col("id").alias("seed"), "hops", F.lit(downstream).alias("downstream"), "reachable", "node_ids", "rel_ids")
         out = one if out is None else out.unionByName(one)
     return _worse(g, out)
