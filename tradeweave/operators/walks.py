@@ -1,8 +1,8 @@
 """Bounded walks over edges (src, dst[, id]): reachability, first paths, trails, roots, components.
 
 A frontier, one row for each seed and node, meets the edges in an equi-join a round. A round's plan holds only the round
-before it over plain scans of the edges, and one aggregate takes the fewest hops: bounded walks are one lazy plan. Loops to a
-fixpoint leave out what has been visited and are settled in the shared folder each round.
+before it over plain scans of the edges. Walks of few seeds over many edges and loops to a fixpoint leave out what has been visited and
+are settled in the shared folder each round; walks of roots and of whole paths are one lazy plan.
 """
 
 from __future__ import annotations
@@ -35,16 +35,17 @@ def both_ways(edges: DataFrame) -> DataFrame:
 def reach(edges: DataFrame, seeds: DataFrame, depth: int, keep_seeds: bool = False, blocked: DataFrame | None = None) -> DataFrame:
     """(seed, id, hops): nodes within depth of each seed (seeds: id), at their fewest hops. A cycle does not lead back to the seed.
 
-    blocked (id): nodes that no walk enters."""
-    e = edges.select("src", "dst").distinct()
-    if blocked is not None:
-        e = e.join(blocked.select(F.col("id").alias("dst")), "dst", "left_anti")
-    frontier = seeds.select(F.col("id").alias("seed"), "id").distinct()
+    blocked (id): nodes that no walk enters. A frontier holds only what is met for the first time and is settled, so that a small one
+    is brought to the edges, not the edges to it."""
+    e = edges.select("src", "dst")
+    frontier = settle(seeds.select(F.col("id").alias("seed"), "id").distinct())
     seen = frontier.withColumn("hops", F.lit(0))
     for hop in range(1, depth + 1):
-        frontier = frontier.join(e, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
+        step = frontier.join(e, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
+        if blocked is not None:
+            step = step.join(blocked.select("id"), "id", "left_anti")
+        frontier = settle(step.join(seen.select("seed", "id"), ["seed", "id"], "left_anti").select("seed", "id"))
         seen = seen.unionByName(frontier.withColumn("hops", F.lit(hop)))
-    seen = seen.groupBy("seed", "id").agg(F.min("hops").alias("hops"))
     return seen if keep_seeds else seen.where("hops > 0")
 
 
@@ -66,17 +67,35 @@ def first_paths(edges: DataFrame, seeds: DataFrame, depth: int, blocked: DataFra
     return seen.groupBy("seed", "id").agg(F.min("p").alias("p")).select("seed", "id", "p.hops", "p.node_ids", "p.rel_ids").where("hops > 0")
 
 
+def first_ways(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+    """(seed, id, hops, via): for each seed and node the nodes between them on one path of fewest hops, the least of these. What is met at a
+    hop is left out of later ones; rows hold no edges, and neither end twice."""
+    e, none = edges.select("src", "dst"), F.array().cast("array<string>")
+    frontier = settle(seeds.select("id").distinct().select(F.col("id").alias("seed"), "id", none.alias("via")))
+    seen, out = frontier.select("seed", "id"), None
+    for hop in range(1, depth + 1):
+        via = none if hop == 1 else F.concat("via", F.array("id"))
+        one = frontier.join(e, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id"), via.alias("via")).groupBy("seed", "id").agg(F.min("via").alias("via")).join(seen, ["seed", "id"], "left_anti")
+        frontier = settle(one) if hop < depth else one
+        seen, one = seen.unionByName(frontier.select("seed", "id")), frontier.select("seed", "id", F.lit(hop).alias("hops"), "via")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def steps(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, id, hops, parent, rel): of each node within depth of a seed the node and edge before it on a path of fewest hops, of those
-    the least. A row holds one step, however long the path; chains() reads paths back for the rows that are kept."""
+    the least. A row holds one step, however long the path; chains() reads paths back for the rows that are kept. Each hop is settled and
+    holds only what is met for the first time."""
     e = edges.select(F.col("id").alias("rel"), "src", "dst")
-    frontier, out = seeds.select(F.col("id").alias("seed"), "id").distinct(), None
+    frontier = settle(seeds.select(F.col("id").alias("seed"), "id").distinct())
+    seen, out = frontier, None
     for hop in range(1, depth + 1):
         met = frontier.join(e, F.col("id") == F.col("src")).groupBy("seed", "dst").agg(F.min(F.struct(F.col("id").alias("parent"), "rel")).alias("p"))
-        one = met.select("seed", F.col("dst").alias("id"), F.lit(hop).alias("hops"), "p.parent", "p.rel")
+        one = met.select("seed", F.col("dst").alias("id"), F.lit(hop).alias("hops"), "p.parent", "p.rel").join(seen, ["seed", "id"], "left_anti")
+        one = settle(one.select("seed", "id", "hops", "parent", "rel"))
         frontier, out = one.select("seed", "id"), one if out is None else out.unionByName(one)
-    first = out.where("seed <> id").groupBy("seed", "id").agg(F.min(F.struct("hops", "parent", "rel")).alias("p"))
-    return first.select("seed", "id", "p.hops", "p.parent", "p.rel")
+        seen = seen.unionByName(frontier)
+    return out
 
 
 def chains(stepped: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
@@ -160,21 +179,30 @@ def nearest(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(id, seed, hops): for each node the nearest seed but itself, of equal ones the least, within depth.
 
     Two seeds a node go with the frontier, as the second serves nodes that are seeds themselves: a round makes at most two rows an
-    edge, however many seeds there are. Each round is settled."""
-    e = edges.select("src", "dst").distinct()
+    edge, however many seeds there are. Nodes that have two are settled for good, as later rounds are farther: edges into them are
+    left out of the rounds to come. Rows are dealt by node once a round, and each round is settled."""
+    e = edges.select("src", "dst")
     two = Window.partitionBy("id").orderBy("hops", "seed")
-    seen = seeds.select("id", F.col("id").alias("seed"), F.lit(0).alias("hops")).distinct()
+    seen = settle(seeds.select("id", F.col("id").alias("seed"), F.lit(0).alias("hops")).distinct())
     for hop in range(1, depth + 1):
-        frontier = seen.where(F.col("hops") == hop - 1)
-        step = frontier.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "seed", F.lit(hop).alias("hops")).distinct()
-        every = seen.unionByName(step).groupBy("id", "seed").agg(F.min("hops").alias("hops"))
+        frontier = seen.where(F.col("hops") == hop - 1).select("id", "seed")
+        step = frontier.join(e, F.col("id") == F.col("src")).select(F.col("dst").alias("id"), "seed", F.lit(hop).alias("hops"))
+        every = seen.unionByName(step).repartition("id").groupBy("id", "seed").agg(F.min("hops").alias("hops"))
         seen = settle(every.withColumn("k", F.row_number().over(two)).where("k <= 2").drop("k"))
+        if hop < depth:
+            full = seen.groupBy("id").agg(F.count("*").alias("n")).where("n = 2")
+            e = settle(e.join(full.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst").distinct())
     return top(seen.where("seed <> id"), ["id"], [F.asc("hops"), F.asc("seed")], 1).drop("rank")
 
 
 def roots(owns: DataFrame, starts: DataFrame, depth: int = MAX_DEPTH) -> DataFrame:
     """(id, root, hops): owners of each start, at fewest hops, that nobody owns. owns: owner src, owned dst."""
-    up = reach(reverse(owns.select("src", "dst")), starts, depth)
+    e, frontier, up = reverse(owns.select("src", "dst")).distinct(), starts.select(F.col("id").alias("seed"), "id").distinct(), None
+    for hop in range(1, depth + 1):
+        frontier = frontier.join(e, F.col("id") == F.col("src")).select("seed", F.col("dst").alias("id")).distinct()
+        one = frontier.withColumn("hops", F.lit(hop))
+        up = one if up is None else up.unionByName(one)
+    up = up.where("seed <> id").groupBy("seed", "id").agg(F.min("hops").alias("hops"))
     return up.join(owns.select(F.col("dst").alias("id")).distinct(), "id", "left_anti").select(F.col("seed").alias("id"), F.col("id").alias("root"), "hops")
 
 
