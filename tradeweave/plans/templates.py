@@ -122,8 +122,8 @@ def risk_ranked(g: Graph, root_id: str, band: str | None = None, limit: int = 10
 def near_designated(g: Graph, hops: int = 2) -> DataFrame:
     """seed, id, hops, path: entities and people within hops of a flagged party, over control, personnel and supply, either way."""
     flagged = g.entity.where("flagged").select("id").unionByName(g.person.where("flagged").select("id"))
-    walk = W.both_ways(g.edge(*CONTROL, "SUPPLIES")).drop("outbound")
-    return W.first_paths(walk, flagged, W.clamp(hops, 2, 1, 3)).select("seed", "id", "hops", F.array_join("node_ids", ">").alias("path"))
+    walk = W.both_ways(g.edge(*CONTROL, "SUPPLIES")).select("src", "dst")
+    return W.first_ways(walk, flagged, W.clamp(hops, 2, 1, 3)).select("seed", "id", "hops", F.array_join(F.concat(F.array("seed"), "via", F.array("id")), ">").alias("path"))
 
 
 def people_of(g: Graph, entity_id: str) -> DataFrame:
