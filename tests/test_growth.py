@@ -45,3 +45,54 @@ def test_chains_of_many_nodes_are_walked_as_bits(spark, monkeypatch):
     blocks = asked.select("block").distinct().count()
     most = len({x for _, a, b in rows for x in (a, b)} | set(ids)) * blocks
     assert all(m.count() <= most for m in W.marks(edges, asked, 3, of(ends)))
+
+
+def test_nearest_seeds_are_those_of_brute_force(spark):
+    rows, edges = _graph(spark, seed=9)
+    seeds = [f"n{k}" for k in range(0, 160, 5)]
+    got = {r["id"]: (r["hops"], r["seed"]) for r in W.nearest(edges, spark.createDataFrame([(s,) for s in seeds], "id string"), 3).collect()}
+    want = {}
+    for s in seeds:
+        for i, h in _hops(rows, s, 3).items():
+            if i != s:
+                want[i] = min(want.get(i, (9, "")), (h, s))
+    assert got == want
+
+
+@pytest.mark.parametrize("walk", ["nearest", "steps"])
+def test_later_rounds_do_not_walk_what_is_settled(spark, monkeypatch, walk):
+    """A hub among seeds: what has its seeds after a round isn't walked into again."""
+    made = []
+    monkeypatch.setattr(W, "settle", lambda df, keep=W.settle: made.append(keep(df)) or made[-1])
+    pairs = [(f"s{k}", f"c{c}") for k in range(10) for c in range(20)]
+    both = [(f"r{n}", a, b) for n, (a, b) in enumerate([*pairs, *[(b, a) for a, b in pairs]])]
+    edges = spark.createDataFrame(both, "id string, src string, dst string")
+    getattr(W, walk)(edges, spark.createDataFrame([("s0",), ("s1",)], "id string"), 3).collect()
+    if walk == "nearest":  # edges left for the last round: none, as each node has two seeds
+        assert [df.count() for df in made if df.columns == ["src", "dst"]][-1] == 0
+    else:  # the third hop meets nothing that wasn't met before
+        assert [df.count() for df in made if "parent" in df.columns] == [40, 18, 0]
+
+
+def test_ways_near_designated_hold_neither_edges_nor_what_was_met(spark):
+    rows, edges = _graph(spark, seed=3)
+    seeds = ["n1", "n2", "n50"]
+    got = {(r["seed"], r["id"]): (r["hops"], r["via"]) for r in W.first_ways(edges, spark.createDataFrame([(s,) for s in seeds], "id string"), 3).collect()}
+    old = W.first_paths(edges, spark.createDataFrame([(s,) for s in seeds], "id string"), 3).collect()
+    assert got == {(r["seed"], r["id"]): (r["hops"], r["node_ids"][1:-1]) for r in old}
+
+
+def test_partitions_grow_with_the_tables(spark, monkeypatch):
+    from tradeweave import model
+
+    from .oracle import SMALL
+
+    had = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        model.deal_out(spark, SMALL)
+        assert spark.conf.get("spark.sql.shuffle.partitions") == had
+        monkeypatch.setattr(model, "PART_BYTES", 4 << 10)
+        model.deal_out(spark, SMALL)
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) > int(had)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", had)

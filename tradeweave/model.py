@@ -187,6 +187,15 @@ def project(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 _landed: dict[tuple[str, str], str] = {}
+#: Bytes of the input files for which a shuffle has one partition more; adaptive execution puts small ones together.
+PART_BYTES = 4 << 20
+
+
+def deal_out(spark: SparkSession, sf_dir: str) -> None:
+    """Shuffles of this session have as many partitions as the tables ask for, if that is more than it has: a task's share, and its memory,
+    then don't grow with the input. Sizes are those of the files."""
+    size = sum(int(str(spark.read.parquet(f"{sf_dir}/{t}.parquet")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in ("lineitem", "orders", "events"))
+    spark.conf.set("spark.sql.shuffle.partitions", str(max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)))
 
 
 def landed(spark: SparkSession, sf_dir: str) -> Graph:
@@ -194,6 +203,7 @@ def landed(spark: SparkSession, sf_dir: str) -> Graph:
     sorted by its far end. Queries then read the types and columns they need, with statistics, and walks join plain scans."""
     key = (spark.sparkContext.applicationId, sf_dir)
     tables = ("entity", "person", "category", "location", "artifact", "claim")
+    deal_out(spark, sf_dir)
     if key not in _landed:
         g, path = project(spark, sf_dir), f"{shared(spark)}/graph-{uuid.uuid4().hex[:12]}"
         for name in tables:
