@@ -96,3 +96,27 @@ def test_partitions_grow_with_the_tables(spark, monkeypatch):
         assert int(spark.conf.get("spark.sql.shuffle.partitions")) > int(had)
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", had)
+
+
+def test_ids_of_like_neighbours_share_a_block(spark, monkeypatch):
+    monkeypatch.setattr(W, "WORDS", 1)  # blocks of 64
+    rows = [(f"r{g}_{k}", f"p{k}_{g}", f"hub{g}") for g in range(4) for k in range(50)]
+    ids = spark.createDataFrame([(a,) for _, a, _ in rows], "id string")
+    at = {r["id"]: r["block"] for r in W.numbered(ids, spark.createDataFrame(rows, "id string, src string, dst string")).collect()}
+    assert len(at) == 200
+    met = {(at[a], hub) for _, a, hub in rows}
+    assert len(met) < 4 + len(set(at.values())) <= 4 + 5  # dealt by hash each block meets every hub
+
+
+def test_reasons_are_told_without_a_sweep_of_the_graph(spark, monkeypatch):
+    from tradeweave.model import landed
+    from tradeweave.plans import explain as X
+    from tradeweave.plans import risk as R
+
+    from .oracle import SMALL
+
+    monkeypatch.setattr(R, "proximity", lambda g: pytest.fail("the chains say how near each node is"))
+    g = landed(spark, SMALL)
+    out = X.explained(g, g.entity.where("id in ('ent_c0', 'ent_s4')").select("id"))
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0  # each dimension has a plan of its own
+    assert {r["dimension"] for r in out.collect()} == set(R.WEIGHTS)

@@ -82,16 +82,18 @@ def first_ways(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     return out
 
 
-def steps(edges: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def steps(edges: DataFrame, seeds: DataFrame, depth: int, blocked: DataFrame | None = None) -> DataFrame:
     """(seed, id, hops, parent, rel): of each node within depth of a seed the node and edge before it on a path of fewest hops, of those
     the least. A row holds one step, however long the path; chains() reads paths back for the rows that are kept. Each hop is settled and
-    holds only what is met for the first time."""
+    holds only what is met for the first time. blocked (id): nodes that no walk enters; they are looked for in what a frontier meets, not in all edges."""
     e = edges.select(F.col("id").alias("rel"), "src", "dst")
     frontier = settle(seeds.select(F.col("id").alias("seed"), "id").distinct())
     seen, out = frontier, None
     for hop in range(1, depth + 1):
         met = frontier.join(e, F.col("id") == F.col("src")).groupBy("seed", "dst").agg(F.min(F.struct(F.col("id").alias("parent"), "rel")).alias("p"))
         one = met.select("seed", F.col("dst").alias("id"), F.lit(hop).alias("hops"), "p.parent", "p.rel").join(seen, ["seed", "id"], "left_anti")
+        if blocked is not None:
+            one = one.join(blocked.select("id"), "id", "left_anti")
         one = settle(one.select("seed", "id", "hops", "parent", "rel"))
         frontier, out = one.select("seed", "id"), one if out is None else out.unionByName(one)
         seen = seen.unionByName(frontier)
@@ -108,11 +110,17 @@ def chains(stepped: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
     return now.drop("at")
 
 
-def numbered(ids: DataFrame) -> DataFrame:
-    """(id, block, bit): ids (id) in blocks of at most 64 * WORDS, each with a bit of its block."""
+def numbered(ids: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+    """(id, block, bit): ids (id) in blocks of at most 64 * WORDS, each with a bit of its block. With edges, ids of like neighbours share a
+    block, so that a block reaches a part of a large graph, not some of every part."""
     ids, size = settle(ids.select("id").where("id is not null").distinct()), 64 * WORDS
     k, row = F.monotonically_increasing_id(), (1 << 33) - 1
-    at = ids.repartition(ids.count() // (size * 15 // 16) + 1).withColumn("k", k)
+    blocks = ids.count() // (size * 15 // 16) + 1
+    if edges is None or blocks == 1:
+        at = ids.repartition(blocks).withColumn("k", k)
+    else:
+        near = edges.select(F.col("src").alias("id"), "dst").join(ids, "id", "left_semi").groupBy("id").agg(F.min("dst").alias("near"))
+        at = settle(ids.join(near, "id", "left")).repartitionByRange(blocks, F.coalesce("near", "id"), "id").withColumn("k", k)
     within = F.col("k").bitwiseAND(row)
     return settle(at.select("id", (F.shiftright("k", 33) * 4096 + F.shiftright(within, 6 + WORDS.bit_length() - 1)).alias("block"), (within % size).cast("int").alias("bit")))
 
@@ -140,7 +148,7 @@ def has_mark(bit: Column) -> Column:
 def nearest_chains(edges: DataFrame, ids: DataFrame, ends: DataFrame, depth: int) -> DataFrame:
     """(seed, id, hops, reachable, node_ids, rel_ids): for each of ids the nearest of ends (id) but itself within depth, of equal ones the least; how
     many there are within depth; and the least of the shortest ways, from that end back to the seed. A row an edge and block of ids a hop."""
-    asked = numbered(ids)
+    asked = numbered(ids, edges)
     order = settle(ends.select("id").distinct().orderBy("id").withColumn("k", F.monotonically_increasing_id()))
     at = order.join(asked.select("id", F.col("block").alias("own"), F.col("bit").alias("own_bit")), "id", "left")
     by_hops, found = marks(edges, asked, depth, order), None

@@ -167,8 +167,9 @@ def explained(g: Graph, ids: DataFrame, today: datetime.date = R.TODAY) -> DataF
     """EXPLAINED: a row for each node of ids (id) and dimension that it is asked about."""
     ids = settle(ids.select("id").where("id is not null").distinct())
     part = R.within(g, ids)
-    scored = settle(R.rescore(g, ids, today))
+    part = part.with_(entity=settle(part.entity), person=settle(part.person), claim=settle(part.claim))
     near, places = settle(R.proximity_of(g, ids)), settle(_places(g, ids))
+    scored = settle(R.rescore(g, ids, today, near))
     weighted = settle(R.weights(g, ids))
     fresh = scored.where("label = 'Entity'").select("id", "score")
     scores = g.entity.select("id", F.col("risk_score").alias("score")).join(ids, "id", "left_anti").unionByName(fresh)
@@ -180,5 +181,6 @@ def explained(g: Graph, ids: DataFrame, today: datetime.date = R.TODAY) -> DataF
     for d, df in texts.items():
         asked = scored if d in PERSON_DIMENSIONS else scored.where("label = 'Entity'")
         one = asked.select("id", F.lit(d).alias("dimension"), F.col(d).alias("severity"), F.lit(WEIGHTS[d]).alias("weight")).join(df.withColumn("element_ids", F.array_distinct("element_ids")), "id", "left").select(*EXPLAINED)
+        one = settle(one)  # a plan for each: one of all of them is more than a driver should hold
         out = one if out is None else out.unionByName(one)
     return out

@@ -223,13 +223,14 @@ def exposure(weighted: DataFrame, scores: DataFrame) -> DataFrame:
     return x.select("id", rank.alias("dependency"))
 
 
-def grades(g: Graph, ids: DataFrame | None = None, today: datetime.date = TODAY) -> DataFrame:
-    """id, label and the rank of each dimension of every entity and person (of those among ids)."""
+def grades(g: Graph, ids: DataFrame | None = None, today: datetime.date = TODAY, near: DataFrame | None = None) -> DataFrame:
+    """id, label and the rank of each dimension of every entity and person (of those among ids). near: proximity_of() the same ids, where it is known."""
     part = within(g, ids)
     out = _nodes(part).select("id", "label")
-    near = (proximity(g) if ids is None else nearest_of(g, ids)).select("id", "rank")
+    if near is None:
+        near = proximity(g) if ids is None else nearest_of(g, ids)
     abroad = foreign(g, ids).unionByName(person_foreign(g, ids))
-    for name, df in (("designation", designation(part)), ("proximity", near), ("foreign", abroad), ("financial", financial(part, today)), ("regional", regional(part)), ("media", media(part))):
+    for name, df in (("designation", designation(part)), ("proximity", near.select("id", "rank")), ("foreign", abroad), ("financial", financial(part, today)), ("regional", regional(part)), ("media", media(part))):
         out = out.join(df.select("id", F.col("rank").alias(name)), "id", "left")
     return out.withColumn("proximity", F.coalesce("proximity", F.lit(0)))
 
@@ -258,12 +259,12 @@ def _inherited(entities: DataFrame, weighted: DataFrame, others: DataFrame | Non
     return inherited
 
 
-def rescore(g: Graph, ids: DataFrame, today: datetime.date = TODAY) -> DataFrame:
+def rescore(g: Graph, ids: DataFrame, today: datetime.date = TODAY, near: DataFrame | None = None) -> DataFrame:
     """risk_scores() of the nodes ids (id) alone, as if all others kept the scores that they have stored: suppliers among ids count with
     their new scores, round by round, the others with their stored ones. Reads what ids are graded by, the ways from designated
-    parties within HOPS, and the awards whose consumers they are; nothing else of the graph is scored."""
+    parties within HOPS (none where near, their proximity_of(), is known), and the awards whose consumers they are; nothing else of the graph is scored."""
     ids = settle(ids.select("id").where("id is not null").distinct())
-    own = settle(grades(g, ids, today))
+    own = settle(grades(g, ids, today, near))
     stored = g.entity.where("risk_score is not null").select("id", F.col("risk_score").alias("score")).join(ids, "id", "left_anti")
     return _scored(own.join(_inherited(own.where("label = 'Entity'"), weights(g, ids), stored), "id", "left"))
 
