@@ -120,3 +120,10 @@ def test_reasons_are_told_without_a_sweep_of_the_graph(spark, monkeypatch):
     out = X.explained(g, g.entity.where("id in ('ent_c0', 'ent_s4')").select("id"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 0  # each dimension has a plan of its own
     assert {r["dimension"] for r in out.collect()} == set(R.WEIGHTS)
+
+
+def test_blocked_nodes_are_not_entered_by_steps(spark):
+    rows = [("r1", "a", "b"), ("r2", "b", "c"), ("r3", "a", "d"), ("r4", "d", "e"), ("r5", "e", "c")]
+    edges, of = spark.createDataFrame(rows, "id string, src string, dst string"), lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
+    got = {(r["id"], r["hops"], r["parent"]) for r in W.steps(edges, of("a"), 4, blocked=of("b")).collect()}
+    assert got == {("d", 1, "a"), ("e", 2, "d"), ("c", 3, "e")}

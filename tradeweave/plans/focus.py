@@ -45,22 +45,17 @@ def _walk(g: Graph, types: list[str], layers: tuple[str, ...], upward: bool) ->
     return e.unionByName(W.reverse(g.edge(*against)).select("id", "src", "dst"))
 
 
-def _outside(edges: DataFrame, blocked: DataFrame) -> DataFrame:
-    return edges.join(blocked.select(F.col("id").alias("dst")), "dst", "left_anti").select("id", "src", "dst")
-
-
 def focus(g: Graph, root: str, depth: int = 2, layers: tuple[str, ...] = (), program: str | None = None, limit: int = LIMIT, floor: int = PIN_FLOOR) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, hops, null for those brought in; edges: id, src, dst, type)."""
     types, start = walked(layers), g.entity.select("id").unionByName(g.person.select("id")).where(F.col("id") == root)
-    blocked = g.entity.where((F.col("kind") == "program") & (F.col("id") != program)).select("id") if program else None
+    blocked = settle(g.entity.where((F.col("kind") == "program") & (F.col("id") != program)).select("id")) if program else None
     inside = _walk(g, types, layers, bool(program))
-    inside = _outside(inside, blocked) if program else inside
-    near = W.reach(inside, start, W.clamp(depth, 2), keep_seeds=True).select("id", "hops")
+    near = W.reach(inside, start, W.clamp(depth, 2), keep_seeds=True, blocked=blocked).select("id", "hops")
     nodes = settle(near.orderBy("hops", "id").limit(W.clamp(limit, LIMIT, 1, 5000)))
     edges = W.induced(g.all_edges, nodes)
     if program:
-        free = _outside(W.both_ways(g.edge(*types)).select("id", "src", "dst"), blocked)
-        stepped = settle(W.steps(free, start, W.MAX_DEPTH))
+        free = W.both_ways(g.edge(*types)).select("id", "src", "dst")
+        stepped = settle(W.steps(free, start, W.MAX_DEPTH, blocked))
         hot = stepped.join(risky(g, floor), "id", "left_semi").join(nodes.select("id"), "id", "left_anti").select("seed", "id")
         ways = settle(W.chains(stepped, hot, W.MAX_DEPTH).select("node_ids", "rel_ids"))
         brought = ways.select(F.explode("node_ids").alias("id")).distinct().join(nodes.select("id"), "id", "left_anti").withColumn("hops", F.lit(None).cast("int"))
