@@ -127,3 +127,12 @@ def test_blocked_nodes_are_not_entered_by_steps(spark):
     edges, of = spark.createDataFrame(rows, "id string, src string, dst string"), lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
     got = {(r["id"], r["hops"], r["parent"]) for r in W.steps(edges, of("a"), 4, blocked=of("b")).collect()}
     assert got == {("d", 1, "a"), ("e", 2, "d"), ("c", 3, "e")}
+
+
+def test_paths_of_payloads_are_literals(spark):
+    from tradeweave.sources import shapes as S
+
+    known = S.parsed(spark.createDataFrame([("a", '{"primaryDocument": "x", "form": "8-K", "size": 0}')], "id string, payload string")).select("id", "body", "shape")
+    got = S._mapped(known)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # a path that is a column is parsed again for each row
+    assert {(r["label"], r["value"]) for r in got.collect()} == {("Form", "8-K"), ("Primary document", "x"), ("Size", "0")}

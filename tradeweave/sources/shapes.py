@@ -1,6 +1,6 @@
 """Landed payloads read as fields: parsed once to VARIANT, recognised by their shape, mapped or flattened to (section, label, value).
 
-What a shape shows is a table of paths that is joined to the payloads by shape, so a new shape is rows, not code. Payloads of no known
+What a shape shows is a list of paths by shape, so a new shape is rows, not code. Payloads of no known
 shape go to a table function that flattens them in the order they were written: scalars of a level first, then what is
 nested, DEPTH levels down, MOST fields in all.
 
@@ -13,7 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
@@ -171,10 +171,14 @@ def flattened(body: object, above: str, depth: int) -> list[tuple[str, str]]:
     return here[:MOST]
 
 
-def _mapped(known: DataFrame, spark: SparkSession) -> DataFrame:
-    table = spark.createDataFrame(field_rows(), "shape string, section string, at int, label string, path string, form string")
-    met = known.join(F.broadcast(table), "shape")  # as many rows as there are mapped fields
-    raw = met.withColumn("raw", F.try_variant_get("body", F.concat(F.lit("$."), "path"), "variant")).where("raw is not null").withColumn("text", F.col("raw").cast("string"))
+def _mapped(known: DataFrame) -> DataFrame:
+    fields: dict[str, list[Column]] = {}
+    for shape, section, at, label, path, form in field_rows():
+        one = F.struct(F.lit(section).alias("section"), F.lit(at).alias("at"), F.lit(label).alias("label"), F.lit(form).cast("string").alias("form"), _at(F.col("body"), path, "variant").alias("raw"))
+        fields.setdefault(shape, []).append(one)
+    every = F.coalesce(*[F.when(F.col("shape") == shape, F.array(*some)) for shape, some in fields.items()])  # paths that are literals are parsed once, not once a row
+    met = known.select("*", F.explode(F.filter(every, lambda x: x["raw"].isNotNull())).alias("f")).select(*[c for c in known.columns if c != "body"], "f.*")
+    raw = met.withColumn("text", F.col("raw").cast("string"))
     return raw.withColumn("value", formatted(F.col("raw"), F.col("text"), F.col("form"))).where("value is not null")
 
 
@@ -184,7 +188,7 @@ def payload_fields(landed: DataFrame, key: str = "id", payload: str = "payload")
     rows = parsed(landed.select(key, F.col(payload).cast("string").alias("payload")))
     none = F.lit(None).cast("string")
     known = rows.where("shape is not null")
-    mapped = _mapped(known.select(key, "body", "shape"), landed.sparkSession).select(key, "shape", "section", "at", "label", "value")
+    mapped = _mapped(known.select(key, "body", "shape")).select(key, "shape", "section", "at", "label", "value")
     deal = "latest_transaction_contract_data."
     extent, way, offers = _at(F.col("body"), deal + "extent_competed_description"), _at(F.col("body"), deal + "solicitation_procedures_description"), _at(F.col("body"), deal + "number_of_offers_received")
     first = min(r[2] for r in field_rows() if r[:2] == (AWARD, COMPETITION))
