@@ -153,6 +153,66 @@ def test_pairs_among_refused_nodes_are_found(spark):
     assert all(got[i] == i for i in got if i % 6 in (2, 4))
 
 
+def test_what_texts_share_with_no_other_bounds_their_similarity(spark):
+    """Forms of one text with edits of their own can't be similar to others and are left out; no similar pair is."""
+    r = np.random.default_rng(5)
+    base, sets = np.sort(r.integers(0, 2**64, 200, dtype=np.uint64)), []
+    for k in range(60):
+        edits = int(r.integers(0, 70))
+        one = np.sort(np.concatenate((r.permutation(base)[edits:], r.integers(0, 2**64, edits, dtype=np.uint64))))
+        sets += [one] if k % 5 else [one, np.sort(np.concatenate((one[8:], r.integers(0, 2**64, 8, dtype=np.uint64))))]
+    ws = [np.where(r.random(200) < 0.3, 0.8, 1.0) for _ in sets]
+    arrays = spark.createDataFrame([(bytearray([k]), *map(bytearray, neardup.packed(x, w)), float(w.sum())) for k, (x, w) in enumerate(zip(sets, ws, strict=True))], "node binary, h binary, w binary, total double")
+    got = {x.node[0]: (x.total, x.common) for x in neardup.shareable(arrays.select("node"), arrays, neardup.Scratch(spark, "test")).collect()}
+    df = Counter(h for x in sets for h in x.tolist())
+    for k, (x, w) in enumerate(zip(sets, ws, strict=True)):
+        assert got[k] == pytest.approx((w.sum(), sum(v for h, v in zip(x.tolist(), w, strict=True) if df[h] > 1)))
+    can = lambda c, t: 1.8 * c >= 0.8 * t * (1 - 1e-9)
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if neardup.similarity((sets[i], ws[i]), (sets[j], ws[j])) >= 0.8]
+    assert pairs and all(can(min(got[i][1], got[j][1]), got[i][0] + got[j][0]) for i, j in pairs)
+    assert all(can(got[i][1], got[i][0] + got[i][1]) for p in pairs for i in p)
+    assert sum(not can(c, t + c) for t, c in got.values()) >= 10
+
+
+def test_two_large_classes_of_a_bucket_meet_in_few_rounds(spark, monkeypatch):
+    made, keep = Counter(), neardup.Scratch.keep
+    pairs = set()
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        if name.startswith("fresh"):
+            made["rounds"] += 1
+            pairs.update((bytes(x.a), bytes(x.b)) for x in out.select("a", "b").collect())
+        return out
+
+    monkeypatch.setattr(neardup.Scratch, "keep", counted)
+    sets = [np.arange(50, dtype=np.uint64) + np.uint64(1000 * (k % 2)) for k in range(50)]
+    names = [bytearray([k]) for k in range(50)]
+    arrays = spark.createDataFrame([(n, *map(bytearray, neardup.packed(x, np.ones(50))), 50.0) for n, x in zip(names, sets, strict=True)], "node binary, h binary, w binary, total double")
+    open_ = spark.createDataFrame([(7, 1, n, names[k % 2], *[0] * len([*neardup.PRINT, *neardup.BAND]), 50.0, 50.0) for k, n in enumerate(names)], "bucket long, band int, node binary, class binary, " + ", ".join(f"{p} long" for p in [*neardup.PRINT, *neardup.BAND]) + ", total double, common double")
+    assert neardup.rest(open_, arrays, neardup.Scratch(spark, "test")) is None
+    assert pairs == {(bytes([max(i, j)]), bytes([min(i, j)])) for i in range(0, 50, 2) for j in range(1, 50, 2)}
+    assert made["rounds"] <= 5
+
+
+def test_rows_that_are_wanted_are_found_by_their_bits(spark, monkeypatch):
+    rows = spark.range(3000).selectExpr("id", "md5(cast(id as string)) row")
+    wanted = rows.where("id % 7 = 3").select("row")
+    for most in (neardup.BITS, 1):  # one word: nearly all bits are set
+        monkeypatch.setattr(neardup, "BITS", most)
+        got = neardup.among(rows, wanted, "row")
+        assert got.columns == rows.columns and sorted(x.id for x in got.collect()) == list(range(3, 3000, 7))
+    assert neardup.among(rows, wanted.where("false"), "row").collect() == []
+    monkeypatch.undo()
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        plan = neardup.among(rows, wanted, "row")._jdf.queryExecution().executedPlan().toString()
+        assert 0 <= plan.index("SortMergeJoin") < plan.index("Exchange hashpartitioning(row") < plan.index("BroadcastHashJoin")  # rows are dealt after the bits
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
 def test_odd_rows(spark):
     got = sorted((r.doc_id if r.doc_id is not None else -1, r.class_id, r.n_links) for r in neardup.near_duplicates(docs_of(spark, ODD)).collect())
     assert len(got) == len(ODD)

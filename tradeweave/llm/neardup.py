@@ -13,17 +13,18 @@
    r = ln(c / a) + g and b = g / r with g ~ Exp(1), whence ln a = ln a(1) - r t. Weight 1 then needs one product a sample.
 3. Bands. Equal texts are one node. Nodes that agree in all ROWS samples of a band share a bucket. Each node of a bucket is
    compared with the bucket's leader: the node whose buckets are largest, as that is the one from which the others were copied.
-4. Rest. Buckets that hold more than one class after that are divided by second bands, and in each part leaders of unlike classes
-   are compared with all nodes of other classes, round by round with eight times as many leaders, until each part holds one
-   class or all its nodes have led. A pair is made in one part, that of the two lowest bands it shares by sixteen bits of
-   their keys (which miss one pair of some 20 000). So such pairs of texts that share two bands, and whose sketches agree in AGREE
-   samples or more, are checked unless they are in one class already. Two texts at the threshold share two bands with a probability of 0.993
-   and agree in so many samples with 0.997; at 0.85 both hold with 0.999.
+4. Rest. In buckets that hold more than one class after that, leaders of unlike classes are compared with all nodes of other
+   classes, round by round with eight times as many leaders, until each bucket holds one class or all its nodes have led. A pair is
+   made in one bucket, that of the second lowest band it shares by sixteen bits of their keys (which miss one pair of some 20 000).
+   So such pairs of texts that share two bands, and whose sketches agree in AGREE samples or more, are checked unless they are in one
+   class already, or can't be similar: what two texts share is at most what either shares with any node of these buckets
+   (`shareable`), which is exact and leaves out forms of one text whose edits are all their own. Two texts at the threshold share two
+   bands with a probability of 0.993 and agree in so many samples with 0.997; at 0.85 both hold with 0.999.
 5. Check. Pairs are verified on the shingles of whole texts: weighted Jaccard similarity of SIMILARITY or more.
 6. Classes. Connected components of verified links, by alternating large and small stars; class_id is the least doc_id.
 
 Pairs of a group of copies are as many as its nodes, as one class needs no further pair; only unlike texts that agree in two bands
-are all compared, by leaders. Hot keys: rows of the fewer than a thousand hot nodes and buckets stay in their tasks, what is
+and share enough with others are all compared, by leaders. A node has a row for each of its bands at most. Hot keys: rows of the fewer than a thousand hot nodes and buckets stay in their tasks, what is
 broadcast to them has fewer rows than that; leaders' shingles meet their pairs in SALTS parts. No link, component or sketch goes
 to the driver; every step is a written table, so lost executors cost only their tasks.
 
@@ -55,10 +56,14 @@ THETA, IDF = 0.01, 0.25
 COUNTERS = (18, 22)
 #: Leaders at once in the first round among unlike nodes; how many times more in each round after.
 SLOTS, MORE = 8, 8
+#: Rounds in which a class has one leader of a bucket; then, as two large classes would take a round a node, any node can be one.
+BY_CLASS = 2
 #: Samples, of BANDS * ROWS, in which sketches have to agree before texts are compared (by four bits of each).
 AGREE = 37
 #: Parts of the pairs of leaders that are checked together; bytes of the arrays of such leaders.
 SALTS, HELD = 32, 32_000_000
+#: Numbers of 64 bits, at most, that say which rows may be wanted.
+BITS = 1 << 17
 #: Shingles sampled at once: bounds memory for very long texts.
 AT_ONCE = 1 << 12
 #: Plain bytes whose words are hashed at once.
@@ -290,15 +295,40 @@ def unpacked(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weighed(texts: DataFrame, idf) -> DataFrame:
-    """(node, h, w) of rows (node, text): their shingles and weights, packed, none of them rounded."""
+    """(node, h, w, total) of rows (node, text): their shingles and weights, packed, none of them rounded, and the sum of the weights."""
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
-            every = [packed(x, weights(x, tf, idf.value)) for x, tf in shingled(batch.column(1).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in every], pa.binary()), pa.array([w for _, w in every], pa.binary())], names=["node", "h", "w"])
+            of = [(x, weights(x, tf, idf.value)) for x, tf in shingled(batch.column(1).to_pylist())]
+            every, total = [packed(x, w) for x, w in of], pa.array([float(w.sum()) for _, w in of], pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in every], pa.binary()), pa.array([w for _, w in every], pa.binary()), total], names=["node", "h", "w", "total"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, h binary, w binary")
+    return texts.select("node", "text").mapInArrow(run, "node binary, h binary, w binary, total double")
+
+
+def shareable(nodes: DataFrame, arrays: DataFrame, work: Scratch) -> DataFrame:
+    """(node, total, common) of nodes (node, each once): the weight of its text, and that of its shingles which any other of nodes has."""
+    ship(nodes.sparkSession)
+    at = work.keep(nodes.join(arrays, "node").withColumn("k", F.monotonically_increasing_id()), "numbered")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in parts(batches):
+            for k, h, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, weight = unpacked(h, w)
+                for lo in range(0, len(x), 1 << 16):
+                    one = x[lo : lo + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(np.full(len(one), k, np.int64)), pa.array(weight[lo : lo + (1 << 16)])], names=["shingle", "k", "weight"])
+
+    each = at.select("k", "h", "w").mapInArrow(run, "shingle long, k long, weight double")
+    alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("weight").alias("weight")).where("n = 1")
+    alone = alone.groupBy("k").agg(F.sum("weight").alias("alone"))
+    return at.select("node", "k", "total").join(alone, "k", "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+
+
+def can_be(common: Column, total: Column) -> Column:
+    """Whether two texts of this total weight, which share at most so much, can be similar; sums of doubles may be a little off."""
+    return (1 + SIMILARITY) * common >= SIMILARITY * total * (1 - 1e-9)
 
 
 def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
@@ -375,22 +405,23 @@ def unlike(parts_: DataFrame) -> DataFrame:
 
 
 def rest(open_: DataFrame, arrays: DataFrame, work: Scratch) -> DataFrame | None:
-    """Links (a, b) between nodes of unlike classes in the parts open_ (bucket, upper: the higher of its two bands, node, class, prints of
-    samples and bands), each pair in the part of the two lowest bands that it shares. A node that has led leaves its part, so a
-    pair comes up once, or twice if both lead at once; pairs that the leaders of buckets refused may be checked again."""
+    """Links (a, b) between nodes of unlike classes in the buckets open_ (bucket, band, node, class, total, common, prints of samples and
+    bands), each pair in the bucket of the second lowest band that it shares. A node that has led leaves its bucket, so a pair
+    comes up once, or twice if both lead at once; pairs that the leaders of buckets refused may be checked again."""
     k, slots, links = 0, SLOTS, None
     while True:
         crowded = work.keep(unlike(open_), f"crowded{k}")
         if not crowded.take(1):
             return links
         open_ = work.keep(meet(open_, crowded, "bucket").drop("n"), f"open{k}")
-        slot = F.pmod(F.xxhash64("class", F.lit(k)), F.lit(slots))
-        top = F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "class", *PRINT, *BAND)).alias("top")
-        led = [F.col("top.node").alias("leader"), F.col("top.class").alias("of"), *(F.col(f"top.{p}").alias(f"of_{p}") for p in (*PRINT, *BAND))]
+        slot = F.pmod(F.xxhash64("class" if k < BY_CLASS else "node", F.lit(k)), F.lit(slots))
+        top = F.max(F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "class", *KEPT)).alias("top")
+        led = [F.col("top.node").alias("leader"), F.col("top.class").alias("of"), *(F.col(f"top.{p}").alias(f"of_{p}") for p in KEPT)]
         leaders = work.keep(open_.groupBy("bucket", slot.alias("slot")).agg(top).select("bucket", *led).join(crowded, "bucket"), f"leaders{k}")
         alike = differing([F.col(p) for p in PRINT], [F.col(f"of_{p}") for p in PRINT]) <= BANDS * ROWS - AGREE
-        once = shared_below([F.col(p) for p in BAND], [F.col(f"of_{p}") for p in BAND], F.col("upper")) == 1
-        met = meet(open_, leaders, "bucket").where((F.col("class") != F.col("of")) & alike & once)
+        once = shared_below([F.col(p) for p in BAND], [F.col(f"of_{p}") for p in BAND], F.col("band")) == 1
+        similar = can_be(F.least("common", "of_common"), F.col("total") + F.col("of_total"))
+        met = meet(open_, leaders, "bucket").where((F.col("class") != F.col("of")) & similar & alike & once)
         up = F.col("node") > F.col("leader")
         pair = [F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b"), F.when(up, F.col("class")).otherwise(F.col("of")).alias("ca"), F.when(up, F.col("of")).otherwise(F.col("class")).alias("cb")]
         fresh = work.keep(met.select(*pair, "node", "leader").dropDuplicates(["a", "b"]), f"fresh{k}")
@@ -408,6 +439,7 @@ def rest(open_: DataFrame, arrays: DataFrame, work: Scratch) -> DataFrame | None
 
 PRINT = [f"p{i}" for i in range(PRINTS)]
 BAND = [f"b{i}" for i in range(-(-BANDS // 4))]
+KEPT = [*PRINT, *BAND, "total", "common"]
 
 
 def node_of(text: Column) -> Column:
@@ -419,6 +451,16 @@ def row_of(node: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.hex(node), F.when(doc_id.isNull(), "null").otherwise(F.concat(F.lit("id"), doc_id.cast("string")))))
 
 
+def among(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """The rows whose `on` is one of wanted (a written table). Before they are dealt, a broadcast row of at most 64 * BITS bits, that of each wanted
+    value's hash set, leaves most of the others where they are, with their texts; the join is exact."""
+    words = min(BITS, max(1, wanted.count() // 8))
+    at, bit = F.pmod(F.shiftright(F.xxhash64(on), 6), F.lit(words)).cast("int"), F.xxhash64(on).bitwiseAND(F.lit(63)).cast("int")
+    bits = wanted.select(at.alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64({on}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    near = rows.withColumn("word", at).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).select(*rows.columns)
+    return near.join(wanted.select(on).distinct(), on).select(*rows.columns)  # a semi-join would be planned below the bits
+
+
 def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id and node of each row; node, n (rows), first, root, class and n_links of each node): first is the least doc_id of its
     text, class of its component. A node without links is its own root."""
@@ -446,8 +488,9 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     work.drop("shared")
     work.drop("members")
     wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select(row_of(F.col("node"), F.col("first")).alias("row"))
-    rows = keyed.withColumn("row", row_of(F.col("node"), F.col("doc_id"))).join(wanted, "row", "left_semi")
+    rows = among(keyed.withColumn("row", row_of(F.col("node"), F.col("doc_id"))), work.keep(wanted, "wanted"), "row")
     arrays = work.keep(weighed(rows, idf).dropDuplicates(["node"]), "arrays")
+    release(spark)
 
     leaders = work.keep(members.groupBy("bucket").agg(F.max("rank").alias("top"), F.count("*").alias("n")).select("bucket", F.col("top.node").alias("leader"), "n"), "leaders")
     led = meet(members.select("bucket", "node"), leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
@@ -459,11 +502,10 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     at = work.keep(at, "classes0")
     mixed = work.keep(unlike(at), "mixed")
     if mixed.take(1):
-        pairs_of = F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.struct(i.alias("i"), F.get("bands", i).alias("other")))).alias("o")
-        both = meet(at, mixed, "bucket").drop("n").join(nodes.select("node", "bands", *PRINT), "node").select("node", "class", "band", "bucket", *PRINT, *(c.alias(p) for c, p in zip(band_prints(), BAND, strict=True)), pairs_of).where("o.i <> band")
-        lower = F.col("band") < F.col("o.i")
-        part = F.when(lower, F.xxhash64("bucket", "o.other")).otherwise(F.xxhash64("o.other", "bucket"))
-        parts_ = both.select(part.alias("bucket"), F.greatest("band", "o.i").alias("upper"), "node", "class", *PRINT, *BAND).dropDuplicates(["bucket", "node"])
+        crowd = work.keep(meet(at, mixed, "bucket").drop("n"), "crowd")
+        share = shareable(crowd.select("node").distinct(), arrays, work).where(can_be(F.col("common"), F.col("total") + F.col("common")))
+        held = work.keep(share.join(nodes.select("node", *PRINT, *(c.alias(p) for c, p in zip(band_prints(), BAND, strict=True))), "node"), "shareable")
+        parts_ = crowd.join(held, "node").select("bucket", "band", "node", "class", *KEPT)
         more = rest(work.keep(parts_, "left-1"), arrays, work)
         if more is not None:
             links = links.unionByName(more)
