@@ -59,6 +59,30 @@ def test_nearest_seeds_are_those_of_brute_force(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("few", [False, True])
+def test_nearest_seeds_of_some_nodes_are_those_of_all(spark, few):
+    rows, edges = _graph(spark, seed=11 + few)
+    of = lambda x: spark.createDataFrame([(i,) for i in x], "id string")
+    seeds, ids = of(f"n{k}" for k in range(0, 160, 50 if few else 7)), of(f"n{k}" for k in range(0, 160, 3))
+    want = {tuple(r) for r in W.nearest(edges, seeds, 3).join(ids, "id", "left_semi").select("id", "seed", "hops").collect()}
+    assert {tuple(r) for r in W.nearest_to(edges, seeds, 3, ids).collect()} == want and want
+    assert W.nearest_to(edges, seeds, 3, ids.where("false")).collect() == []
+
+
+def test_proximity_against_the_flow_is_walked_for_what_is_left(spark, monkeypatch):
+    """One sweep of all edges, not two: the other reading is of nodes that the first gives no worse grade."""
+    from tradeweave.model import landed
+    from tradeweave.plans import risk as R
+
+    from .oracle import SMALL
+
+    g, swept, asked = landed(spark, SMALL), [], []
+    monkeypatch.setattr(W, "nearest", lambda *a, walk=W.nearest: swept.append(1) or walk(*a))
+    monkeypatch.setattr(W, "nearest_to", lambda *a, walk=W.nearest_to: asked.append(a[3].count()) or walk(*a))
+    R.proximity(g)
+    assert len(swept) == 1 and asked[0] < g.nodes.where("label in ('Entity', 'Person')").count() / 2
+
+
 @pytest.mark.parametrize("walk", ["nearest", "steps"])
 def test_later_rounds_do_not_walk_what_is_settled(spark, monkeypatch, walk):
     """A hub among seeds: what has its seeds after a round isn't walked into again."""

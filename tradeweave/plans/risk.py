@@ -63,9 +63,11 @@ def proximity(g: Graph) -> DataFrame:
     seeds = P.designated(g)
     control = W.both_ways(g.edge(*CONTROL)).select("src", "dst")
     supply = g.edges["SUPPLIES"].select("src", "dst")
-    with_flow = W.nearest(control.unionByName(supply), seeds, HOPS).withColumn("downstream", F.lit(True))
-    any_way = W.nearest(control.unionByName(supply).unionByName(W.reverse(supply)), seeds, HOPS).withColumn("downstream", F.lit(False))
-    return _worse(g, with_flow.unionByName(any_way))
+    with_flow = settle(W.nearest(control.unionByName(supply), seeds, HOPS))
+    done = with_flow.where(F.col("hops") < HOPS).select("id")  # against the flow it is at most as bad there
+    left = _nodes(g).select("id").join(done, "id", "left_anti")
+    any_way = W.nearest_to(control.unionByName(supply).unionByName(W.reverse(supply)), seeds, HOPS, left)
+    return _worse(g, with_flow.withColumn("downstream", F.lit(True)).unionByName(any_way.withColumn("downstream", F.lit(False))))
 
 
 def _worse(g: Graph, readings: DataFrame) -> DataFrame:
