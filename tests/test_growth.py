@@ -160,3 +160,17 @@ def test_paths_of_payloads_are_literals(spark):
     got = S._mapped(known)
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()  # a path that is a column is parsed again for each row
     assert {(r["label"], r["value"]) for r in got.collect()} == {("Form", "8-K"), ("Primary document", "x"), ("Size", "0")}
+
+
+def test_the_base_of_a_report_is_walked_once(spark, monkeypatch):
+    from tradeweave.model import landed
+    from tradeweave.plans import report_store as K
+    from tradeweave.plans.registry import ROOT
+
+    from .oracle import SMALL
+
+    walked = []
+    monkeypatch.setattr(W, "reach", lambda *a, walk=W.reach: walked.append(1) or walk(*a))
+    out = K.citations(K.assembled(landed(spark, SMALL), ROOT, "2025-03-01T00:00:00Z"))
+    assert len(walked) == 1
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()  # both kinds of edges read one written report
