@@ -4,6 +4,7 @@ import random
 import time
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -128,3 +129,29 @@ def test_results_of_one_run_outlive_the_next(spark):
     first = corpus_pipeline.run(spark, SMALL)
     n = first.count()
     assert corpus_pipeline.run(spark, SMALL).count() == n == first.count()
+
+
+def test_searching_holds_little_beside_the_texts():
+    """Benchmark passages everywhere, 3 MB of texts."""
+    import tracemalloc
+
+    items = [(i, words(i, 60)) for i in range(100)]
+    index, texts = decontaminate.Index(items), [words(i, 300) + " " + items[i % 100][1] for i in range(1000)]
+    decontaminate.rows_with(index, texts[:10])
+    tracemalloc.start()
+    found = decontaminate.rows_with(index, texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {r for r, _ in found} == set(range(1000)) and peak < 48e6
+
+
+def test_batches_of_long_rows_are_bounded(spark):
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('x', 5000) text")
+    common.ship(spark)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows], "size": [b.nbytes]})
+
+    got = rows.mapInArrow(sizes, "rows long, size long").collect()
+    assert sum(x.rows for x in got) == 4000 and max(x.size for x in got) <= common.BATCH_BYTES + 10_000

@@ -26,8 +26,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Bytes of an Arrow batch, about: rows may be long, so a number of rows bounds no memory.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Makes this package importable in Python workers that start elsewhere (local mode from another folder)."""
+    """Makes this package importable in Python workers that start elsewhere (local mode from another folder); batches that the session sends
+    to them hold BATCH_BYTES at most, or one row."""
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(bound).removesuffix("b")) <= BATCH_BYTES:
+        spark.conf.set(bound, BATCH_BYTES)
     env = spark.sparkContext.environment
     parts = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if ROOT not in parts:

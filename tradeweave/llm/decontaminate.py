@@ -36,8 +36,8 @@ Q, SEGMENT, STEP, EDITS = 8, 80, 16, 0.09
 BLOCK_BYTES = 1_000_000
 #: Pairs of a place and a segment that are counted at once, about.
 CROWD = 1 << 20
-#: Plain bytes that are searched at once.
-AT_ONCE = 1 << 21
+#: Plain bytes that are searched at once; those whose q-grams are hashed at once.
+AT_ONCE, HASHED = 1 << 19, 1 << 16
 _PLAIN = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -91,23 +91,34 @@ class Index:
     def _slot(self, h: np.ndarray) -> np.ndarray:
         return h >> np.uint64(64 - self.bits)
 
+    def _hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Places whose q-gram the benchmark has, and its hash. HASHED places at once: only hits are held of all of them."""
+        places, hashes = [], []
+        for at in range(0, len(data) - Q + 1, HASHED):
+            h = qgrams(data[at : at + HASHED + Q - 1])
+            hit = np.flatnonzero(self.table[self._slot(h)])
+            h = h[hit]
+            good = np.searchsorted(self.h, h, "right") > np.searchsorted(self.h, h, "left")
+            places.append(hit[good] + at)
+            hashes.append(h[good])
+        return np.concatenate(places), np.concatenate(hashes)
+
     def search(self, data: bytes) -> list[tuple[int, int, int]]:
         """(segment, place in data, edits) of each copy of a segment."""
-        h = qgrams(data)
-        if not len(h) or not len(self.h):
+        if len(data) < Q or not len(self.h):
             return []
-        hit = np.flatnonzero(self.table[self._slot(h)])
-        hit = hit[np.searchsorted(self.h, h[hit], "right") > np.searchsorted(self.h, h[hit], "left")]
+        hit, h = self._hits(data)
         least, span = int(self.least.min()), int((self.size + self.edits).max()) - Q + 1
         # a window of span places that begins or ends at the hit holds `least` hits; one that holds the hit lies in both
         if least > 1 and len(hit):
             upto = np.searchsorted(hit, hit + span) - np.arange(len(hit))  # hits from here on
             since = np.arange(len(hit)) - np.searchsorted(hit, hit - span, "right") + 1
-            hit = hit[upto + since - 1 >= least]
+            near = upto + since - 1 >= least
+            hit, h = hit[near], h[near]
         if not len(hit):
             return []
-        lo = np.searchsorted(self.h, h[hit], "left")
-        n = np.searchsorted(self.h, h[hit], "right") - lo
+        lo = np.searchsorted(self.h, h, "left")
+        n = np.searchsorted(self.h, h, "right") - lo
         total, found, i = np.cumsum(n), {}, 0
         while i < len(hit):  # some hits, and those after them that may lie in one band with the last
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + CROWD, "right")))
@@ -118,11 +129,20 @@ class Index:
         return [(s, a, e) for (s, a), e in found.items()]
 
     def _counted(self, data: bytes, hit: np.ndarray, lo: np.ndarray, n: np.ndarray) -> list[tuple[int, int, int]]:
-        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        seg, diagonal = self.seg[at].astype(np.int64), np.repeat(hit, n) - self.pos[at]
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n)
+        at += np.arange(len(at))
         w = self.width  # bands of 2w diagonals, one begins every w: e + 1 neighbours lie in one of them
-        key = np.concatenate([seg * (1 << 40) + (diagonal // w + k + 4) for k in (0, -1)])
-        bands, count = np.unique(key, return_counts=True)
+        key, half = np.empty(2 * len(at), np.int64), len(at)
+        key[:half] = np.repeat(hit, n)
+        key[:half] -= self.pos[at]
+        key[:half] //= w
+        key[:half] += 4
+        key[:half] += self.seg[at].astype(np.int64) << 40
+        del at
+        key[half:] = key[:half] - 1
+        key.sort()
+        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        bands, count = key[first], np.diff(np.append(first, len(key)))
         seg, band = bands >> 40, (bands & ((1 << 40) - 1)) - 4
         keep = count >= self.least[seg]
         return self.verify(data, seg[keep], band[keep] * w)
