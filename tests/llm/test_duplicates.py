@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tradeweave.llm import decontaminate, neardup
 from tradeweave.llm.common import table
@@ -287,3 +288,43 @@ def test_nothing_to_look_for(spark):
     assert decontaminate.matches(docs, none).collect() == []
     assert decontaminate.clean(docs, none).count() == len(ODD)
     assert decontaminate.matches(docs_of(spark, []), benchmark_of(spark, [(1, words(1, 40))])).collect() == []
+
+
+def unbroadcast(spark, make):
+    """The plan of make() where no table is small enough to be broadcast unasked."""
+    had = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        return make()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", had)
+
+
+def test_sifting_keeps_all_that_is_wanted_and_few_others(spark):
+    rows = spark.range(20_000).selectExpr("id", "md5(cast(id as string)) row")
+    got = {x.id for x in neardup.sifted(rows, rows.where("id % 50 = 3").select("row"), "row").collect()}
+    want = set(range(3, 20_000, 50))
+    assert want <= got and len(got - want) < 600  # 1.4 % are expected; one bit for eight would leave 12 %
+
+
+def test_arrays_are_dealt_out_once(spark, monkeypatch):
+    """Pairs that arrays know of need no join, what nodes share needs only their shingles, and texts are dealt by row alone."""
+    r = np.random.default_rng(4)
+    base = np.sort(r.integers(0, 2**64, 60, dtype=np.uint64))
+    sets = [np.sort(np.concatenate((base[: 60 - k % 13], r.integers(0, 2**64, k % 13, dtype=np.uint64)))) for k in range(40)]
+    pairs = spark.createDataFrame([(bytearray([i]), bytearray([j]), f"{i}-{j}") for i in range(40) for j in range(0, 40, 3) if i != j], "node binary, leader binary, name string")
+    arrays = spark.createDataFrame([(bytearray([k]), *map(bytearray, neardup.packed(x, np.ones(len(x)))), 60.0) for k, x in enumerate(sets)], "node binary, h binary, w binary, total double")
+    of = pairs.groupBy("node").agg(F.collect_list("leader").alias("of"))
+    salts = pairs.select(F.col("leader").alias("of"), neardup.salt_of("node").alias("salt")).groupBy(F.col("of").alias("node")).agg(F.collect_set("salt").alias("salts"))
+    known = neardup.Scratch(spark, "test").keep(arrays.join(of, "node", "left").join(salts, "node", "left"), "known")
+    one, other = ({x.name for x in neardup.verified(pairs, *a).collect()} for a in ((arrays,), (known, True)))
+    assert one == other and one
+    assert "Join" not in unbroadcast(spark, lambda: neardup.verified(pairs, known, True))
+    written, keep = [], neardup.Scratch.keep
+    monkeypatch.setattr(neardup.Scratch, "keep", lambda self, df, name: written.append(df.columns) or keep(self, df, name))
+    assert neardup.shareable(known.select("node"), known, neardup.Scratch(spark, "test")).count() == 40
+    assert written == [["node"]]  # no array
+    rows = spark.range(300).selectExpr("id", "md5(cast(id as string)) row", "cast(id as string) text")
+    wanted = rows.where("id % 7 = 3").select("row", F.array("id").alias("of"))
+    plan = unbroadcast(spark, lambda: neardup.among(rows, wanted, "row").dropDuplicates(["row"]))
+    assert plan.count("Exchange hashpartitioning(row") == 2  # of texts, and of what is wanted

@@ -295,22 +295,25 @@ def unpacked(h: bytes, w: bytes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def weighed(texts: DataFrame, idf) -> DataFrame:
-    """(node, h, w, total) of rows (node, text): their shingles and weights, packed, none of them rounded, and the sum of the weights."""
+    """(node, h, w, total, of, salts) of rows (node, text, of, salts): their shingles and weights, packed, none of them rounded, and the sum of the weights."""
     ship(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
             of = [(x, weights(x, tf, idf.value)) for x, tf in shingled(batch.column(1).to_pylist())]
             every, total = [packed(x, w) for x, w in of], pa.array([float(w.sum()) for _, w in of], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([h for h, _ in every], pa.binary()), pa.array([w for _, w in every], pa.binary()), total], names=["node", "h", "w", "total"])
+            made = [pa.array([h for h, _ in every], pa.binary()), pa.array([w for _, w in every], pa.binary()), total]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made, batch.column(2), batch.column(3)], names=["node", "h", "w", "total", "of", "salts"])
 
-    return texts.select("node", "text").mapInArrow(run, "node binary, h binary, w binary, total double")
+    return texts.select("node", "text", "of", "salts").mapInArrow(run, "node binary, h binary, w binary, total double, of array<binary>, salts array<long>")
 
 
 def shareable(nodes: DataFrame, arrays: DataFrame, work: Scratch) -> DataFrame:
-    """(node, total, common) of nodes (node, each once): the weight of its text, and that of its shingles which any other of nodes has."""
+    """(node, total, common) of nodes (node, each once): the weight of its text, and that of its shingles which any other of nodes has, or one of the
+    few nodes that sifting leaves beside them. Arrays aren't dealt out, only their shingles are."""
     ship(nodes.sparkSession)
-    at = work.keep(nodes.join(arrays, "node").withColumn("k", F.monotonically_increasing_id()), "numbered")
+    asked = work.keep(nodes.select("node"), "asked")
+    at = sifted(arrays.select("node", "h", "w", "total"), asked, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches):
@@ -320,10 +323,11 @@ def shareable(nodes: DataFrame, arrays: DataFrame, work: Scratch) -> DataFrame:
                     one = x[lo : lo + (1 << 16)]
                     yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(np.full(len(one), k, np.int64)), pa.array(weight[lo : lo + (1 << 16)])], names=["shingle", "k", "weight"])
 
-    each = at.select("k", "h", "w").mapInArrow(run, "shingle long, k long, weight double")
+    each = at.select(F.xxhash64("node").alias("k"), "h", "w").mapInArrow(run, "shingle long, k long, weight double")
     alone = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("k").alias("k"), F.min("weight").alias("weight")).where("n = 1")
     alone = alone.groupBy("k").agg(F.sum("weight").alias("alone"))
-    return at.select("node", "k", "total").join(alone, "k", "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+    total = at.select("node", F.xxhash64("node").alias("k"), "total").join(asked, "node")
+    return total.join(alone, "k", "left").select("node", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("common"))
 
 
 def can_be(common: Column, total: Column) -> Column:
@@ -331,19 +335,32 @@ def can_be(common: Column, total: Column) -> Column:
     return (1 + SIMILARITY) * common >= SIMILARITY * total * (1 - 1e-9)
 
 
-def verified(pairs: DataFrame, arrays: DataFrame) -> DataFrame:
+def salt_of(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(SALTS))
+
+
+def verified(pairs: DataFrame, arrays: DataFrame, placed: bool = False) -> DataFrame:
     """Those of the pairs (node, leader and other columns) whose texts are similar. Leaders are dealt into as many groups as keep a group's
     arrays at about HELD bytes. Pairs of a group meet in SALTS parts, by node: the arrays of its leaders come to each part once, and
-    first, then each node's array once, before its pairs. A task holds the leaders of one group and one node."""
+    first, then each node's array once, before its pairs. A task holds the leaders of one group and one node. Arrays that are not asked for
+    stay in their tasks. placed: arrays say whom each node meets (`of`: its leaders; `salts`: of the nodes it leads), so they go to the parts unjoined."""
     ship(pairs.sparkSession)
     names = pairs.columns
     mean = arrays.agg(F.avg(F.length("h") + F.length("w"))).first()[0] or 0
     groups = max(1, -(-pairs.select("leader").distinct().count() * int(mean) // HELD))
-    dealt = pairs.select(F.pmod(F.xxhash64("leader"), F.lit(groups)).alias("g"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"), "node", "leader", F.struct(*names).alias("pair"))
+    group = lambda leader: F.pmod(F.xxhash64(leader), F.lit(groups))
+    dealt = pairs.select(group("leader").alias("g"), salt_of("node").alias("salt"), "node", "leader", F.struct(*names).alias("pair"))
     kind = dealt.schema["pair"].dataType.simpleString()
+    if not placed:
+        arrays = sifted(arrays, pairs.select("node").unionByName(pairs.select(F.col("leader").alias("node"))).distinct(), "node")
 
     def brought(column: str, kind_: int) -> DataFrame:
-        ids = dealt.select("g", "salt", F.col(column).alias("node")).distinct().join(arrays, "node")
+        if not placed:
+            ids = dealt.select("g", "salt", F.col(column).alias("node")).distinct().join(arrays, "node")
+        elif column == "leader":
+            ids = arrays.select(group("node").alias("g"), F.explode("salts").alias("salt"), "node", "h", "w")
+        else:
+            ids = arrays.select(F.explode(F.array_distinct(F.transform("of", group))).alias("g"), salt_of("node").alias("salt"), "node", "h", "w")
         return ids.select("g", "salt", F.lit(min(kind_, 1)).alias("turn"), "node", F.lit(kind_).alias("kind"), F.lit(None).cast("binary").alias("leader"), "h", "w", F.lit(None).cast(kind).alias("pair"))
 
     none = F.lit(None).cast("binary")
@@ -451,14 +468,24 @@ def row_of(node: Column, doc_id: Column) -> Column:
     return F.md5(F.concat_ws(":", F.hex(node), F.when(doc_id.isNull(), "null").otherwise(F.concat(F.lit("id"), doc_id.cast("string")))))
 
 
+def sifted(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
+    """The rows whose `on` is one of wanted (a written table), and a few others: those whose two bits, of at most 64 * BITS, wanted values set too. The bits
+    are broadcast, so no row leaves its task."""
+    words = min(BITS, max(1, wanted.count() // 4))
+    hashed = F.xxhash64(on)
+    place = [F.pmod(F.shiftright(h, 6), F.lit(words)).cast("int") for h in (hashed, F.xxhash64(F.lit(1), on))]
+    bit = [h.bitwiseAND(F.lit(63)).cast("int") for h in (hashed, F.xxhash64(F.lit(1), on))]
+    one = F.explode(F.array(*(F.struct(w.alias("word"), b.alias("bit")) for w, b in zip(place, bit, strict=True)))).alias("one")
+    set_ = wanted.select(one).groupBy("one.word").agg(F.bit_or(F.expr("shiftleft(1L, one.bit)")).alias("bits"))
+    for w, b in zip(place, bit, strict=True):
+        rows = rows.withColumn("word", w).join(F.broadcast(set_), "word").where(F.getbit("bits", b) == 1).select(*rows.columns)
+    return rows
+
+
 def among(rows: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
-    """The rows whose `on` is one of wanted (a written table). Before they are dealt, a broadcast row of at most 64 * BITS bits, that of each wanted
-    value's hash set, leaves most of the others where they are, with their texts; the join is exact."""
-    words = min(BITS, max(1, wanted.count() // 8))
-    at, bit = F.pmod(F.shiftright(F.xxhash64(on), 6), F.lit(words)).cast("int"), F.xxhash64(on).bitwiseAND(F.lit(63)).cast("int")
-    bits = wanted.select(at.alias("word"), F.expr(f"shiftleft(1L, cast(xxhash64({on}) & 63 as int))").alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
-    near = rows.withColumn("word", at).join(F.broadcast(bits), "word").where(F.getbit("bits", bit) == 1).select(*rows.columns)
-    return near.join(wanted.select(on).distinct(), on).select(*rows.columns)  # a semi-join would be planned below the bits
+    """The rows whose `on` is one of wanted (a written table, each once), with its other columns. Before they are dealt, most of the others are sifted out where
+    they are, with their texts; the join is exact."""
+    return sifted(rows, wanted, on).join(wanted.dropDuplicates([on]), on).select(*rows.columns, *(c for c in wanted.columns if c != on))  # a semi-join would be planned below the bits
 
 
 def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -482,20 +509,22 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     members = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = work.keep(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    members = work.keep(meet(members, shared, "bucket"), "members")
+    members = work.keep(meet(sifted(members, shared, "bucket"), shared, "bucket"), "members")
     central = members.groupBy("node").agg(F.round(F.sum(F.log("n")), 6).alias("score"))
     members = work.keep(members.join(central, "node").select("bucket", "band", "node", F.struct("score", "node").alias("rank")), "ranked")
     work.drop("shared")
     work.drop("members")
-    wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").select(row_of(F.col("node"), F.col("first")).alias("row"))
-    rows = among(keyed.withColumn("row", row_of(F.col("node"), F.col("doc_id"))), work.keep(wanted, "wanted"), "row")
-    arrays = work.keep(weighed(rows, idf).dropDuplicates(["node"]), "arrays")
-    release(spark)
-
     leaders = work.keep(members.groupBy("bucket").agg(F.max("rank").alias("top"), F.count("*").alias("n")).select("bucket", F.col("top.node").alias("leader"), "n"), "leaders")
     led = meet(members.select("bucket", "node"), leaders, "bucket").where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
     led = work.keep(led, "led")
-    links = work.keep(verified(led.select("a", "b", F.col("a").alias("node"), F.col("b").alias("leader")), arrays).select("a", "b"), "links")
+    of = led.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("of"))
+    salts = led.groupBy(F.col("b").alias("node")).agg(F.collect_set(salt_of("a")).alias("salts"))
+    wanted = members.select("node").distinct().join(nodes.select("node", "first"), "node").join(of, "node", "left").join(salts, "node", "left")
+    wanted = work.keep(wanted.select(row_of(F.col("node"), F.col("first")).alias("row"), "of", "salts"), "wanted")
+    rows = among(keyed.withColumn("row", row_of(F.col("node"), F.col("doc_id"))), wanted, "row").dropDuplicates(["row"])  # dealt by row already
+    arrays = work.keep(weighed(rows, idf), "arrays")
+    release(spark)
+    links = work.keep(verified(led.select("a", "b", F.col("a").alias("node"), F.col("b").alias("leader")), arrays, placed=True).select("a", "b"), "links")
     roots = work.keep(components(links, work), "roots")
 
     at = members.select("bucket", "band", "node").join(roots, "node", "left").withColumn("class", F.coalesce("root", "node")).drop("root")
